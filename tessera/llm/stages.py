@@ -1,13 +1,56 @@
-"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir)."""
+"""Stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns documents, the last one pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard_join, mixing, packing, suffix_dedup
+from . import quality as weak
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the quality classifier keeps, trained on docs themselves."""
+    return weak.classify(spark, docs).filter("keep").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+
+    Of repeated rows of that doc_id one stays. Documents without words and without an id stay.
+    """
+    found = jaccard_join.jaccard_components(spark, docs, k=5, percent=80)
+    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    return kept.select(*docs.columns).dropDuplicates()
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes or more that a document of a smaller id has too.
+
+    Code points cut by a removed string go with it; n_chars is counted anew. Texts that lose all their words go.
+    """
+    out = suffix_dedup.repeated_bytes(spark, docs, length=50)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    out = out.withColumn("_text", text).filter("n_removed = 0 or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cols = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    out = mixing.mixed(docs)
+    return out.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
 
 
-near_duplicates = repeated_passages = mixture = packed = quality
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(spark, docs, tokenizer_path())
