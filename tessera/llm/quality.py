@@ -69,7 +69,7 @@ def measure(text: str | None) -> Measures:
         vote(size / n > 14 or size / n < 3, 4.5 < size / n < 9),
         vote(len(lines) >= 4 and len(set(lines)) <= len(lines) / 2, len(lines) >= 2 and len(set(lines)) == len(lines)),
         vote(h[48:58].sum() / size > 0.15, h[48:58].sum() / size < 0.03),
-        vote(stutter > 0.1, stutter < 0.02 and len(w) > 1),
+        vote(stutter > 0.1 and n > 20, stutter < 0.02 and len(w) > 1),
     )
     return Measures(votes, (w >> np.uint64(50)).astype(np.int64), h, int(np.isin(w, _ABUSE).sum()))
 
