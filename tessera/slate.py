@@ -1,4 +1,9 @@
-"""All queries of the library outside tessera.llm, by name, and their SQL for comparison."""
+"""All queries of the library outside its training-data folder, by name, and their SQL for comparison."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .queries import profiles
+
+MODULES = (profiles,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
