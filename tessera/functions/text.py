@@ -32,7 +32,7 @@ def segments(text: str) -> list[tuple[int, int]]:
 
 def windows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Windows of each unit: key, window (from 0), start, end, text."""
-    schema = df.select(key).schema.add("window", "int").add("start", "int").add("end", "int").add("text", "string")
+    schema = df.select(key).schema.add("window", "integer").add("start", "integer").add("end", "integer").add("text", "string")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -63,9 +63,11 @@ def quote_status(units: DataFrame, quotes: DataFrame) -> DataFrame:
     unit_not_found, unit_not_unique, quote_not_found, ambiguous (several places) or resolved.
     """
     known = units.groupBy("unit_id").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    j = quotes.join(known, "unit_id", "left").withColumn("at", F.when(F.col("copies") == 1, occurrences(F.col("text"), F.col("quote"))))
-    status = F.when(F.col("copies").isNull(), "unit_not_found").when(F.col("copies") > 1, "unit_not_unique").when(F.size("at") == 0, "quote_not_found").when(F.size("at") > 1, "ambiguous").otherwise("resolved")
-    first = F.when(status == "resolved", F.get("at", F.lit(0)))
+    j = quotes.join(known, "unit_id", "left").withColumn("one", F.instr("text", F.col("quote")))
+    # two searches tell none, one and several apart
+    j = j.withColumn("two", F.when(F.col("one") > 0, F.call_function("locate", F.col("quote"), F.col("text"), F.col("one") + 1)))
+    status = F.when(F.col("copies").isNull(), "unit_not_found").when(F.col("copies") > 1, "unit_not_unique").when(F.col("one") == 0, "quote_not_found").when(F.col("two") > 0, "ambiguous").otherwise("resolved")
+    first = F.when(status == "resolved", F.col("one") - 1)
     return j.select("quote_id", "unit_id", status.alias("status"), first.alias("start"), (first + F.length("quote")).alias("end"))
 
 

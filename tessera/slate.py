@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import profiles
+from .queries import graphs, health, profiles, texts
 
-MODULES = (profiles,)
+MODULES = (profiles, texts, graphs, health)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}
