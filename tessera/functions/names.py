@@ -188,4 +188,4 @@ def squeezed(c: Column) -> Column:
 def contains_label(text: Column, label: Column) -> Column:
     """Whether the label's lexical form stands in the text's, not inside a longer word (both lexical already)."""
     quoted = F.concat(F.lit("\\Q"), F.replace(label, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return (label != "") & F.regexp_like(text, F.concat(F.lit("(?<!\\w)"), quoted, F.lit("(?!\\w)")))
+    return (label != "") & F.regexp_like(text, F.concat(F.lit("(?U)(?<!\\w)"), quoted, F.lit("(?!\\w)")))
