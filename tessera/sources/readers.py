@@ -392,11 +392,32 @@ def facts(df: DataFrame, limit: int = LIMIT, hint: str | None = None) -> DataFra
     return df.mapInPandas(run, FACTS)
 
 
+def zarr_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the metadata documents of a Zarr v2 store.
+
+    Their names start with a dot, which Spark's file sources skip, so the driver lists the store; it does not
+    descend below an array, where only chunks lie.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows, todo = [], [root]
+    while todo:
+        p = jvm.org.apache.hadoop.fs.Path(todo.pop())
+        fs = p.getFileSystem(conf)
+        listed = list(fs.listStatus(p))
+        names = {x.getPath().getName(): x.getPath() for x in listed}
+        for n in sorted(set(names) & {".zarray", ".zgroup", ".zattrs", ".zmetadata"}):
+            stream = fs.open(names[n])
+            rows.append((names[n].toString(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            stream.close()
+        if ".zarray" not in names:
+            todo += [x.getPath().toString() for x in listed if x.isDirectory()]
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
 def zarr_arrays(df: DataFrame) -> DataFrame:
     """Arrays of Zarr v2 stores from their metadata files: path, shape, chunks, dtype, order, conflict.
 
-    Direct documents win over consolidated ones; a difference is reported. Chunk files are never read: pass
-    files(..., glob='.z*').
+    Direct documents win over consolidated ones; a difference is reported. df comes from zarr_metadata().
     """
     name = F.element_at(F.split("path", "/"), -1)
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
