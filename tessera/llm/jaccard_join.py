@@ -11,8 +11,9 @@ p = n - ceil(t*n) + 1 tokens share one. Three orders are used and a pair must pa
 
 Documents with equal sets form one class and only classes are joined. A bucket (classes sharing a prefix
 token) is never expanded into pairs while it is large: its most central class is verified against the others,
-components are joined, and buckets that lie inside one component are finished. What remains after at most
-HUB_ROUNDS rounds is verified pair by pair, across components only, so no link between components is lost.
+components are joined, and buckets that lie inside one component are finished. The classes of buckets that
+remain after at most HUB_ROUNDS rounds meet under a fourth order, the exact frequency order of their own tokens,
+where the place of the shared token bounds the overlap; across components only, so no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .components import components
 
 CLASS = 2.2
 SMALL_BUCKET = 24
-HUB_ROUNDS = 8
+HUB_ROUNDS = 3
 ORDER_SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -158,6 +159,30 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
         both = some_left.join(whole[1], "b").join(whole[0], "a").select("a", "b", "ta", "tb")
         return t.save(both.mapInArrow(_verify(percent), "a long, b long"), f"edges-{tag}")
 
+    def by_rank(opened: DataFrame) -> DataFrame:
+        """Pairs of open classes of different components that pass order 4.
+
+        Order 4 sorts all tokens of the open classes by their frequency among these. If J(x, y) >= t, the first
+        token they share is at most at place n - ceil(t * (nx + ny) / (1 + t)) + 1 of either. Tokens of one
+        class only take places but form no row, so classes with enough tokens of their own drop out.
+        """
+        who = opened.groupBy("cid").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+        tok = sets.join(who, "cid").select("cid", "n", "root", F.explode("tokens").alias("token"))
+        often = tok.groupBy("token").count().filter("count > 1").withColumnRenamed("count", "df")
+        mine = tok.join(often, "token").groupBy("cid", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+        mine = mine.withColumn("lone", F.col("n") - F.size("s")).withColumn("p", F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1)
+        mine = mine.filter(F.col("p") > F.col("lone")).select("cid", "n", "root", "lone", F.posexplode(F.slice("s", F.lit(1), (F.col("p") - F.col("lone")).cast("int"))).alias("i", "x"))
+        mine = mine.select("cid", "n", "root", (F.col("lone") + F.col("i") + 1).alias("rank"), F.col("x.token").alias("token"))
+        # the other orders' prefixes come along, so that only pairs that pass all orders leave the join
+        mine = t.save(mine.join(sets.select("cid", "order2", "order3"), "cid"), "order4")
+        alpha = F.floor((F.lit(percent) * (F.col("na") + F.col("nb")) + (99 + percent)) / (100 + percent))
+        # the smaller of a pair, or either of equals, needs the token in its short prefix
+        short = mine.filter(F.col("rank") <= F.col("n") - F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent)) + 1)
+        x = short.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("rank").alias("ka"), F.col("order2").alias("a2"), F.col("order3").alias("a3"))
+        y = mine.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("rank").alias("kb"), F.col("order2").alias("b2"), F.col("order3").alias("b3"))
+        met = x.join(y, "token").filter((F.col("ra") != F.col("rb")) & fits & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("ka") <= F.col("na") - alpha + 1) & (F.col("kb") <= F.col("nb") - alpha + 1) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     step = 0
     while True:
         with_roots = with_root(live.select("cid", "n", "lone", "token"))
@@ -169,9 +194,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent
             break
         last = step > 0 and (big <= SMALL_BUCKET or step >= HUB_ROUNDS)
         if last:
-            x = open_rows.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            y = open_rows.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
+            pairs = by_rank(open_rows)
         else:
             pairs = open_rows.select(F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).filter((F.col("a") != F.col("b")) & fits)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
