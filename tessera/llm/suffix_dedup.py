@@ -5,14 +5,16 @@ A byte is removed when a LENGTH-byte string covering it also starts in a documen
 1. Anchors. Each LENGTH-byte string selects the K-byte string of smallest hash inside it, so equal strings
    select equal anchors at equal offsets. Anchor hashes are bucketed, packed as bytes and checked for a second
    document; an anchor already seen in two documents of one task needs no check and is sent once.
-2. Windows. Starts whose anchor is shared, grouped by anchor occurrence, give windows of at most
+2. Chunks. Some anchors cut a text into chunks (each with the LENGTH-1 bytes after it). A chunk that a document
+   of a smaller id has too is settled: all its starts repeat. A task sends each chunk once, for its smallest id.
+3. Windows. The other starts whose anchor is shared, grouped by anchor occurrence, give windows of at most
    2*LENGTH-K bytes. Equal windows of one task are sent once, for their smallest doc_id.
-3. Suffix arrays. Windows of one anchor meet in one task (of a very frequent anchor: all equal LENGTH-byte
-   strings meet). Blocks of windows are sorted by linear grouping (grouping_sort); runs of suffixes that agree
-   on LENGTH bytes give the smallest doc_id that owns each string.
-4. Masks of repeated starts go back to their documents, which drop the covered bytes.
+4. Suffix arrays. Windows of one anchor meet in one task (of a very frequent anchor: all equal LENGTH-byte
+   strings meet). Windows are cut to where their first LEAD bytes occur twice, then blocks of them are sorted by
+   linear grouping (grouping_sort); runs of suffixes that agree on LENGTH bytes give each string's smallest doc_id.
+5. Runs of repeated starts go back to their documents, which drop the covered bytes.
 
-Only hashes, windows and masks are grouped; nothing is collected on the driver.
+Only hashes, windows and runs are grouped; nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -26,17 +28,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, Tables, _powers, bound_batches, mix
+from .common import BYTE, Tables, _powers, bound_batches, mix, prefix_hash
 from .grouping_sort import suffix_order
 
 K = 16
 #: Anchor entries and windows held by a task before they are sent.
 FLUSH = 1_500_000
+#: One anchor in so many cuts a chunk.
+CUT = 16
+#: Bytes of a string that must occur twice before it is sorted.
+LEAD = 42
 #: Window bytes sorted at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: An anchor with more windows than this is split by the strings that contain it.
 HOT = 20_000
 CHUNK = 1 << 20
+NOBODY = np.iinfo(np.int64).min
 
 
 def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,44 +69,77 @@ def _pieces(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + CHUNK + length - 1]
 
 
-def _find(length: int, buckets: int, singles: bool):
-    """Per task: anchors of one document as packed buckets (singles), or shared anchors by document."""
+def _runs(rk: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Touching runs of a row joined, sorted by row and start."""
+    order = np.lexsort((start, rk))
+    rk, start, end = rk[order], start[order], end[order]
+    if not len(rk):
+        return rk, start, end
+    other = np.r_[True, rk[1:] != rk[:-1]]
+    far = np.cumsum(other) * (int(end.max()) + 1)  # keeps rows apart
+    new = other | np.r_[True, (far + start)[1:] > np.maximum.accumulate(far + end)[:-1]]
+    first = np.flatnonzero(new)
+    return rk[first], start[first], np.maximum.reduceat(end, first)
 
-    def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key = np.concatenate([a for _, _, a in held])
-        row = np.repeat(np.arange(len(held)), [len(a) for _, _, a in held])
-        ids = np.array([d for d, _, _ in held])
+
+def _by_row(rk: np.ndarray, data: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rk, kind, packed data) of data grouped by rk."""
+    if not len(rk):
+        return
+    order = np.argsort(rk, kind="stable")
+    rk, data = rk[order], data[order]
+    cut = np.flatnonzero(np.r_[True, rk[1:] != rk[:-1]])
+    ends = np.r_[cut[1:], len(rk)]
+    yield pa.RecordBatch.from_arrays([pa.array(rk[cut], pa.int64()), pa.array(np.full(len(cut), kind, np.int32)), pa.array([data[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["rk", "kind", "data"])
+
+
+def _find(length: int, buckets: int):
+    """Per task: anchors and chunks as packed buckets to be resolved, and what is settled already.
+
+    Rows are (bucket, kind, rk, data): kind 0 anchors of one document or of nobody in particular, 1 chunks, both to
+    be resolved by bucket; 2 shared anchors and 3 settled starts of the row rk.
+    """
+
+    def pack(key: np.ndarray, cols: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
+        part = (key >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(part, kind="stable")
+        part, key, cols = part[order], key[order], [c[order] for c in cols]
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+        data = [key[a:b].tobytes() + b"".join(c[a:b].astype("<i8").tobytes() for c in cols) for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=False)]
+        n = len(cut)
+        yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(data, pa.binary())], ["bucket", "kind", "rk", "data"])
+
+    def settled(rk: np.ndarray, data: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        for b in _by_row(rk, data, kind):
+            yield pa.RecordBatch.from_arrays([pa.array((b.column(0).to_numpy() % buckets).astype(np.int32)), *(b.column(i) for i in (1, 0, 2))], ["bucket", "kind", "rk", "data"])
+
+    def flush(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, rks = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        key = np.concatenate([h[2] for h in held])
+        row = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
         order = np.argsort(key, kind="stable")
         key, row = key[order], row[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        docs = ids[row]
-        many = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+        many = np.minimum.reduceat(ids[row], first) != np.maximum.reduceat(ids[row], first)
         size = np.diff(np.r_[first, len(key)])
-        if singles:
-            # one entry an anchor: its row, or -1 when two documents of this task have it
-            one, who = key[first], np.where(many, -1, row[first])
-            part = (one >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort((who, part))
-            one, who, part = one[order], who[order], part[order]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out = [[], []]
-            for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=True):
-                rows, counts = np.unique(who[a:b], return_counts=True)
-                known = rows >= 0
-                doc = np.where(known, ids[rows], 0).astype("<i8")
-                rk = np.where(known, np.array([r for _, r, _ in held])[rows], 0).astype("<i8")
-                head = np.array([len(rows)], "<i8").tobytes() + np.where(known, counts, -counts).astype("<i4").tobytes()
-                out[0].append(int(part[a]))
-                out[1].append(head + doc.tobytes() + rk.tobytes() + one[a:b].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["bucket", "data"])
-        else:
-            keep = np.repeat(many, size)
-            key, row = key[keep], row[keep]
-            order = np.argsort(row, kind="stable")
-            key, row = key[order], row[order]
-            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-            ends = np.r_[cut[1:], len(row)] if len(row) else cut
-            yield pa.RecordBatch.from_arrays([pa.array([held[row[a]][1] for a in cut], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["rk", "data"])
+        yield from pack(key[first], [np.where(many, NOBODY, ids[row[first]]), np.where(many, 0, rks[row[first]])], 0)
+        keep = np.repeat(many, size)
+        yield from settled(rks[row[keep]], key[keep], 2)
+        # chunks: columns key, start, end
+        chunk = np.concatenate([h[3] for h in held], axis=1)
+        row = np.repeat(np.arange(len(held)), [h[3].shape[1] for h in held])
+        if not len(row):
+            return
+        order = np.lexsort((ids[row], chunk[0]))
+        chunk, row = chunk[:, order], row[order]
+        first = np.r_[True, chunk[0][1:] != chunk[0][:-1]]
+        low = ids[row][np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
+        again = ids[row] > low
+        span = chunk[1:].astype(np.int64)
+        yield from settled(rks[row[again]], span.T[again], 3)
+        one = first  # equal smallest ids are repeated rows; each needs its own answer
+        one = one | (~again)
+        yield from pack(chunk[0][one], [ids[row[one]], rks[row[one]], span[0][one], span[1][one]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -108,11 +148,16 @@ def _find(length: int, buckets: int, singles: bool):
                 data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                 if doc is None or len(data) < length:
                     continue
-                for _, part in _pieces(data, length):
+                for base, part in _pieces(data, length):
                     at, h = _anchors(part, length)
-                    a = np.unique(h[at[np.r_[True, at[1:] != at[:-1]]]])
-                    held.append((doc, rk, a))
-                    total += len(a)
+                    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    own = h[at[new]]
+                    cut = np.r_[0, new[1:][own[1:] % np.uint64(CUT) == 0], len(at)]
+                    pre, inv = prefix_hash(part)
+                    a, e = cut[:-1], cut[1:] + length - 1
+                    key = mix((pre[e] - pre[a]) * inv[a] + (e - a).astype(np.uint64))
+                    held.append((doc, rk, np.unique(own), np.stack([key, (a + base).astype(np.uint64), (cut[1:] + base).astype(np.uint64)])))
+                    total += len(own)
                     if total >= FLUSH:
                         yield from flush(held)
                         held, total = [], 0
@@ -123,70 +168,82 @@ def _find(length: int, buckets: int, singles: bool):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors of one bucket: those of a single document's entry that another entry has too."""
-    keys, docs, rks = [], [], []
+    """All anchors and chunks of one bucket: shared anchors (kind 2) and settled starts (kind 3) by row."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
     for b in batches:
-        for data in b.column(1).to_pylist():
-            n = int(np.frombuffer(data, "<i8", 1)[0])
-            counts = np.frombuffer(data, "<i4", n, 8)
-            at = 8 + 4 * n
-            doc, rk = np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "<i8", n, at + 8 * n)
-            keys.append(np.frombuffer(data, "<u8", -1, at + 16 * n))
-            size = np.abs(counts)
-            # what two documents of a task have is marked by two entries that no document owns
-            docs.append(np.repeat(np.where(counts > 0, doc, np.iinfo(np.int64).min), size))
-            rks.append(np.repeat(np.where(counts > 0, rk, 0), size))
-    if not keys:
-        return
-    key, doc, rk = (np.concatenate(x) for x in (keys, docs, rks))
-    order = np.argsort(key, kind="stable")
-    key, doc, rk = key[order], doc[order], rk[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    mixed = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(mixed, size) & (doc != np.iinfo(np.int64).min)
-    key, rk = key[keep], rk[keep]
-    order = np.argsort(rk, kind="stable")
-    key, rk = key[order], rk[order]
-    cut = np.flatnonzero(np.r_[True, rk[1:] != rk[:-1]]) if len(rk) else np.zeros(0, int)
-    ends = np.r_[cut[1:], len(rk)] if len(rk) else cut
-    yield pa.RecordBatch.from_arrays([pa.array(rk[cut], pa.int64()), pa.array([key[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["rk", "data"])
+        kinds = b.column(1).to_numpy()
+        if (done := np.flatnonzero(kinds >= 2)).size:
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(done)) for i in (2, 1, 3)], ["rk", "kind", "data"])
+        for i in np.flatnonzero(kinds < 2).tolist():
+            k, raw = int(kinds[i]), np.frombuffer(b.column(3)[i].as_py(), "<u8")
+            cols = raw.reshape(3 if k == 0 else 5, -1)
+            found[k].append(cols)
+    if found[0]:
+        cols = np.concatenate(found[0], axis=1)
+        order = np.argsort(cols[0], kind="stable")
+        key, doc, rk = cols[0][order], cols[1][order].view(np.int64), cols[2][order].view(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        keep = np.repeat(shared, np.diff(np.r_[first, len(key)])) & (doc != NOBODY)
+        yield from _by_row(rk[keep], key[keep], 2)
+    if found[1]:
+        cols = np.concatenate(found[1], axis=1)
+        doc = cols[1].view(np.int64)
+        order = np.lexsort((doc, cols[0]))
+        key, doc, rk, span = cols[0][order], doc[order], cols[2][order].view(np.int64), cols[3:, order].astype(np.int64)
+        first = np.r_[True, key[1:] != key[:-1]]
+        again = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        yield from _by_row(rk[again], span.T[again], 3)
 
 
 def _windows(length: int):
-    """Windows of the starts whose anchor is shared; mask -1 with a window, or the mask of a settled one."""
+    """Windows of the starts whose anchor is shared and whose chunk is not settled; without a window: settled runs."""
 
-    def flush(held: dict[tuple[int, bytes], list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], [], [], [], []]
+    def flush(held: dict[tuple[int, bytes], list[tuple[int, int, int]]], settled: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[], [], [], [], []]
         for (anchor, win), seen in held.items():
             low = min(d for d, _, _ in seen)
-            full = (1 << (len(win) - length + 1)) - 1
             for d, rk, pos in seen:
-                for c, x in zip(cols, (anchor, win, d, rk, pos, -1) if d == low else (None, None, None, rk, pos, full), strict=True):
+                if d > low:
+                    settled.append((rk, pos, pos + len(win) - length + 1))
+                    continue
+                for c, x in zip(cols, (anchor, win, d, rk, pos), strict=True):
                     c.append(x)
+        rk, start, end = _runs(*np.array(settled, np.int64).reshape(-1, 3).T)
+        n = len(rk)
+        whole = [cols[0] + [None] * n, cols[1] + [None] * n, cols[2] + [None] * n, cols[3] + rk.tolist(), cols[4] + start.tolist(), [None] * len(cols[0]) + (end - start).tolist()]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        for a in range(0, len(cols[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "win", "doc_id", "rk", "pos", "mask"])
+        for a in range(0, len(whole[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], k) for c, k in zip(whole, kinds, strict=True)], ["anchor", "win", "doc_id", "rk", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = {}, 0
+        held, settled, total = {}, [], 0
         for b in batches:
-            for doc, rk, text, shared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, rk, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                known = np.unique(np.frombuffer(b"".join(shared), np.uint64))
-                for base, part in _pieces(np.frombuffer(raw, np.uint8), length):
+                known = np.unique(np.frombuffer(b"".join(p["data"] for p in parts if p["kind"] == 2), np.uint64))
+                spans = np.frombuffer(b"".join(p["data"] for p in parts if p["kind"] == 3), np.int64).reshape(-1, 2)
+                free = np.ones(len(raw) + 1, bool)
+                for a, e in spans.tolist():
+                    free[a:e] = False
+                    settled.append((rk, a, e))
+                total += len(spans) // 4
+                for base, part in _pieces(np.frombuffer(raw, np.uint8), length) if len(known) and free.any() else ():
                     at, h = _anchors(part, length)
-                    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    end = np.r_[cut[1:], len(at)]
-                    own = h[at[cut]]
-                    hit = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-                    for a, e, x in zip(cut[hit].tolist(), end[hit].tolist(), own[hit].view(np.int64).tolist(), strict=True):
+                    own = h[at]
+                    hit = (known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own) & free[base : base + len(at)]
+                    # runs of hits of one anchor occurrence
+                    edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (hit[1:] != hit[:-1])])
+                    end = np.r_[edge[1:], len(at)]
+                    use = hit[edge]
+                    for a, e, x in zip(edge[use].tolist(), end[use].tolist(), own[edge[use]].view(np.int64).tolist(), strict=True):
                         held.setdefault((x, raw[base + a : base + e + length - 1]), []).append((doc, rk, base + a))
                         total += 1
-                if total >= FLUSH // 10:
-                    yield from flush(held)
-                    held, total = {}, 0
-        yield from flush(held)
+                if total >= FLUSH // 8:
+                    yield from flush(held, settled)
+                    held, settled, total = {}, [], 0
+        if held or settled:
+            yield from flush(held, settled)
 
     return run
 
@@ -228,24 +285,59 @@ def owners(windows: list[bytes], docs: list[int], length: int) -> list[int]:
     return masks
 
 
+def trimmed(windows: list[bytes], docs: list[int], length: int) -> list[tuple[int, int] | None]:
+    """For each window the first and last start whose first LEAD bytes another doc's window has too; None without."""
+    text = np.frombuffer(b"".join(windows), np.uint8)
+    sizes = np.array([len(w) for w in windows])
+    base = np.cumsum(sizes) - sizes
+    own = np.repeat(np.arange(len(windows)), sizes - length + 1)
+    n = sizes - length + 1
+    start = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    at = base[own] + start
+    pre, inv = prefix_hash(text)
+    lead = min(LEAD, length)
+    key = (pre[at + lead] - pre[at]) * inv[at]
+    order = np.argsort(key, kind="stable")
+    doc = np.array(docs)[own[order]]
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    keep = np.zeros(len(own), bool)
+    keep[order] = np.repeat(twice, np.diff(np.r_[first, len(order)]))
+    out: list[tuple[int, int] | None] = [None] * len(windows)
+    for w, s in zip(own[keep].tolist(), start[keep].tolist(), strict=True):
+        out[w] = (s, s) if out[w] is None else (out[w][0], s)
+    return out
+
+
 def _sort_blocks(length: int):
     """Rows of one anchor are adjacent. Windows that differ go through the suffix array, a block at a time."""
 
     def block(held: dict[int, dict[bytes, list[tuple[int, int, int]]]]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
-        wins = [w for g in held.values() if len(g) > 1 for w in g]
-        own = [min(x)[0] for g in held.values() if len(g) > 1 for x in g.values()]
-        masks = dict(zip(((a, w) for a, g in held.items() if len(g) > 1 for w in g), owners(wins, own, length) if wins else [], strict=True))
-        for a, g in held.items():
-            for w, rows in g.items():
-                low = min(rows)[0]
-                full = (1 << (len(w) - length + 1)) - 1
-                for d, rk, pos in rows:
-                    m = full if d > low else masks.get((a, w), 0)
-                    if m:
-                        for c, x in zip(out, (rk, pos, m), strict=True):
-                            c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rk", "pos", "mask"])
+        out: list[tuple[int, int, int]] = []
+        some = [(w, rows) for g in held.values() if len(g) > 1 for w, rows in g.items()]
+        cut = trimmed([w for w, _ in some], [min(r)[0] for _, r in some], length) if some else []
+        # equal cut windows are sorted once, for their smallest doc
+        low: dict[bytes, int] = {}
+        for (w, rows), c in zip(some, cut, strict=True):
+            if c:
+                t = w[c[0] : c[1] + length]
+                low[t] = min(min(rows)[0], low.get(t, rows[0][0]))
+        masks = dict(zip(low, owners(list(low), list(low.values()), length), strict=True)) if low else {}
+        for (w, rows), c in zip(some, cut, strict=True):
+            mine = min(rows)[0]
+            mask = 0
+            if c:
+                t = w[c[0] : c[1] + length]
+                mask = (masks[t] if mine == low[t] else (1 << (c[1] - c[0] + 1)) - 1) << c[0]
+            for d, rk, pos in rows:
+                out += [(rk, pos, pos + len(w) - length + 1)] if d > mine else [(rk, pos + a, pos + e) for a, e in _bits(mask)]
+        for g in held.values():
+            if len(g) == 1:
+                for w, rows in g.items():
+                    mine = min(rows)[0]
+                    out += [(rk, pos, pos + len(w) - length + 1) for d, rk, pos in rows if d > mine]
+        rk, start, end = _runs(*np.array(out, np.int64).reshape(-1, 3).T)
+        yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(start), pa.array(end - start)], ["rk", "pos", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
@@ -267,20 +359,29 @@ def _sort_blocks(length: int):
     return run
 
 
+def _bits(mask: int) -> Iterator[tuple[int, int]]:
+    """Runs of set bits as half-open ranges."""
+    at = 0
+    while mask:
+        low = (mask & -mask).bit_length() - 1
+        mask >>= low
+        ones = ((mask + 1) & -(mask + 1)).bit_length() - 1
+        yield at + low, at + low + ones
+        mask >>= ones
+        at += low + ones
+
+
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, spans, kept = [], [], [], []
             for text, marks in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                cover = np.zeros(len(raw) + 1, np.int32)
+                cover = np.zeros(len(raw) + 1, np.int64)
                 if marks:
                     pos = np.array([m["pos"] for m in marks])
-                    mask = np.array([m["mask"] for m in marks])
-                    for i in range(int(mask.max()).bit_length()):
-                        at = pos[(mask >> i) & 1 == 1] + i
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + length, -1)
+                    np.add.at(cover, pos, 1)
+                    np.add.at(cover, pos + np.array([m["n"] for m in marks]) + length - 1, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 n.append(len(raw))
@@ -309,20 +410,18 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     own = docs.drop("n_bytes", "n_removed", "spans", "kept")
     keyed = own.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_rk").alias("rk"), "text")
-    packed = texts.mapInArrow(_find(length, buckets, True), "bucket int, data binary").repartition(buckets, "bucket")
-    single = packed.mapInArrow(_resolve, "rk long, data binary")
-    several = texts.mapInArrow(_find(length, buckets, False), "rk long, data binary")
-    shared = single.union(several).groupBy("rk").agg(F.collect_list("data").alias("shared"))
-    found = texts.join(shared, "rk").select("doc_id", "rk", "text", "shared").mapInArrow(_windows(length), "anchor long, win binary, doc_id long, rk long, pos long, mask long")
+    packed = texts.mapInArrow(_find(length, buckets), "bucket int, kind int, rk long, data binary").repartition(buckets, "bucket")
+    known = packed.mapInArrow(_resolve, "rk long, kind int, data binary").groupBy("rk").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
+    found = texts.join(known, "rk").select("doc_id", "rk", "text", "parts").mapInArrow(_windows(length), "anchor long, win binary, doc_id long, rk long, pos long, n long")
     found = t.save(found, "windows")
-    rows = found.filter("mask = -1")
+    rows = found.filter("win is not null")
     hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
     cool = rows.join(hot, "anchor", "left_anti").select("anchor", "win", "doc_id", "rk", "pos")
     cut = rows.join(hot, "anchor", "left_semi").select("win", "doc_id", "rk", "pos").mapInArrow(_split(length), "anchor long, win binary, doc_id long, rk long, pos long")
     placed = cool.union(cut).repartition(buckets, "anchor").sortWithinPartitions("anchor")
-    masks = placed.mapInArrow(_sort_blocks(length), "rk long, pos long, mask long")
-    masks = masks.union(found.filter("mask <> -1").select("rk", "pos", "mask"))
-    marks = masks.groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("pos", "mask")).alias("_marks"))
+    runs = placed.mapInArrow(_sort_blocks(length), "rk long, pos long, n long")
+    runs = runs.union(found.filter("win is null").select("rk", "pos", "n"))
+    marks = runs.groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("pos", "n")).alias("_marks"))
     joined = keyed.join(marks, "_rk", "left").drop("_rk")
     rest = F.struct(*[F.col(f"`{c}`") for c in own.columns])
     out = joined.select(rest.alias("row"), F.col("_marks").alias("m"))
