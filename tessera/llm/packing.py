@@ -25,6 +25,11 @@ from .common import Tables, bound_batches
 #: Least and most parts into which the pieces of one length are dealt, so that no task ranks a frequent length alone.
 PARTS = (64, 1024)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PIECE = re.compile(f"[{_LATIN}]+|[{_MARKS}]+")
+#: What makes a word one that only the tokenizer cuts: other characters, and marks of special tokens.
+ODD = re.compile(rf"[^{_LATIN}{_MARKS}\x20\x09-\x0D]|<\|")
+KEPT, GROUP = 150_000, 64
 
 
 def patterns(hist: np.ndarray, slack: int = 0, third: int = 24) -> list[tuple[int, ...]]:
@@ -119,24 +124,74 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "sequence", "offset", "times"])
 
 
-def _tokenize(tokenizer: str, capacity: int, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Words:
+    """Token ids of words, each encoded once: the tokenizer drops white space and never joins across it.
+
+    Words of Latin letters and marks other than the apostrophe are further cut where letters and marks meet, as
+    the tokenizer does. Two generations of at most KEPT words are kept; what is used stays.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
+        self.tok = Tokenizer.from_file(path)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        if not ODD.search(text):
+            return PIECE.findall(text.lower())
+        out: list[str] = []
+        for w in WORDS.findall(text):
+            out += [w] if ODD.search(w) else PIECE.findall(w.lower())
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        missing = []
+        for w in set(pieces).difference(self.new):
+            if (ids := self.old.get(w)) is not None:
+                self.new[w] = ids
+            else:
+                missing.append(w)
+        plain = [w for w in missing if not ODD.search(w)]
+        for a in range(0, len(plain), GROUP):
+            group = plain[a : a + GROUP]
+            e = self.tok.encode(" ".join(group), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            if len(cut) == len(group) - 1:
+                self.new.update(zip(group, [x.tobytes() for x in np.split(ids, cut)], strict=True))
+            else:
+                self._each(group)
+        self._each([w for w in missing if ODD.search(w)])
+
+    def _each(self, words: list[str]) -> None:
+        for w in words:
+            self.new[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.new.__getitem__, pieces))
+
+    def age(self) -> None:
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+
+
+_KNOWN: dict[str, _Words] = {}
+
+
+def _tokenize(tokenizer: str, capacity: int, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer not in _KNOWN:
+            _KNOWN[tokenizer] = _Words(tokenizer)
+        known = _KNOWN[tokenizer]
         for b in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                # the tokenizer drops white space and never joins across it, so words are encoded once and kept
-                words = WORDS.findall(text or "")
-                new = list({w for w in words if w not in known})
-                if len(known) + len(new) > 300_000:
-                    known, new = {}, list(set(words))
-                for a in range(0, len(new), 20_000):
-                    for w, e in zip(new[a : a + 20_000], tok.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + int(end).to_bytes(4, "little")
+                parts = known.pieces(text or "")
+                known.learn(parts)
+                ids = known.ids(parts) + int(end).to_bytes(4, "little")
+                known.age()
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     which.append(i)
