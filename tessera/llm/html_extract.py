@@ -393,5 +393,5 @@ def extract(spark: SparkSession, pages: DataFrame, model: Labeller | None = None
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array([len(x) for x in got], pa.int64())], ["row", "text", "n_chars", "n_blocks"])
 
     packed = own.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "html" else F.col(f"`{c}`") for c in own.columns]).alias("row"))
-    schema = packed.schema.add("text", "string").add("n_chars", "long").add("n_blocks", "long")
+    schema = packed.select("row").schema.add("text", "string").add("n_chars", "long").add("n_blocks", "long")
     return packed.mapInArrow(run, schema).select("row.*", "text", "n_chars", "n_blocks")

@@ -25,8 +25,10 @@ SAMPLE = 6000
 
 #: Largest share of good documents that one labeller may call bad.
 FALSE_ALARM = 0.005
+#: Least share of a kind of bad text that its labellers call bad.
+CATCH = 0.4
 #: Labellers that react to one kind of bad text, where the estimation starts.
-KINDS = (("symbols", "digits"), ("capitals", "exclamations", "repeated_lines"), ("columns", "sentences"), ("stutter",))
+KINDS = (("symbols",), ("capitals", "exclamations", "repeated_lines"), ("columns", "sentences"), ("stutter",))
 
 # Words of abuse.
 ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
@@ -110,12 +112,14 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 80) -> WeakMod
     """Expectation-maximisation of labeller accuracies in the good class and in each kind of bad text.
 
     Labellers overlap: several react to the same kind of bad text, so bad text has KINDS, within which votes
-    are independent. Labellers are taken to be conservative (FALSE_ALARM); that keeps the good class good.
+    are independent. Labellers are taken to be conservative (FALSE_ALARM), and those of a kind to notice at least
+    CATCH of it; that keeps the good class good and the kinds bad.
     """
     bad = np.full((1 + len(KINDS), len(LABELLERS)), 0.05)
     bad[0] = FALSE_ALARM
     for i, names in enumerate(KINDS, 1):
         bad[i, [LABELLERS.index(x) for x in names]] = 0.6
+    focus = bad == 0.6
     model = WeakModel(np.r_[0.85, np.full(len(KINDS), 0.15 / len(KINDS))], bad)
     v = unpattern(codes)
     for _ in range(rounds):
@@ -123,6 +127,7 @@ def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 80) -> WeakMod
         low, high = p.T @ (v == 0), p.T @ (v == 2)
         new = (low + 0.05) / (low + high + 0.5)
         new[0] = np.minimum(new[0], FALSE_ALARM)
+        new[focus] = np.maximum(new[focus], CATCH)
         share = p.sum(axis=0) + 1
         model = WeakModel(share / share.sum(), np.clip(new, 1e-4, 1 - 1e-4))
     return model
