@@ -37,7 +37,7 @@ FLUSH = 1_500_000
 #: One anchor in so many cuts a chunk.
 CUT = 16
 #: Bytes of a string that must occur twice before it is sorted.
-LEAD = 42
+LEAD = 48
 #: Window bytes sorted at once.
 BLOCK = 1 << 20
 #: An anchor with more windows than this is split by the strings that contain it.
@@ -414,6 +414,9 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     known = packed.mapInArrow(_resolve, "rk long, kind int, data binary").groupBy("rk").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
     found = texts.join(known, "rk").select("doc_id", "rk", "text", "parts").mapInArrow(_windows(length), "anchor long, win binary, doc_id long, rk long, pos long, n long")
     found = t.save(found, "windows")
+    # the anchors' and the first text shuffle have done their work
+    del packed, known
+    t.release()
     rows = found.filter("win is not null")
     hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
     cool = rows.join(hot, "anchor", "left_anti").select("anchor", "win", "doc_id", "rk", "pos")
