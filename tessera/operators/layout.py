@@ -280,3 +280,25 @@ def table_roles(headers: DataFrame) -> DataFrame:
     stat = F.lower(F.trim("label")).isin(*STATISTICS)
     g = headers.groupBy("table_id").agg(F.count_if(stat & (F.col("column_index") > 0)).alias("stats"), F.count_if(F.col("column_index") > 0).alias("others"))
     return g.select("table_id", F.when((F.col("others") > 0) & (F.col("stats") == F.col("others")), "feature_axis").otherwise("unspecified").alias("role"))
+
+
+def aligned(recognized: list[dict], native: list[dict], preferred: str = "text") -> list[tuple[str, str, str | None]]:
+    """Each recognised block (id, text, box) with the best native unit (id, text, role, box) inside it, in order.
+
+    A unit whose whole text is in the block's and whose box overlaps it may match; the preferred role, exact
+    equality, length and id decide. Each unit is used once, so this runs page by page.
+    """
+    flat = lambda s: re.sub(r"[\W_]+", "", s).casefold()
+    hit = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    used: set[str] = set()
+    out = []
+    for block in recognized:
+        whole = flat(block["text"])
+        fits = [(u["role"] != preferred, flat(u["text"]) != block["text"], -len(flat(u["text"])), u["id"]) for u in native if u["id"] not in used and flat(u["text"]) and flat(u["text"]) in whole and hit(block["box"], u["box"])]
+        if not fits:
+            out.append((block["id"], "recognized_unaligned", None))
+            continue
+        best = min(fits)
+        used.add(best[3])
+        out.append((block["id"], "normalized_native_text" if best[1] else "exact_native_text", best[3]))
+    return out

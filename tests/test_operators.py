@@ -201,3 +201,24 @@ def test_timezone_abstains(spark):
 def test_budget_blocks_unknown(spark):
     df = spark.createDataFrame([(1, 10), (2, 99), (3, None)], "request_id int, input_tokens int")
     assert [r.state for r in validate.budget(df, 100, 5).orderBy("request_id").collect()] == ["admitted", "blocked_over_context", "blocked_unknown_count"]
+
+
+def test_cf_roles_and_dimensions(spark):
+    from tessera.functions import cf
+
+    df = spark.createDataFrame([("lat", ["lat"], "Y", "latitude", "degrees_north"), ("lon", ["lat"], "Y", "longitude", ""), ("v", ["lat"], None, None, None)], "name string, dims array<string>, axis string, standard string, units string")
+    got = {r.name: r for r in df.select("name", cf.coordinate_roles(F.col("name"), F.col("dims"), F.col("axis"), F.col("standard"), F.col("units"), F.array(F.lit("lat")), F.array(F.lit("v"))).alias("r"), cf.cf_semantic(F.col("standard"), F.col("axis"), F.col("units"), F.lit(None)).alias("s")).collect()}
+    assert got["lat"].r.roles == ["dimension_coordinate", "axis_y", "standard_latitude", "geospatial_coordinate"] and got["lat"].r.state == "supported"
+    assert got["lon"].r.state == "conflicted" and got["v"].r.roles == ["auxiliary_coordinate"] and got["lat"].s == "latitude"
+    a = spark.createDataFrame([("g/a", ["x", "y"], [2, 3], "lon q"), ("g/lon", ["x"], [4], None), ("g/b", None, [1], None)], "array string, dimensions array<string>, shape array<long>, coordinates string")
+    states = {r["array"]: r.c.state for r in a.select("array", cf.dimension_claim(F.col("dimensions"), F.size("shape")).alias("c")).collect()}
+    assert states == {"g/a": "supported", "g/lon": "supported", "g/b": "unknown"}
+    assert {r.dimension: r.state for r in cf.dimension_sizes(a).collect()} == {"x": "conflicted", "y": "supported"}
+    assert {r.name: r.found for r in cf.auxiliary_coordinates(a).collect()} == {"lon": True, "q": False}
+    assert spark.range(1).select(cf.seconds_of(F.lit("1970-01-01T00:01:00Z")).alias("s")).first().s == 60.0
+
+
+def test_alignment_uses_each_unit_once():
+    units = [{"id": "u1", "text": "Mean value", "role": "text", "box": (0, 0, 10, 10)}]
+    block = {"id": "b", "text": "Mean  value.", "box": (1, 1, 9, 9)}
+    assert layout.aligned([block, block], units) == [("b", "normalized_native_text", "u1"), ("b", "recognized_unaligned", None)]
