@@ -109,7 +109,10 @@ def write_archives(spark: SparkSession, pages: DataFrame, minimum: int = 0, samp
     groups = narrow.groupBy("mark").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("mark", "refers_to")
     named = own.withColumn("mark", mark).join(groups, "mark", "left")
     named = named.withColumn("refers_to", F.when(F.col("refers_to") != F.col("page_id"), F.col("refers_to"))).select("page_id", "url", "html", "refers_to")
-    few = own.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).toPandas()
+    # hashes below the share wanted, so that a task sends no more than its share of the sample
+    h = F.xxhash64("page_id", F.lit(5))
+    below = -(2**63) + min(int(1.5 * sample / max(own.count(), 1) * 2**64), 2**64 - 1)
+    few = own.filter(h <= below).dropDuplicates(["page_id"]).orderBy(h, "page_id").limit(sample).toPandas()
     words = train_dictionary([make_record(*(None if v is None or v != v else v for v in (r.page_id, r.url)), r.html.encode("utf-8", "surrogatepass")) for r in few.itertuples()])
     shared = spark.sparkContext.broadcast(words)  # 32 KB
 
