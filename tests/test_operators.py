@@ -222,3 +222,26 @@ def test_alignment_uses_each_unit_once():
     units = [{"id": "u1", "text": "Mean value", "role": "text", "box": (0, 0, 10, 10)}]
     block = {"id": "b", "text": "Mean  value.", "box": (1, 1, 9, 9)}
     assert layout.aligned([block, block], units) == [("b", "normalized_native_text", "u1"), ("b", "recognized_unaligned", None)]
+
+
+def test_support_rules(spark):
+    from tessera.operators import support
+
+    facts = spark.createDataFrame([("d", "f1", "s.a", "name", "Area"), ("d", "f2", "s.a", "value", "1"), ("d", "f3", "s.b", "value", "2")], "dataset_id string, fact_id string, subject string, predicate string, value string")
+    scopes = spark.createDataFrame([("sc", "d", "s", {"Area": "predictor"})], "scope_id string, dataset_id string, sheet string, roles map<string,string>")
+    got = support.scoped_catalog(facts, scopes).collect()
+    assert [(r.object_id, r.role, r.property_facts) for r in got] == [("sc::s.a", "predictor", ["f2"])]
+    pages = spark.createDataFrame([(1, "the mean area is"), (2, "areas only")], "page_id int, lexical string")
+    names = spark.createDataFrame([("o", "mean area"), ("p", "area")], "object_id string, lexical string")
+    assert sorted(map(tuple, support.visible_names(pages, names).collect())) == [("o", 1), ("p", 1)]
+    w = spark.createDataFrame([("x", 1, 0, "the features have these definitions"), ("x", 1, 5, "area: it measures size"), ("x", 1, 9, "area: measures again"), ("x", 2, 10, "width: gives w")], "paper_id string, page int, window_index int, lexical string")
+    m = spark.createDataFrame([("x", 1, "area", 5), ("x", 2, "area", 9), ("x", 3, "width", 10)], "paper_id string, mention_id int, lexical string, window_index int")
+    d = support.defined_names(w, m)
+    assert [(r.mention_id, r.introduced_at) for r in d.collect()] == [(1, 0)]
+    mm = spark.createDataFrame([(1, "area", "u9"), (2, "min", "u1"), (3, "len", "u2"), (4, "both", "u3")], "mention_id int, lexical string, unit_id string")
+    cells = spark.createDataFrame([("u2", "len"), ("u3", "both")], "unit_id string, lexical string")
+    heads = spark.createDataFrame([("u1", "min"), ("u3", "both")], "unit_id string, lexical string")
+    assert {r.mention_id: r.status for r in support.field_support(mm, cells, heads, d).collect()} == {1: "supported", 2: "rejected", 3: "supported", 4: "unresolved"}
+    runs = spark.createDataFrame([("a", "success", 0), ("b", "success", 1)], "run_id string, admission string, errors int")
+    dec = spark.createDataFrame([("a", "o", "supported"), ("b", "o", "supported"), ("a", "q", "rejected")], "run_id string, object_id string, status string")
+    assert [tuple(r) for r in support.published(dec, runs).collect()] == [("a", "o")]
