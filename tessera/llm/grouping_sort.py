@@ -11,6 +11,7 @@ filled in its final order and is emitted as it stands.
 
 from __future__ import annotations
 
+import gc
 import heapq
 
 _DOWN = bytes((0xFE - b) % 256 for b in range(256))  # UTF-8 has no byte above 0xF4
@@ -22,6 +23,17 @@ def suffix_order(strings: list[bytes]) -> list[int]:
     A string's end is smaller than every byte; suffixes equal up to their ends keep an arbitrary order.
     Bytes 0xFE and 0xFF must not occur (they never do in UTF-8). No strings give no suffixes.
     """
+    # no reference cycles arise here, and the collector would walk millions of small lists
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        return _suffix_order(strings)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _suffix_order(strings: list[bytes]) -> list[int]:
     text = b"".join(strings)
     n = len(text)
     left = list(range(-1, n - 1))  # nearest suffix to the left that may be smaller
@@ -42,7 +54,6 @@ def suffix_order(strings: list[bytes]) -> list[int]:
             groups[w] = [i]
     heap = [w.translate(_DOWN) + b"\xff" for w in groups]
     heapq.heapify(heap)
-    back = heap.copy()
     by_key = {w.translate(_DOWN) + b"\xff": w for w in groups}
     gone = bytearray(n)
     final: list[bytes] = []
@@ -74,7 +85,6 @@ def suffix_order(strings: list[bytes]) -> list[int]:
             else:
                 known.append(p)
                 word[p] = w
-    del back
     # Phase 2
     filled: dict[bytes, list[int]] = {w: [] for w in final}
     waits: list[list[int] | None] = [None] * (n + 1)
