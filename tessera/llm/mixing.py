@@ -47,6 +47,31 @@ def newton_dual(size: str = "source_size", target: str = "target", steps: int =
     return F.when((s > 0) & (t > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
 
 
+def extra_copies(cells: DataFrame, cap: float, rounds: int = 4) -> DataFrame:
+    """cells(source, size, n, target, rate) with base (whole copies of each) and extra (documents that get one more).
+
+    The share of extra documents is first spread evenly over the sizes, largest first. What a source's words then
+    miss is made up in a few rounds by more or fewer extras of sizes below the miss, largest first. A window
+    holds one row for each size of a source.
+    """
+    falling = Window.partitionBy("source").orderBy(F.desc("size"))
+    behind, whole = falling.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
+    base = F.least(F.floor(F.col("rate") + 1e-6), F.lit(int(cap))).cast("long")
+    x = cells.withColumn("base", base).withColumn("_share", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
+    x = x.withColumn("_before", F.coalesce(F.sum("n").over(behind), F.lit(0)))
+    even = F.floor(F.col("_share") * (F.col("_before") + F.col("n")) + 0.5) - F.floor(F.col("_share") * F.col("_before") + 0.5)
+    x = x.withColumn("extra", F.when((F.col("size") > 0) & (F.col("base") < cap), even).otherwise(0).cast("long"))
+    for _ in range(rounds):
+        x = x.withColumn("_miss", F.col("target") - F.sum(F.col("size") * (F.col("base") * F.col("n") + F.col("extra"))).over(whole))
+        room = F.when(F.col("_miss") > 0, F.col("n") - F.col("extra")).otherwise(F.col("extra"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("_miss")) & (F.col("base") < cap)
+        x = x.withColumn("_room", F.when(fits, room).otherwise(0))
+        used = F.coalesce(F.sum(F.col("size") * F.col("_room")).over(behind), F.lit(0))
+        more = F.greatest(F.least(F.floor((F.abs("_miss") - used) / F.greatest("size", F.lit(1))), F.col("_room")), F.lit(0))
+        x = x.withColumn("extra", (F.col("extra") + F.when(F.col("_miss") > 0, more).otherwise(-more)).cast("long"))
+    return x.drop("_share", "_before", "_miss", "_room")
+
+
 def mixed(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """All columns of docs(doc_id, source, text, ...) and size, source_size, target, rate, copies, taken.
 
@@ -61,17 +86,16 @@ def mixed(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     cells = x.groupBy("source", "size", "_salt").agg(F.count("*").alias("n"))
     duals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap)
     duals = duals.withColumn("rate", F.coalesce(F.least(F.exp(newton_dual()), F.lit(cap)), F.lit(0.0)))
-    # rank of a document in its source: counts of the larger sizes, then of its salted part, then inside the part
-    order = Window.partitionBy("source").orderBy(F.desc("size"), "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    places = cells.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "n", "weight")
+    by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    shares = extra_copies(by_size.join(duals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight"), cap)
+    # rank of a document among those of its source and size: counts of the salted parts before its own, then inside
+    parts = Window.partitionBy("source", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    places = cells.withColumn("before", F.coalesce(F.sum("n").over(parts), F.lit(0))).drop("n")
+    places = places.join(shares.select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", "base", "extra"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     inside = Window.partitionBy("source", "size", "_salt").orderBy("doc_id", "_tie")
     ranked = x.withColumn("_r", F.row_number().over(inside))
-    p = places.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_salt").alias("_p"), "before", "source_size", "target", "rate")
+    p = places.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_salt").alias("_p"), "before", "source_size", "target", "rate", "base", "extra")
     out = ranked.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_salt") == F.col("_p")))
-    rank = F.col("before") + F.col("_r")
-    # rates a hair below a whole number count as that number
-    upto = lambda r: F.floor(F.col("rate") * r + F.lit(0.5 + 1e-6))
-    copies = F.when(F.col("size") > 0, F.least(upto(rank) - upto(rank - 1), F.lit(int(cap)))).otherwise(0).cast("long")
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.when(F.col("size") > 0, F.col("base") + (F.col("before") + F.col("_r") <= F.col("extra")).cast("long")).otherwise(0)
+    out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*[F.col(f"`{c}`") for c in own.columns], "size", "source_size", "target", "rate", "copies", "taken")
