@@ -148,7 +148,8 @@ class _Words:
 
     def learn(self, pieces: list[str]) -> None:
         missing = []
-        for w in set(pieces).difference(self.new):
+        known = self.new
+        for w in {w for w in pieces if w not in known}:
             if (ids := self.old.get(w)) is not None:
                 self.new[w] = ids
             else:
