@@ -83,28 +83,27 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         n = int(left[length])
         while n:
             i = bisect.bisect_left(keys, length)
-            if i == len(keys):
-                groups, free, take = [[(), n]], cap, n
-            else:
-                free = keys[i]
-                groups = room[free]
-                take = min(n, groups[-1][1])
-            had, times = groups[-1]
-            if times == take:
-                groups.pop()
-                if not groups and i < len(keys):
-                    del room[free], keys[i]
-            else:
-                groups[-1][1] -= take
-            after = free - length
+            had, times = room[keys[i]][-1] if i < len(keys) else ((), n)
+            free = keys[i] if i < len(keys) else cap
+            # the tightest sequence stays the tightest until it has no room for this length
+            each = min(free // length, n)
+            take = min(times, n // each)
+            if i < len(keys):
+                if times > take:
+                    room[free][-1][1] -= take
+                else:
+                    room[free].pop()
+                    if not room[free]:
+                        del room[free], keys[i]
+            had, after = (*had, *[length] * each), free - each * length
             if after:
                 if after not in room:
                     room[after] = []
                     bisect.insort(keys, after)
-                room[after].append([(*had, length), take])
+                room[after].append([had, take])
             else:
-                out[(*had, length)] = out.get((*had, length), 0) + take
-            n -= take
+                out[had] = out.get(had, 0) + take
+            n -= each * take
     for groups in room.values():
         for had, times in groups:
             out[tuple(had)] = out.get(tuple(had), 0) + times

@@ -294,6 +294,17 @@ def test_plan_holds_the_histogram():
         assert (used == hist).all()
 
 
+def test_pieces_of_one_length_share_new_sequences():
+    for cap in (128, 2048):
+        for length in (1, 3, 20, 63, 64, 65, 100, 128):
+            for n in (1, 7, 5000):
+                hist = np.zeros(cap + 1, np.int64)
+                hist[length] = n
+                planned = packing.plan(hist)
+                assert sum(len(pattern) * times for pattern, times in planned) == n
+                assert sum(times for _, times in planned) == -(-n // (cap // length)), (cap, length, n)
+
+
 # 7
 
 
