@@ -8,6 +8,8 @@ linear scorer over hashed words and byte frequencies is trained; it scores every
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +32,16 @@ CATCH = 0.4
 #: Labellers that react to one kind of bad text, where the estimation starts.
 KINDS = (("symbols",), ("capitals", "exclamations", "repeated_lines"), ("columns", "sentences"), ("stutter",))
 
-# Words of abuse.
-ABUSE = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
+# Words of abuse in English, German, French and Spanish.
+ABUSE = (
+    "clown disgusting idiot loser moron pathetic scum stupid trash worthless"
+    " abschaum arschloch arschlöcher drecksau dummkopf schwachkopf trottel vollidiot vollidioten volltrottel"
+    " abruti abrutie abrutis connard connards connasse crétin crétine crétins enfoiré imbécile imbéciles salaud salope"
+    " cabrón escoria estúpida estúpido estúpidos gilipollas idiota idiotas imbécil pendejo"
+).split()
+_LETTER = r"[^\W\d_]"
+_WORD = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(ABUSE)})(?!{_LETTER})")
 LABELLERS = ("symbols", "capitals", "exclamations", "columns", "sentences", "word_length", "repeated_lines", "digits", "stutter")
-_ABUSE = np.sort(np.concatenate([word_hashes(w + end) for w in ABUSE for end in ("", ".", ",", "!", "?", ";", ":")]))
 
 
 @dataclass
@@ -46,6 +54,12 @@ class Measures:
     abuse: int
 
 
+def abuse_words(text: str) -> int:
+    """Words of abuse, whatever marks stand around them, in capitals or not."""
+    low = unicodedata.normalize("NFC", text).lower()
+    return len(_WORD.findall(low)) if any(x in low for x in ABUSE) else 0
+
+
 def measure(text: str | None) -> Measures:
     """Votes (1 good, -1 bad, 0 none) and features of a whole text; null is read as empty."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -73,7 +87,7 @@ def measure(text: str | None) -> Measures:
         vote(h[48:58].sum() / size > 0.15, h[48:58].sum() / size < 0.03),
         vote(stutter > 0.1 and n > 20, stutter < 0.02 and len(w) > 1),
     )
-    return Measures(votes, (w >> np.uint64(50)).astype(np.int64), h, int(np.isin(w, _ABUSE).sum()))
+    return Measures(votes, (w >> np.uint64(50)).astype(np.int64), h, abuse_words(text or ""))
 
 
 def pattern(votes: tuple[int, ...]) -> int:

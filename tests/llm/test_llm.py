@@ -249,6 +249,11 @@ def test_weak_labels_and_scorer(spark, empty):
     assert quality.classify(spark, empty).count() == 0
 
 
+def test_abuse_in_other_languages_and_marks():
+    found = {t: quality.measure(t).abuse for t in ('He said "IDIOT"!!', "(moron) clown-like", "idiotic clowns", "Du ARSCHLÖCHER, du Trottel!", "espèce d'IMBE\u0301CILE.", "¡Estúpido, gilipollas!", None, "")}
+    assert list(found.values()) == [1, 2, 0, 2, 1, 2, 0, 0]
+
+
 # 6
 
 
