@@ -127,7 +127,7 @@ def vectors(page_blocks: list[tuple[tuple[str, ...], str, float]]) -> tuple[np.n
         here = _path_slots(path)
         ps.extend(here)
         pi += [i] * len(here)
-        words = {_slot(w.lower(), WORDS) for w in WORD.findall(text[:4000])}
+        words = {_slot(w.lower(), WORDS) for w in WORD.findall(text)}
         ws += words
         wi += [i] * len(words)
         n = len(text)

@@ -159,6 +159,12 @@ def test_html_blocks_decode_and_collapse():
     assert html_extract.blocks("<p>x<a href='")[0][1] == "x"
 
 
+def test_html_words_of_the_whole_block():
+    long = ("body",), " ".join(["same"] * 2000 + ["reply", "comment"]) + ".", 0.0
+    _, _, words, _, _ = html_extract.vectors([long])
+    assert sorted(words) == sorted(html_extract._slot(w, html_extract.WORDS) for w in ("same", "reply", "comment"))
+
+
 def test_html_labels(spark):
     model = html_extract.trained()
     r = np.random.default_rng(77)
