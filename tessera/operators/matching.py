@@ -48,7 +48,7 @@ def evidence_ids(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return g.withColumn("evidence_id", F.format_string("e%04d", F.row_number().over(Window.orderBy("first", *keys)))).drop("first")
 
 
-def min_label_components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def min_label_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of string or integer nodes: (node, root), smallest reachable node.
 
     Every round takes the least label of all neighbours and jumps once; tables are checkpointed every round, so
@@ -60,12 +60,11 @@ def min_label_components(edges: DataFrame, a: str, b: str, rounds: int = 50) ->
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = saved(spark, both.union(both.select("y", "x")).union(both.select("x", "x")).union(both.select("y", "y")).distinct())
     labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("root").alias("above"))
         new = labels.join(near, "node").join(up, "low", "left").select("node", F.least("root", "low", F.coalesce("above", "low")).alias("new"), "root")
         new = saved(spark, new)
         labels = new.select("node", F.col("new").alias("root"))
         if not new.filter("new <> root").limit(1).count():
-            break
-    return labels
+            return labels

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.typing import is_float, is_int, physical_type
+from .tables import saved
 
 
 def unpivot(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -80,14 +81,16 @@ def shared_semantics(fields: DataFrame) -> DataFrame:
 
 def json_paths(df: DataFrame, record: str, text: str) -> DataFrame:
     """Every path of JSON text values: (record, path, type, is_null). Arrays give path[]; numbers keep int and number apart."""
-    # four levels of nesting are unrolled; deeper values keep their container's type only
     v = df.select(F.col(record).alias("record"), F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("v"))
     levels = []
-    for _ in range(4):
-        kind = F.regexp_extract(F.schema_of_variant("v"), r"^(\w+)", 1)
-        levels.append(v.select("record", "path", kind.alias("kind")))
-        inner = v.filter(kind.isin("OBJECT", "ARRAY")).withColumn("arr", kind == "ARRAY")
-        v = _explode_variant(inner)
+    # four levels of nesting are unrolled at a time, as long as values are left
+    while not levels or v.limit(1).count():
+        for _ in range(4):
+            kind = F.regexp_extract(F.schema_of_variant("v"), r"^(\w+)", 1)
+            levels.append(v.select("record", "path", kind.alias("kind")))
+            inner = v.filter(kind.isin("OBJECT", "ARRAY")).withColumn("arr", kind == "ARRAY")
+            v = _explode_variant(inner)
+        v = saved(df.sparkSession, v)
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

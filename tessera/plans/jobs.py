@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql.window import Window
 
 from ..operators.tables import saved
 
+#: Rounds after which the tables of single rounds become one, so that plans of deep graphs stay short.
+MERGE = 16
+
 
 def job_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
@@ -23,36 +27,41 @@ def factorial(*dims: DataFrame) -> DataFrame:
     return out
 
 
-def waves(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of every job: 0 without dependencies, else one above its deepest; -1 on or behind a cycle.
 
-    nodes(job), edges(job, needs). Every round settles the jobs whose needs are all settled.
+    nodes(job), edges(job, needs). Every round settles the jobs whose needs are all settled,
+    until none is left or those left wait for a cycle.
     """
     spark = nodes.sparkSession
     waiting = edges.groupBy("job").agg(F.count_distinct("needs").alias("open"))
     level = saved(spark, nodes.join(waiting, "job", "left_anti").select("job", F.lit(0).alias("level")))
     done = level
-    for i in range(1, most + 1):
+    for i in itertools.count(1):
         ready = edges.distinct().join(done.select(F.col("job").alias("needs")), "needs").groupBy("job").agg(F.count("*").alias("met"))
         new = waiting.join(ready, "job").filter("met = open").join(done, "job", "left_anti").select("job", F.lit(i).alias("level"))
         new = saved(spark, new)
         if not new.limit(1).count():
             break
         done = done.unionByName(new)
+        if i % MERGE == 0:
+            done = saved(spark, done)
     return nodes.join(done, "job", "left").select("job", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
-def blocked(failed: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def blocked(failed: DataFrame, edges: DataFrame) -> DataFrame:
     """All jobs that need a failed job, directly or not."""
     spark = failed.sparkSession
     seen = edges.join(failed.select(F.col("job").alias("needs")), "needs").select("job").distinct()
     front = seen = saved(spark, seen)
-    for _ in range(most):
+    for i in itertools.count(1):
         new = edges.join(front.select(F.col("job").alias("needs")), "needs").select("job").distinct().join(seen, "job", "left_anti")
         new = saved(spark, new)
         if not new.limit(1).count():
             break
         front, seen = new, seen.unionByName(new)
+        if i % MERGE == 0:
+            seen = saved(spark, seen)
     return seen
 
 
@@ -64,11 +73,11 @@ def readiness(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("job", "status", state.alias("state"))
 
 
-def parent_errors(claims: DataFrame, most: int = 64) -> DataFrame:
+def parent_errors(claims: DataFrame) -> DataFrame:
     """claims(claim, parent): missing parents and cycles."""
     known = claims.select(F.col("claim").alias("parent"), F.lit(True).alias("known"))
     missing = claims.filter("parent is not null").join(known, "parent", "left").filter("known is null").select("claim", F.lit("missing_parent").alias("code"))
-    level = waves(claims.select(F.col("claim").alias("job")), claims.filter("parent is not null").join(known, "parent").select(F.col("claim").alias("job"), F.col("parent").alias("needs")), most)
+    level = waves(claims.select(F.col("claim").alias("job")), claims.filter("parent is not null").join(known, "parent").select(F.col("claim").alias("job"), F.col("parent").alias("needs")))
     return missing.union(level.filter("level = -1").select("job", F.lit("cycle")))
 
 

@@ -114,6 +114,34 @@ def test_waves_cycles_and_blocked(spark):
     assert {r.job for r in jobs.blocked(nodes.filter("job = 'a'"), edges).collect()} == {"b", "c"}
 
 
+def test_deep_graphs_are_settled(spark):
+    n = 104
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "job int")
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "job int, needs int")
+    assert {r.job: r.level for r in jobs.waves(nodes, edges).collect()} == {i: i for i in range(n)}
+    assert {r.job for r in jobs.blocked(nodes.filter("job = 0"), edges).collect()} == set(range(1, n))
+
+
+def test_long_claim_chain_is_no_cycle(spark):
+    claims = spark.createDataFrame([(i, i - 1 if i else None) for i in range(68)] + [(100, 101), (101, 100), (200, 999)], "claim int, parent int")
+    assert sorted(map(tuple, jobs.parent_errors(claims).collect())) == [(100, "cycle"), (101, "cycle"), (200, "missing_parent")]
+
+
+def test_components_of_a_long_path(spark):
+    # numbers fall along the path, so that labels take one step a round
+    ids = [0, *range(60, 0, -1)]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a int, b int")
+    assert {(r.node, r.root) for r in matching.min_label_components(edges, "a", "b").collect()} == {(i, 0) for i in ids}
+
+
+
+def test_json_paths_of_any_depth(spark):
+    deep = '{"a":' * 9 + "[1]" + "}" * 9
+    got = profile.json_paths(spark.createDataFrame([(1, deep), (2, "[null]")], "r int, t string"), "r", "t").collect()
+    want = [(1, "$" + ".a" * i, "object" if i < 9 else "array") for i in range(10)] + [(1, "$" + ".a" * 9 + "[]", "integer"), (2, "$", "array"), (2, "$[]", "null")]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_dispatch_lanes():
     c, e = [{"ready_at": 0}], [{"ready_at": 0}]
     assert jobs.lane_choice({}, c, e, 10) == "extraction" and jobs.lane_choice({}, c, e, 1800) == "classification"
