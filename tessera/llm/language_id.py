@@ -21,6 +21,8 @@ from .common import bound_batches, mix
 
 BUCKETS = 1 << 12
 UNDETERMINED = "und"
+#: Texts of each language that are learned from, however many languages there are.
+LEAST = 5
 #: Texts are scanned in pieces of this many code points; counts add up over the whole text.
 PIECE = 1 << 20
 SPACE = 32
@@ -91,7 +93,9 @@ class Codes:
         if len(self.langs) == 1:
             return np.zeros(len(x), int), np.ones(len(x)), np.ones(len(x))
         f = x @ self.weights + self.bias
-        loss = (np.log1p(np.exp(-np.clip(f[:, None, :] * self.words[None], -30, 30))) * self.trust).sum(axis=2)
+        f = np.clip(f, -30, 30)
+        # of bits +1 and of bits -1, so that memory does not grow with languages times bits
+        loss = (np.log1p(np.exp(-f)) * self.trust) @ (self.words > 0).T + (np.log1p(np.exp(f)) * self.trust) @ (self.words < 0).T
         like = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         like /= like.sum(axis=1, keepdims=True)
         top = np.sort(like, axis=1)
@@ -123,20 +127,20 @@ def fit(x: np.ndarray, y: list[str], steps: int = 150, rate: float = 6.0, l2: fl
 
 
 def train(spark: SparkSession, docs: DataFrame, per_language: int = 400, languages: int = 64) -> Codes:
-    """Fit on at most `per_language` texts of each of the `languages` most frequent lang values.
+    """Fit on at most `per_language` texts of every lang value; more than `languages` values share as many texts in all.
 
     docs(doc_id, text, lang) holds the learnable rows; the sample is that of the smallest hashes of doc_id, and
     of each of its texts only hashed counts reach the driver: per_language * languages * BUCKETS * 4 bytes
-    at most, here 400 MB at 64 languages and 26 MB at 4. No usable row gives a model without a language.
+    at most, here 400 MB from 64 languages on and 26 MB at 4, but LEAST texts of every language. No usable row gives a model without a language.
     """
     rows = docs.filter("text is not null and lang is not null")
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    per_language = min(per_language, max(LEAST, per_language * languages // max(rows.select("lang").distinct().count(), 1)))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
     ranked = rows.select("doc_id", "lang", order.alias("h"), F.pmod(order, F.lit(16)).alias("salt"))
     # first within salted parts, so that no task ranks all rows of a frequent language
     for by in (("lang", "salt"), ("lang",)):
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("r") <= per_language).drop("r")
-    ids = ranked.join(known.select("lang"), "lang", "left_semi").select("doc_id", "lang").distinct()
+    ids = ranked.select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,16 @@ def test_language_id(spark, empty):
     assert language_id.identify(spark, empty, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(5)
+    make = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(12)}
+    rows = [(100 * k + i, " ".join(r.choice(make[lang]) for _ in range(30)), lang, "s", 1, "a", "b") for k, lang in enumerate(make) for i in range(10 + k)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(spark, df, per_language=40, languages=3)
+    assert model.langs == sorted(make)
+    assert all(x.lang_pred == x.lang for x in language_id.identify(spark, df, model).collect())
+
+
 # 2
 
 
