@@ -1,117 +1,191 @@
-"""Suffix sorting of a set of byte strings by linear grouping (no renaming, no recursion).
-
-Phase 1 groups suffixes by their Lyndon prefix. Every suffix starts in the group of its first byte; groups are
-processed in descending order, and each suffix i of a group with word u is absorbed by its previous smaller
-suffix p: p's word grows by u and p moves to the group of the longer word, which is still below the current
-one. Pointers to smaller suffixes skip what was absorbed, so each is followed a constant number of times
-amortised. Phase 2 emits the groups in ascending order: a suffix i with word w is followed by the suffix
-i + |w|, which is smaller and so already emitted; emitting that one appends i to its group. Each group is thus
-filled in its final order and is emitted as it stands.
+"""Suffix sorting by linear grouping (no renaming, no recursion), for many sets of byte strings in step.
+
+Phase 1 groups suffixes by their Lyndon prefix. Every suffix starts in the group of its first byte; the groups of
+a set are processed in descending order. Each suffix i of the group of word u is absorbed by its previous smaller
+suffix p, found by pointers that skip what was absorbed: p's word grows by u, and all that grow from one word by
+the same u, equally often, form a new group directly above the one they leave. Groups are segments of one array,
+so the next group down is always the one that holds the element below.
+
+Phase 2 emits the groups in ascending order: a suffix i with word w is followed by the suffix i + |w|, which is
+smaller and has been emitted, so its place orders the group. Members that follow one another come in layers.
+
+One numpy step handles the current group of every set that is not finished, so short sets cost little each. The
+number of steps is the number of distinct words of the richest set.
 """
 
 from __future__ import annotations
 
-import gc
-import heapq
+import numpy as np
+
 
-_DOWN = bytes((0xFE - b) % 256 for b in range(256))  # UTF-8 has no byte above 0xF4
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ...; sizes may be 0."""
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(size)
+    return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
-def suffix_order(strings: list[bytes]) -> list[int]:
-    """Starts of all non-empty suffixes of the strings in their concatenation, in lexicographic order.
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
-    A string's end is smaller than every byte; suffixes equal up to their ends keep an arbitrary order.
-    Bytes 0xFE and 0xFF must not occur (they never do in UTF-8). No strings give no suffixes.
+
+def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes of the strings in lexicographic order, set by set.
+
+    data is the concatenation (uint8) of strings of these sizes; sets numbers the set of each string and must not
+    fall. A string's end is smaller than every byte; suffixes equal up to their ends keep an arbitrary order.
+    Empty strings have no suffix. No strings give no suffixes.
     """
-    # no reference cycles arise here, and the collector would walk millions of small lists
-    collecting = gc.isenabled()
-    gc.disable()
-    try:
-        return _suffix_order(strings)
-    finally:
-        if collecting:
-            gc.enable()
-
-
-def _suffix_order(strings: list[bytes]) -> list[int]:
-    text = b"".join(strings)
-    n = len(text)
-    left = list(range(-1, n - 1))  # nearest suffix to the left that may be smaller
-    end = [0] * n
-    at = 0
-    for s in strings:
-        if s:
-            left[at] = -1
-            end[at + len(s) - 1] = 1
-        at += len(s)
-    single = [bytes([b]) for b in range(256)]
-    word = [single[b] for b in text]
-    groups: dict[bytes, list[int]] = {}
-    for i, w in enumerate(word):
-        if w in groups:
-            groups[w].append(i)
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    full = sizes > 0
+    stop = np.repeat(ends, sizes)
+    which = np.repeat(sets, sizes)
+    which = np.cumsum(np.r_[0, which[1:] != which[:-1]])  # numbered without gaps
+    left = np.arange(-1, n - 1)
+    left[(ends - sizes)[full]] = -1
+
+    # the first groups: one for each first byte of a set
+    key = which * 256 + data
+    sa = np.argsort(key, kind="stable")
+    at = _edges(key[sa])
+    count = len(at)
+    low, high, word = (np.empty(count + n + 1, np.int64) for _ in range(3))  # segment and word length of a group
+    low[:count], high[:count], word[:count] = at, np.r_[at[1:], n], 1
+    group = np.empty(n, np.int64)
+    group[sa] = np.repeat(np.arange(count), high[:count] - at)
+    place = np.empty(n, np.int64)
+    place[sa] = np.arange(n)
+    base = _edges(which[sa])
+    top = np.r_[base[1:], n]
+    open_sets = np.arange(len(base))
+    grown_by = np.zeros(len(base), np.int64)
+    done = np.zeros(n + 1, bool)  # done[-1] stays false: no suffix on the left
+    moving = np.zeros(n, bool)
+
+    while len(open_sets):
+        g = group[sa[top - 1]]
+        s = low[g]
+        mine = sa[ranges(s, top - s)]
+        done[mine] = True
+        p = left[mine]
+        far = np.flatnonzero(done[p])
+        while len(far):
+            p[far] = left[p[far]]
+            left[mine[far]] = p[far]  # pointers of one group double
+            far = far[done[p[far]]]
+        p = p[p >= 0]
+        if len(p):
+            grown_by[open_sets] = word[g]
+            p.sort()
+            cut = _edges(p)
+            times = np.diff(cut, append=len(p))
+            p = p[cut]
+            old = group[p]
+            order = np.argsort(old * (int(times.max()) + 1) + times, kind="stable")
+            p, old, times = p[order], old[order], times[order]
+            cut = _edges(old)
+            num = np.diff(cut, append=len(p))
+            src = old[cut]
+            tail = ranges(high[src] - num, num)
+            was = place[p]
+            moving[was] = True
+            stay = tail[~moving[tail]]
+            if len(stay):
+                free = was[was < np.repeat(high[src] - num, num)]
+                other = sa[stay]
+                sa[free] = other
+                place[other] = free
+            moving[was] = False
+            sa[tail] = p
+            place[p] = tail
+            new = np.zeros(len(p), bool)
+            new[cut] = True
+            new[1:] |= times[1:] != times[:-1]
+            cut = np.flatnonzero(new)
+            num = np.diff(cut, append=len(p))
+            high[src] -= np.diff(_edges(old), append=len(p))
+            ids = np.arange(count, count + len(cut))
+            count += len(cut)
+            low[ids] = tail[cut]
+            high[ids] = tail[cut] + num
+            word[ids] = word[old[cut]] + times[cut] * grown_by[which[p[cut]]]
+            group[p] = np.repeat(ids, num)
+        alive = s > base
+        if alive.all():
+            top = s
         else:
-            groups[w] = [i]
-    heap = [w.translate(_DOWN) + b"\xff" for w in groups]
-    heapq.heapify(heap)
-    by_key = {w.translate(_DOWN) + b"\xff": w for w in groups}
-    gone = bytearray(n)
-    final: list[bytes] = []
-    while heap:
-        u = by_key[heapq.heappop(heap)]
-        own = [i for i in groups[u] if word[i] is u or word[i] == u]
-        if not own:
-            continue
-        final.append(u)
-        for i in own:
-            gone[i] = 1
-        grown: dict[int, int] = {}
-        for i in own:
-            p = left[i]
-            while p >= 0 and gone[p]:
-                p = left[p]
-            left[i] = p
-            if p >= 0:
-                grown[p] = grown.get(p, 0) + 1
-        for p, times in grown.items():
-            w = word[p] + (u if times == 1 else u * times)
-            known = groups.get(w)
-            if known is None:
-                groups[w] = [p]
-                word[p] = w
-                key = w.translate(_DOWN) + b"\xff"
-                by_key[key] = w
-                heapq.heappush(heap, key)
+            top, base, open_sets = s[alive], base[alive], open_sets[alive]
+
+    # Phase 2. Groups of one suffix are in place.
+    cut = _edges(group[sa])
+    g = group[sa[cut]]
+    size = high[g] - cut
+    follow = np.arange(n) + word[group]
+    known = np.zeros(n, bool)
+    known[sa[cut[size == 1]]] = True
+    many = size > 1
+    cut, g, size = cut[many], g[many], size[many]
+    owner = which[sa[cut]]
+    first = np.zeros(which[-1] + 1, np.int64)
+    first[1:] = np.cumsum(np.bincount(which))[:-1]
+    turn = np.arange(len(owner)) - np.repeat(_edges(owner), np.diff(_edges(owner), append=len(owner)))
+    for step in np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1]) if len(turn) else ():
+        lo, num = cut[step], size[step]
+        mine = sa[ranges(lo, num)]
+        slot = np.repeat(np.arange(len(step)), num)
+        nxt = follow[mine]
+        last = nxt >= stop[mine]
+        while True:
+            ready = last.copy()
+            ready[~last] = known[nxt[~last]]
+            if ready.all():
+                now, at_end, to, by = mine, last, nxt, slot
             else:
-                known.append(p)
-                word[p] = w
-    # Phase 2
-    filled: dict[bytes, list[int]] = {w: [] for w in final}
-    waits: list[list[int] | None] = [None] * (n + 1)
-    string_ends: list[int] = []
-    at = 0
-    stop = [0] * n
-    for s in strings:
-        at += len(s)
-        for i in range(at - len(s), at):
-            stop[i] = at
-    for i in range(n):
-        nxt = i + len(word[i])
-        if nxt >= stop[i]:
-            string_ends.append(i)
-        elif waits[nxt] is None:
-            waits[nxt] = [i]
-        else:
-            waits[nxt].append(i)
-    for i in string_ends:
-        filled[word[i]].append(i)
-    out: list[int] = []
-    for w in reversed(final):
-        own = filled[w]
-        for i in own:  # grows while it is read: a word may be followed by itself
-            more = waits[i]
-            if more is not None:
-                for j in more:
-                    filled[word[j]].append(j)
-        out += own
-    return out
+                now, at_end, to, by = mine[ready], last[ready], nxt[ready], slot[ready]
+            rank = np.empty(len(now), np.int64)
+            rank[at_end] = 2 * first[which[now[at_end]]]
+            rank[~at_end] = 2 * place[to[~at_end]] + 1
+            now = now[np.argsort(rank, kind="stable")]
+            num = np.bincount(by, minlength=len(step))
+            spot = ranges(lo, num)
+            sa[spot] = now
+            place[now] = spot
+            known[now] = True
+            if len(now) == len(mine):
+                break
+            lo = lo + num
+            mine, nxt, last, slot = mine[~ready], nxt[~ready], last[~ready], slot[~ready]
+    return sa
+
+
+def equal_runs(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all length-byte strings, those of equal bytes (in one set) adjacent, and the run each is in.
+
+    Neighbours in suffix order are compared byte by byte, eight at once.
+    """
+    order = suffix_order(data, sizes, sets)
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    order = order[order + length <= stop[order]]
+    if not len(order):
+        return order, order
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    which = np.repeat(sets, sizes)[order]
+    same = which[1:] == which[:-1]
+    if length >= 8:
+        view = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+        offsets = [*range(0, length - 7, 8), length - 8]
+    else:
+        view, offsets = data, list(range(length))
+    for o in dict.fromkeys(offsets):
+        at = np.flatnonzero(same)
+        same[at] = view[order[at] + o] == view[order[at + 1] + o]
+    return order, np.cumsum(np.r_[0, ~same])

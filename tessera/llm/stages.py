@@ -39,10 +39,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Code points cut by a removed string go with it; n_chars is counted anew. Texts that lose all their words go.
     """
     out = suffix_dedup.repeated_bytes(spark, docs, length=50)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    out = out.withColumn("_text", text).filter("n_removed = 0 or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    cols = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns])
+    left = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    out = out.select("row", "n_removed", left.alias("left")).filter("n_removed = 0 or left rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    cols = {"text": F.col("left"), "n_chars": F.char_length("left").cast("long")}
+    return out.select(*[cols[c].alias(c) if c in cols else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

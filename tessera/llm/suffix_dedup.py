@@ -1,26 +1,29 @@
-"""Removal of byte strings that repeat across documents, by generalised suffix arrays over candidate windows.
-
-A byte is removed when a LENGTH-byte string covering it also starts in a document with a smaller doc_id.
-
-1. Anchors. Each LENGTH-byte string selects the K-byte string of smallest hash inside it, so equal strings
-   select equal anchors at equal offsets. Anchor hashes are bucketed, packed as bytes and checked for a second
-   document; an anchor already seen in two documents of one task needs no check and is sent once.
-2. Chunks. Some anchors cut a text into chunks (each with the LENGTH-1 bytes after it). A chunk that a document
-   of a smaller id has too is settled: all its starts repeat. A task sends each chunk once, for its smallest id.
-3. Windows. The other starts whose anchor is shared, grouped by anchor occurrence, give windows of at most
-   2*LENGTH-K bytes. Equal windows of one task are sent once, for their smallest doc_id.
-4. Suffix arrays. Windows of one anchor meet in one task (of a very frequent anchor: all equal LENGTH-byte
-   strings meet). Windows are cut to where their first LEAD bytes occur twice, then blocks of them are sorted by
-   linear grouping (grouping_sort); runs of suffixes that agree on LENGTH bytes give each string's smallest doc_id.
-5. Runs of repeated starts go back to their documents, which drop the covered bytes.
-
-Only hashes, windows and runs are grouped; nothing is collected on the driver.
+"""Removal of byte strings that repeat across documents, by suffix arrays built with linear grouping.
+
+A byte is removed when a LENGTH-byte string covering it also starts in a document with a smaller doc_id. Whether
+two strings are equal is always read off the suffix order of grouping_sort, whose neighbours are compared byte by
+byte. Hashes only decide which texts meet in one task; a clash of hashes makes a task look at more, never remove
+more, and equal strings always have equal hashes.
+
+1. Chunks. Content-defined cuts split every text; a chunk carries the LENGTH-1 bytes after it, so each string
+   starts in exactly one. Chunks of equal hash are suffix-sorted together, first those of one map task, then
+   what is left in the task of their bucket. A start is marked when a smaller document has its string; a chunk
+   whose starts are all marked needs no more work, since the smallest document's copy is never marked.
+2. Anchors. What is left is nearly distinct. Each string selects the K-byte string of smallest hash inside it, so
+   equal strings select equal anchors. Blocks of chunks send their anchors' hashes and get back those that another
+   block has too.
+3. Windows. Strings of one anchor occurrence that is shared form a window; windows of equal anchors are
+   suffix-sorted together, again within the block first. Many different windows of one anchor are split into their
+   strings, which are sorted by content, so a frequent anchor is shared out.
+4. Marked runs go back to their documents, which drop the covered bytes.
+
+A group too large for one sort is sorted in slices of rising doc_id, carrying the unmarked ones; nothing is collected.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,363 +31,436 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, Tables, _powers, bound_batches, mix, prefix_hash
-from .grouping_sort import suffix_order
-
-K = 16
-#: Anchor entries and windows held by a task before they are sent.
-FLUSH = 1_500_000
-#: One anchor in so many cuts a chunk.
-CUT = 16
-#: Bytes of a string that must occur twice before it is sorted.
-LEAD = 48
-#: Window bytes sorted at once.
-BLOCK = 1 << 20
-#: An anchor with more windows than this is split by the strings that contain it.
-HOT = 20_000
-CHUNK = 1 << 20
-NOBODY = np.iinfo(np.int64).min
-
-
-def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor position of every start of a length-byte string, and the hash of every K-byte string."""
-    n = len(data) - K + 1
-    pw, inv = _powers(len(data))
-    pre = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * pw[: len(data)], out=pre[1:])
-    h = mix((pre[K:] - pre[:-K]) * inv[:n])
-    v = (h & ~np.uint64(CHUNK * 2 - 1)) | np.arange(n, dtype=np.uint64)
-    w, span = length - K + 1, 1
-    while 2 * span <= w:
-        v = np.minimum(v[:-span], v[span:])
-        span *= 2
-    if span < w:
-        v = np.minimum(v[: len(v) - (w - span)], v[w - span :])
-    return (v & np.uint64(CHUNK * 2 - 1)).astype(np.int64), h
+from .common import Tables, bound_batches, mix
+from .grouping_sort import _edges, equal_runs, ranges
 
+#: Bytes of text that a map task gathers before it sorts and sends, and bytes of one suffix sort.
+FLUSH = 4 << 20
+SORT = 3 << 19
+#: One position in so many ends a chunk; a chunk without one is cut at the limit.
+CUT = 256
+LONGEST = 2048
+#: Bytes of an anchor, and bytes of text for each bucket.
+K = 24
+BUCKET_BYTES = 8 << 20
+#: More different windows than this (or blocks that hold the anchor) are split into single strings.
+SPLIT = 128
 
-def _pieces(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Overlapping chunks of a long text; every length-byte string starts in exactly one."""
-    for at in range(0, max(1, len(data) - length + 1), CHUNK):
-        yield at, data[at : at + CHUNK + length - 1]
+SENT = "bucket int, kind int, block long, rk long, meta binary, text binary"
+KEYS = "bucket int, block long, a binary, b binary"
+MARKS = "doc_id long, rk long, runs binary"
+_C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _runs(rk: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Touching runs of a row joined, sorted by row and start."""
-    order = np.lexsort((start, rk))
-    rk, start, end = rk[order], start[order], end[order]
-    if not len(rk):
-        return rk, start, end
-    other = np.r_[True, rk[1:] != rk[:-1]]
-    far = np.cumsum(other) * (int(end.max()) + 1)  # keeps rows apart
-    new = other | np.r_[True, (far + start)[1:] > np.maximum.accumulate(far + end)[:-1]]
-    first = np.flatnonzero(new)
-    return rk[first], start[first], np.maximum.reduceat(end, first)
+def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of equal values, half open."""
+    cut = _edges(x).tolist()
+    return zip(cut, [*cut[1:], len(x)][: len(cut)], strict=True)
 
 
-def _by_row(rk: np.ndarray, data: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rk, kind, packed data) of data grouped by rk."""
-    if not len(rk):
-        return
-    order = np.argsort(rk, kind="stable")
-    rk, data = rk[order], data[order]
-    cut = np.flatnonzero(np.r_[True, rk[1:] != rk[:-1]])
-    ends = np.r_[cut[1:], len(rk)]
-    yield pa.RecordBatch.from_arrays([pa.array(rk[cut], pa.int64()), pa.array(np.full(len(cut), kind, np.int32)), pa.array([data[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["rk", "kind", "data"])
+class Strings(NamedTuple):
+    """Strings of one buffer: where each starts, its size, the key under which it meets others, and its owner."""
 
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+    doc: np.ndarray
+    rk: np.ndarray
+    pos: np.ndarray
 
-def _find(length: int, buckets: int):
-    """Per task: anchors and chunks as packed buckets to be resolved, and what is settled already.
+    def take(self, at: np.ndarray) -> Strings:
+        return Strings(self.data, *(c[at] for c in self[1:]))
 
-    Rows are (bucket, kind, rk, data): kind 0 anchors of one document or of nobody in particular, 1 chunks, both to
-    be resolved by bucket; 2 shared anchors and 3 settled starts of the row rk.
-    """
+    def packed(self) -> tuple[bytes, bytes]:
+        meta = np.stack([self.size, self.key.view(np.int64), self.doc, self.rk, self.pos])
+        return meta.astype("<i8").tobytes(), self.data[ranges(self.start, self.size)].tobytes()
 
-    def pack(key: np.ndarray, cols: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
-        part = (key >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.argsort(part, kind="stable")
-        part, key, cols = part[order], key[order], [c[order] for c in cols]
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-        data = [key[a:b].tobytes() + b"".join(c[a:b].astype("<i8").tobytes() for c in cols) for a, b in zip(cut, np.r_[cut[1:], len(part)], strict=False)]
-        n = len(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(np.full(n, kind, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(data, pa.binary())], ["bucket", "kind", "rk", "data"])
-
-    def settled(rk: np.ndarray, data: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-        for b in _by_row(rk, data, kind):
-            yield pa.RecordBatch.from_arrays([pa.array((b.column(0).to_numpy() % buckets).astype(np.int32)), *(b.column(i) for i in (1, 0, 2))], ["bucket", "kind", "rk", "data"])
-
-    def flush(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        ids, rks = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-        key = np.concatenate([h[2] for h in held])
-        row = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-        order = np.argsort(key, kind="stable")
-        key, row = key[order], row[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        many = np.minimum.reduceat(ids[row], first) != np.maximum.reduceat(ids[row], first)
-        size = np.diff(np.r_[first, len(key)])
-        yield from pack(key[first], [np.where(many, NOBODY, ids[row[first]]), np.where(many, 0, rks[row[first]])], 0)
-        keep = np.repeat(many, size)
-        yield from settled(rks[row[keep]], key[keep], 2)
-        # chunks: columns key, start, end
-        chunk = np.concatenate([h[3] for h in held], axis=1)
-        row = np.repeat(np.arange(len(held)), [h[3].shape[1] for h in held])
-        if not len(row):
+
+def unpacked(rows: list[tuple[bytes, bytes]]) -> Strings:
+    meta = np.concatenate([np.frombuffer(m, "<i8").reshape(5, -1) for m, _ in rows], axis=1)
+    data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    return Strings(data, np.cumsum(meta[0]) - meta[0], meta[0], meta[1].view(np.uint64), *meta[2:])
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    return np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def _string_keys(x: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the length-byte string at each of these places; x: eights."""
+    h = np.full(len(at), length, np.uint64)
+    for o in dict.fromkeys([*range(0, length - 7, 8), length - 8]):
+        h = mix(h + x[at + o] * _C[0])
+    return h
+
+
+class Runs:
+    """Marked runs of starts, [first, last + 1) in the coordinates of their rows."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc: np.ndarray, rk: np.ndarray, first: np.ndarray, end: np.ndarray) -> None:
+        if len(doc):
+            self.held.append((doc, rk, first, end))
+
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        """One row for each document: its runs, joined where they touch."""
+        if not self.held:
             return
-        order = np.lexsort((ids[row], chunk[0]))
-        chunk, row = chunk[:, order], row[order]
-        first = np.r_[True, chunk[0][1:] != chunk[0][:-1]]
-        low = ids[row][np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))]
-        again = ids[row] > low
-        span = chunk[1:].astype(np.int64)
-        yield from settled(rks[row[again]], span.T[again], 3)
-        one = first  # equal smallest ids are repeated rows; each needs its own answer
-        one = one | (~again)
-        yield from pack(chunk[0][one], [ids[row[one]], rks[row[one]], span[0][one], span[1][one]], 1)
+        doc, rk, first, end = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held = []
+        order = np.lexsort((first, rk, doc))
+        doc, rk, first, end = doc[order], rk[order], first[order], end[order]
+        other = np.r_[True, (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1])]
+        far = np.cumsum(other) * (int(end.max()) + 1)  # keeps rows apart
+        new = np.flatnonzero(other | np.r_[True, (far + first)[1:] > np.maximum.accumulate(far + end)[:-1]])
+        runs = np.stack([first[new], np.maximum.reduceat(end, new)], axis=1).astype("<i8")
+        cut = np.flatnonzero(other[new])
+        for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(new)], strict=True):
+            yield int(doc[new[a]]), int(rk[new[a]]), runs[a:e].tobytes()
+
+
+def _judge_block(s: Strings, length: int, runs: Runs) -> np.ndarray:
+    """Sort strings that lie by key, note the starts that a smaller doc has too; which strings keep an unmarked one."""
+    text = s.data[ranges(s.start, s.size)]
+    base = np.cumsum(s.size) - s.size
+    own = np.repeat(np.arange(len(s.size)), s.size)
+    order, run = equal_runs(text, s.size, np.cumsum(np.r_[0, s.key[1:] != s.key[:-1]]), length)
+    doc = s.doc[own[order]]
+    low = np.minimum.reduceat(doc, _edges(run))
+    hit = np.zeros(len(text) + 1, bool)
+    hit[order[doc > low[run]]] = True
+    edge = np.flatnonzero(np.diff(hit[:-1], prepend=False, append=False))
+    a, e = edge[::2], edge[1::2]  # the last starts of a string are never marked, so runs stay inside strings
+    at = own[a]
+    runs.add(s.doc[at], s.rk[at], s.pos[at] + a - base[at], s.pos[at] + e - base[at])
+    return np.bincount(at, e - a, len(s.size)) < s.size - length + 1
+
+
+def judge(s: Strings, length: int, runs: Runs) -> Strings:
+    """Strings of equal keys meet; those with an unmarked start come back, by key and document."""
+    s = s.take(np.lexsort((s.doc, s.key)))
+    cut = _edges(s.key)
+    if not len(cut):
+        return s
+    several = np.minimum.reduceat(s.doc, cut) != np.maximum.reduceat(s.doc, cut)
+    num = np.diff(cut, append=len(s.key))
+    left = ~np.repeat(several, num)
+    todo = np.flatnonzero(~left)
+    firsts = np.zeros(len(s.key), bool)
+    firsts[cut] = True
+    ends = np.cumsum(s.size[todo])
+    at = 0
+    while at < len(todo):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT, "right"))
+        to = max(to, at + 1)
+        if to < len(todo):
+            whole = np.flatnonzero(firsts[todo[at + 1 : to + 1]])
+            to = at + 1 + int(whole[-1]) if len(whole) else to
+        part = todo[at:to]
+        while to < len(todo) and not firsts[todo[to]]:  # a set larger than one sort: carry what is left
+            part = part[_judge_block(s.take(part), length, runs)]
+            most = max(SORT, 2 * int(s.size[part].sum()))
+            more = max(to + 1, int(np.searchsorted(ends, ends[to - 1] + most, "right")))
+            after = np.flatnonzero(firsts[todo[to:more]])
+            more = to + int(after[0]) if len(after) else more
+            part, to = np.concatenate([part, todo[to:more]]), more
+        left[part] = _judge_block(s.take(part), length, runs)
+        at = to
+    return s.take(np.flatnonzero(left))
+
+
+def frequent(s: Strings) -> np.ndarray:
+    """Which windows have a key with more than SPLIT different ones."""
+    if not len(s.key):
+        return np.zeros(0, bool)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(_eights(s.data) * _C[1]), dtype=np.uint64)])
+    look = total[s.start + s.size - 7] - total[s.start]
+    order = np.lexsort((look, s.key))
+    new = np.r_[True, s.key[order][1:] != s.key[order][:-1]][: len(order)]
+    kinds = np.cumsum(new | np.r_[True, look[order][1:] != look[order][:-1]][: len(order)])
+    cut = np.flatnonzero(new)
+    many = np.diff(kinds[cut], append=kinds[-1:] + 1) > SPLIT
+    out = np.zeros(len(s.key), bool)
+    out[order] = np.repeat(many, np.diff(cut, append=len(order)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def singles(s: Strings, length: int) -> Strings:
+    """The strings of windows one by one, each under its own hash."""
+    n = s.size - length + 1
+    start = ranges(s.start, n)
+    own = np.repeat(np.arange(len(n)), n)
+    return Strings(s.data, start, np.full(len(start), length), _string_keys(_eights(s.data), start, length), s.doc[own], s.rk[own], s.pos[own] + start - s.start[own])
+
+
+def judge_windows(s: Strings, length: int, runs: Runs) -> None:
+    """Marks of windows that go no further."""
+    many = frequent(s)
+    judge(s.take(~many), length, runs)
+    judge(singles(s.take(many), length), length, runs)
+
+
+def _sent(s: Strings, buckets: int, kind: int) -> Iterator[tuple]:
+    bucket = ((s.key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for a, e in _spans(bucket[order]):
+        yield int(bucket[order[a]]), kind, None, None, *s.take(order[a:e]).packed()
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], [n for n, _ in names])
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of some megabytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 64 + sum(len(x) for x in r if isinstance(x, bytes))
+        if size >= FLUSH:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _mark_rows(runs: Runs, buckets: int) -> Iterator[tuple]:
+    """Marks travel beside texts: block is the doc_id, text the runs."""
+    for doc, rk, data in runs.rows():
+        yield rk % buckets, 1, doc, rk, None, data
+
+
+def _cuts(x: np.ndarray, n: int) -> np.ndarray:
+    """Chunk borders of n starts: 0, content-defined places, n; none farther apart than LONGEST."""
+    cut = np.concatenate([[0], np.flatnonzero((x[1:n] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT) + 1, [n]])
+    wide = np.flatnonzero(np.diff(cut) > LONGEST)
+    return np.union1d(cut, np.concatenate([np.arange(cut[i], cut[i + 1], LONGEST) for i in wide])) if len(wide) else cut
+
+
+def _chunks(length: int, buckets: int):
+    """Chunks of whole texts by the bucket of their hash; the task's own repeats are settled first."""
+
+    def flush(held: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+        texts = [np.frombuffer(t, np.uint8) for _, _, t in held]
+        data = np.concatenate(texts)
+        x = _eights(data)
+        base = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        cuts = [_cuts(x[b : b + len(t)], len(t) - length + 1) for b, t in zip(base, texts, strict=True)]
+        n = [len(c) - 1 for c in cuts]
+        pos = np.concatenate([c[:-1] for c in cuts])
+        size = np.concatenate([np.diff(c) for c in cuts]) + length - 1
+        start = pos + np.repeat(base, n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _C[1]), dtype=np.uint64)])
+        key = mix(total[start + size - 7] - total[start] + size.astype(np.uint64))
+        runs = Runs()
+        left = judge(Strings(data, start, size, key, *(np.repeat(np.array([h[i] for h in held]), n) for i in (0, 1)), pos), length, runs)
+        yield from _sent(left, buckets, 0)
+        yield from _mark_rows(runs, buckets)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held, total = [], 0
         for b in batches:
             for doc, rk, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-                if doc is None or len(data) < length:
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                if doc is None or len(raw) < length:
                     continue
-                for base, part in _pieces(data, length):
-                    at, h = _anchors(part, length)
-                    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    own = h[at[new]]
-                    cut = np.r_[0, new[1:][own[1:] % np.uint64(CUT) == 0], len(at)]
-                    pre, inv = prefix_hash(part)
-                    a, e = cut[:-1], cut[1:] + length - 1
-                    key = mix((pre[e] - pre[a]) * inv[a] + (e - a).astype(np.uint64))
-                    held.append((doc, rk, np.unique(own), np.stack([key, (a + base).astype(np.uint64), (cut[1:] + base).astype(np.uint64)])))
-                    total += len(own)
-                    if total >= FLUSH:
-                        yield from flush(held)
-                        held, total = [], 0
+                held.append((doc, rk, raw))
+                total += len(raw)
+                if total >= FLUSH:
+                    yield from flush(held)
+                    held, total = [], 0
         if held:
             yield from flush(held)
 
-    return run
+    return lambda batches: _batches(rows(batches), SENT)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors and chunks of one bucket: shared anchors (kind 2) and settled starts (kind 3) by row."""
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes]], list[tuple]]]:
+    """Rows sorted by bucket, a bucket at a time: its texts and its marks."""
+    now, texts, marks = None, [], []
     for b in batches:
-        kinds = b.column(1).to_numpy()
-        if (done := np.flatnonzero(kinds >= 2)).size:
-            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(done)) for i in (2, 1, 3)], ["rk", "kind", "data"])
-        for i in np.flatnonzero(kinds < 2).tolist():
-            k, raw = int(kinds[i]), np.frombuffer(b.column(3)[i].as_py(), "<u8")
-            cols = raw.reshape(3 if k == 0 else 5, -1)
-            found[k].append(cols)
-    if found[0]:
-        cols = np.concatenate(found[0], axis=1)
-        order = np.argsort(cols[0], kind="stable")
-        key, doc, rk = cols[0][order], cols[1][order].view(np.int64), cols[2][order].view(np.int64)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        keep = np.repeat(shared, np.diff(np.r_[first, len(key)])) & (doc != NOBODY)
-        yield from _by_row(rk[keep], key[keep], 2)
-    if found[1]:
-        cols = np.concatenate(found[1], axis=1)
-        doc = cols[1].view(np.int64)
-        order = np.lexsort((doc, cols[0]))
-        key, doc, rk, span = cols[0][order], doc[order], cols[2][order].view(np.int64), cols[3:, order].astype(np.int64)
-        first = np.r_[True, key[1:] != key[:-1]]
-        again = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        yield from _by_row(rk[again], span.T[again], 3)
-
-
-def _windows(length: int):
-    """Windows of the starts whose anchor is shared and whose chunk is not settled; without a window: settled runs."""
-
-    def flush(held: dict[tuple[int, bytes], list[tuple[int, int, int]]], settled: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[], [], [], [], []]
-        for (anchor, win), seen in held.items():
-            low = min(d for d, _, _ in seen)
-            for d, rk, pos in seen:
-                if d > low:
-                    settled.append((rk, pos, pos + len(win) - length + 1))
-                    continue
-                for c, x in zip(cols, (anchor, win, d, rk, pos), strict=True):
-                    c.append(x)
-        rk, start, end = _runs(*np.array(settled, np.int64).reshape(-1, 3).T)
-        n = len(rk)
-        whole = [cols[0] + [None] * n, cols[1] + [None] * n, cols[2] + [None] * n, cols[3] + rk.tolist(), cols[4] + start.tolist(), [None] * len(cols[0]) + (end - start).tolist()]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        for a in range(0, len(whole[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000], k) for c, k in zip(whole, kinds, strict=True)], ["anchor", "win", "doc_id", "rk", "pos", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, settled, total = {}, [], 0
-        for b in batches:
-            for doc, rk, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                known = np.unique(np.frombuffer(b"".join(p["data"] for p in parts if p["kind"] == 2), np.uint64))
-                spans = np.frombuffer(b"".join(p["data"] for p in parts if p["kind"] == 3), np.int64).reshape(-1, 2)
-                free = np.ones(len(raw) + 1, bool)
-                for a, e in spans.tolist():
-                    free[a:e] = False
-                    settled.append((rk, a, e))
-                total += len(spans) // 4
-                for base, part in _pieces(np.frombuffer(raw, np.uint8), length) if len(known) and free.any() else ():
-                    at, h = _anchors(part, length)
-                    own = h[at]
-                    hit = (known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own) & free[base : base + len(at)]
-                    # runs of hits of one anchor occurrence
-                    edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (hit[1:] != hit[:-1])])
-                    end = np.r_[edge[1:], len(at)]
-                    use = hit[edge]
-                    for a, e, x in zip(edge[use].tolist(), end[use].tolist(), own[edge[use]].view(np.int64).tolist(), strict=True):
-                        held.setdefault((x, raw[base + a : base + e + length - 1]), []).append((doc, rk, base + a))
-                        total += 1
-                if total >= FLUSH // 8:
-                    yield from flush(held, settled)
-                    held, settled, total = {}, [], 0
-        if held or settled:
-            yield from flush(held, settled)
-
-    return run
+        for bucket, kind, block, rk, meta, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != now:
+                if now is not None:
+                    yield now, texts, marks
+                now, texts, marks = bucket, [], []
+            if kind == 0:
+                texts.append((meta, text))
+            else:
+                marks.append((bucket, kind, block, rk, meta, text))
+    if now is not None:
+        yield now, texts, marks
+
+
+def _blocks(length: int, buckets: int):
+    """Chunks of one hash meet; what is left goes on in blocks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for bucket, texts, marks in _by_bucket(batches):
+            yield from marks
+            if not texts:
+                continue
+            runs = Runs()
+            left = judge(unpacked(texts), length, runs)
+            yield from _mark_rows(runs, buckets)
+            ends = np.cumsum(left.size)
+            for i, at in enumerate(np.split(np.arange(len(left.size)), np.searchsorted(ends, np.arange(FLUSH, int(ends[-1]), FLUSH))) if len(ends) else ()):
+                if len(at):
+                    yield bucket, 0, bucket << 24 | i, None, *left.take(at).packed()
+
+    return lambda batches: _batches(rows(batches), SENT)
+
+
+def _anchors(s: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of a block: where they start, the place of their anchor, its hash, and the chunk they are in."""
+    k = min(K, length - 8)
+    x = _eights(s.data)
+    h = np.zeros(max(0, len(s.data) - k + 1), np.uint64)
+    for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
+        h += mix(x[o : o + len(h)] * _C[i % 4] + np.uint64(i))
+    h = mix(h)
+    low = np.uint64((1 << 24) - 1)
+    v = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
+    w, span = length - k + 1, 1
+    while 2 * span <= w:
+        v = np.minimum(v[:-span], v[span:])
+        span *= 2
+    if span < w:
+        v = np.minimum(v[: len(v) - (w - span)], v[w - span :])
+    n = s.size - length + 1
+    start = ranges(s.start, n)
+    at = (v[start] & low).astype(np.int64) + (start & ~np.int64(low))
+    at += (at < start) * np.int64(1 << 24)  # places are kept modulo 2**24
+    return start, at, h[at] >> np.uint64(8), np.repeat(np.arange(len(n)), n)
 
 
-def _split(length: int):
-    """Windows of a very frequent anchor as their single length-byte strings, keyed by content."""
+def _anchor_keys(length: int, buckets: int):
+    """Distinct anchors of each block by bucket; the low bits of a hash name the bucket and are not sent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for win, doc, rk, pos in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for i in range(len(win) - length + 1):
-                    s = win[i : i + length]
-                    for c, x in zip(out, (int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), s, doc, rk, pos + i), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["anchor", "win", "doc_id", "rk", "pos"])
+            for block, meta, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = np.unique(_anchors(unpacked([(meta, text)]), length)[2])
+                part = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                for a, e in _spans(part[order]):
+                    rest = key[order[a:e]] // np.uint64(buckets) & np.uint64((1 << 40) - 1)
+                    yield int(part[order[a]]), block, rest.astype("<u4").tobytes(), (rest >> np.uint64(32)).astype("u1").tobytes()
 
-    return run
-
-
-def owners(windows: list[bytes], docs: list[int], length: int) -> list[int]:
-    """Mask of the starts of each window whose length-byte string a smaller doc has among the windows."""
-    text = np.frombuffer(b"".join(windows), np.uint8)
-    sizes = np.array([len(w) for w in windows])
-    base = np.cumsum(sizes) - sizes
-    own = np.repeat(np.arange(len(windows)), sizes)
-    start = np.arange(len(text)) - base[own]
-    order = np.array(suffix_order(windows), np.int64)
-    order = order[start[order] + length <= sizes[own[order]]]
-    grams = np.lib.stride_tricks.sliding_window_view(text, length)[order]
-    new = np.r_[True, (grams[1:] != grams[:-1]).any(axis=1)]
-    group = np.cumsum(new) - 1
-    doc = np.array(docs)[own[order]]
-    low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, group, doc)
-    masks = [0] * len(windows)
-    for p in order[doc > low[group]].tolist():
-        masks[own[p]] |= 1 << int(start[p])
-    return masks
-
-
-def trimmed(windows: list[bytes], docs: list[int], length: int) -> list[tuple[int, int] | None]:
-    """For each window the first and last start whose first LEAD bytes another doc's window has too; None without."""
-    text = np.frombuffer(b"".join(windows), np.uint8)
-    sizes = np.array([len(w) for w in windows])
-    base = np.cumsum(sizes) - sizes
-    own = np.repeat(np.arange(len(windows)), sizes - length + 1)
-    n = sizes - length + 1
-    start = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    at = base[own] + start
-    pre, inv = prefix_hash(text)
-    lead = min(LEAD, length)
-    key = (pre[at + lead] - pre[at]) * inv[at]
-    order = np.argsort(key, kind="stable")
-    doc = np.array(docs)[own[order]]
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    twice = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.zeros(len(own), bool)
-    keep[order] = np.repeat(twice, np.diff(np.r_[first, len(order)]))
-    out: list[tuple[int, int] | None] = [None] * len(windows)
-    for w, s in zip(own[keep].tolist(), start[keep].tolist(), strict=True):
-        out[w] = (s, s) if out[w] is None else (out[w][0], s)
-    return out
+    return lambda batches: _batches(rows(batches), KEYS)
 
 
-def _sort_blocks(length: int):
-    """Rows of one anchor are adjacent. Windows that differ go through the suffix array, a block at a time."""
-
-    def block(held: dict[int, dict[bytes, list[tuple[int, int, int]]]]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        some = [(w, rows) for g in held.values() if len(g) > 1 for w, rows in g.items()]
-        cut = trimmed([w for w, _ in some], [min(r)[0] for _, r in some], length) if some else []
-        # equal cut windows are sorted once, for their smallest doc
-        low: dict[bytes, int] = {}
-        for (w, rows), c in zip(some, cut, strict=True):
-            if c:
-                t = w[c[0] : c[1] + length]
-                low[t] = min(min(rows)[0], low.get(t, rows[0][0]))
-        masks = dict(zip(low, owners(list(low), list(low.values()), length), strict=True)) if low else {}
-        for (w, rows), c in zip(some, cut, strict=True):
-            mine = min(rows)[0]
-            mask = 0
-            if c:
-                t = w[c[0] : c[1] + length]
-                mask = (masks[t] if mine == low[t] else (1 << (c[1] - c[0] + 1)) - 1) << c[0]
-            for d, rk, pos in rows:
-                out += [(rk, pos, pos + len(w) - length + 1)] if d > mine else [(rk, pos + a, pos + e) for a, e in _bits(mask)]
-        for g in held.values():
-            if len(g) == 1:
-                for w, rows in g.items():
-                    mine = min(rows)[0]
-                    out += [(rk, pos, pos + len(w) - length + 1) for d, rk, pos in rows if d > mine]
-        rk, start, end = _runs(*np.array(out, np.int64).reshape(-1, 3).T)
-        yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(start), pa.array(end - start)], ["rk", "pos", "n"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block the places, among the anchors it sent to a bucket, of those that another block has (1) or many have (2)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-        size = 0
+    def answer(bucket: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
+        key = np.concatenate([np.frombuffer(a, "<u4").astype(np.uint64) | np.frombuffer(b, "u1").astype(np.uint64) << np.uint64(32) for _, a, b in held])
+        n = [len(b) for _, _, b in held]
+        order = np.argsort(key, kind="stable")
+        cut = _edges(key[order])
+        num = np.diff(cut, append=len(key))
+        flag = np.empty(len(key), np.uint8)
+        flag[order] = np.repeat((num > 1).astype(np.uint8) + (num > SPLIT), num)
+        for (block, _, _), f in zip(held, np.split(flag, np.cumsum(n)[:-1]), strict=True):
+            if f.any():
+                yield bucket, block, f.tobytes()
+
+    def rows() -> Iterator[tuple]:
+        now, held = None, []
         for b in batches:
-            for anchor, win, doc, rk, pos in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= BLOCK and anchor not in held:
-                    yield from block(held)
-                    held, size = {}, 0
-                g = held.setdefault(anchor, {})
-                if win in g:
-                    g[win].append((doc, rk, pos))
-                else:
-                    g[win] = [(doc, rk, pos)]
-                    size += len(win)
+            for bucket, block, a, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if bucket != now:
+                    if held:
+                        yield from answer(now, held)
+                    now, held = bucket, []
+                held.append((block, a, c))
         if held:
-            yield from block(held)
+            yield from answer(now, held)
 
-    return run
+    return _batches(rows(), "bucket int, block long, flags binary")
 
 
-def _bits(mask: int) -> Iterator[tuple[int, int]]:
-    """Runs of set bits as half-open ranges."""
-    at = 0
-    while mask:
-        low = (mask & -mask).bit_length() - 1
-        mask >>= low
-        ones = ((mask + 1) & -(mask + 1)).bit_length() - 1
-        yield at + low, at + low + ones
-        mask >>= ones
-        at += low + ones
+def _windows(length: int, anchor_buckets: int, buckets: int):
+    """Windows of the starts whose anchor another document may have; the block's own repeats are settled first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for meta, text, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = unpacked([(meta, text)])
+                start, at, key, own = _anchors(s, length)
+                known, back = np.unique(key, return_inverse=True)
+                # what the buckets said of the anchors sent to them, in the order they were sent
+                flag = np.zeros(len(known), np.uint8)
+                if answers:
+                    part = (known % np.uint64(anchor_buckets)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    begin = np.searchsorted(part[order], np.array([a["bucket"] for a in answers]))
+                    for i, a in zip(begin.tolist(), answers, strict=True):
+                        f = np.frombuffer(a["flags"], np.uint8)
+                        flag[order[i : i + len(f)]] = f
+                doc = s.doc[own]
+                low = np.full(len(known), np.iinfo(np.int64).max)
+                high = np.full(len(known), np.iinfo(np.int64).min)
+                np.minimum.at(low, back, doc)
+                np.maximum.at(high, back, doc)
+                hit = ((flag > 0) | (low != high))[back]
+                edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])])
+                size = np.diff(edge, append=len(at)) + length - 1
+                edge, size = edge[hit[edge]], size[hit[edge]]
+                of = own[edge]
+                win = Strings(s.data, start[edge], size, key[edge], s.doc[of], s.rk[of], s.pos[of] + start[edge] - s.start[of])
+                said = flag[back[edge]]
+                runs = Runs()
+                judge_windows(win.take(said == 0), length, runs)
+                some = win.take(said == 1)
+                many = frequent(some)
+                for x in (some.take(many), judge(some.take(~many), length, runs), judge(singles(win.take(said == 2), length), length, runs)):
+                    yield from _sent(x, buckets, 0)
+                yield from _mark_rows(runs, buckets)
+
+    return lambda batches: _batches(rows(batches), SENT)
+
+
+def _meet(length: int, buckets: int):
+    """Windows of one anchor meet; marks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, texts, marks in _by_bucket(batches):
+            for _, _, doc, rk, _, data in marks:
+                yield doc, rk, data
+            if texts:
+                runs = Runs()
+                judge_windows(unpacked(texts), length, runs)
+                yield from runs.rows()
+
+    return lambda batches: _batches(rows(batches), MARKS)
 
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, spans, kept = [], [], [], []
-            for text, marks in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
+                n.append(len(raw))
+                if not marks:
+                    removed.append(0)
+                    spans.append([])
+                    kept.append(raw)
+                    continue
                 cover = np.zeros(len(raw) + 1, np.int64)
-                if marks:
-                    pos = np.array([m["pos"] for m in marks])
-                    np.add.at(cover, pos, 1)
-                    np.add.at(cover, pos + np.array([m["n"] for m in marks]) + length - 1, -1)
+                runs = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
+                np.add.at(cover, runs[:, 0], 1)
+                np.add.at(cover, runs[:, 1] + length - 1, -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                n.append(len(raw))
+                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 removed.append(int(gone.sum()))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
@@ -394,41 +470,48 @@ def _remove(length: int):
     return run
 
 
-def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
-    """All columns of docs(doc_id, text, ...) and n_bytes, n_removed, spans (start, end), kept (bytes).
+def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> DataFrame:
+    """Marked runs (doc_id, rk, runs) of texts(doc_id, rk, text); t holds the intermediate tables."""
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_BYTES)))
+    buckets = 2 * tasks
+    chunks = texts.mapInArrow(_chunks(length, buckets), SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    blocks = t.save(chunks.mapInArrow(_blocks(length, buckets), SENT), "blocks")
+    del chunks
+    t.release()
+    chosen = blocks.filter("kind = 0").select("block", "meta", "text")
+    keys = chosen.mapInArrow(_anchor_keys(length, buckets), KEYS)
+    answers = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, block long, flags binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
+    windows = chosen.join(answers, "block", "left").select("meta", "text", "answers").mapInArrow(_windows(length, buckets, buckets), SENT)
+    marks = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, buckets), MARKS)
+    early = blocks.filter("kind = 1").select(F.col("block").alias("doc_id"), "rk", F.col("text").alias("runs"))
+    out = t.save(early.union(marks), "marks")
+    t.drop("blocks")
+    t.release()
+    return out
 
-    A byte of the UTF-8 text goes when a length-byte string that covers it also starts in a document with a
-    smaller doc_id; strings are judged on the input. Null and empty texts have 0 bytes. Texts shorter than
-    `length` are kept whole. Rows with a null doc_id are kept whole and count for no other row. Repeated
-    doc_ids are equal, not smaller, so they do not remove each other. Input columns named like a result are
-    replaced by it. An empty table gives no rows. length may be 17 to 78: a mask of starts is one long.
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
+    """(row, n_bytes, n_removed, spans, kept) for every row of docs(doc_id, text, ...).
+
+    `row` is the whole input row as one struct, so no column of it can clash; spans are (start, end) in bytes and
+    kept is binary. A byte of the UTF-8 text goes when a length-byte string that covers it also starts in a
+    document with a smaller doc_id; strings are judged on the input. Null and empty texts have 0 bytes. Texts
+    shorter than `length` are kept whole. Rows with a null doc_id are kept whole and count for no other row.
+    Repeated doc_ids are equal, not smaller, so they do not remove each other. An empty table gives no rows.
+    length is 16 at least.
     """
-    assert K < length <= K + 62
+    assert length >= 16
     bound_batches(spark)
     t = Tables(spark, "suffix")
-    buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = docs.drop("n_bytes", "n_removed", "spans", "kept")
-    keyed = own.withColumn("text", F.col("text").cast("string")).withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_rk").alias("rk"), "text")
-    packed = texts.mapInArrow(_find(length, buckets), "bucket int, kind int, rk long, data binary").repartition(buckets, "bucket")
-    known = packed.mapInArrow(_resolve, "rk long, kind int, data binary").groupBy("rk").agg(F.collect_list(F.struct("kind", "data")).alias("parts"))
-    found = texts.join(known, "rk").select("doc_id", "rk", "text", "parts").mapInArrow(_windows(length), "anchor long, win binary, doc_id long, rk long, pos long, n long")
-    found = t.save(found, "windows")
-    # the anchors' and the first text shuffle have done their work
-    del packed, known
-    t.release()
-    rows = found.filter("win is not null")
-    hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor")
-    cool = rows.join(hot, "anchor", "left_anti").select("anchor", "win", "doc_id", "rk", "pos")
-    cut = rows.join(hot, "anchor", "left_semi").select("win", "doc_id", "rk", "pos").mapInArrow(_split(length), "anchor long, win binary, doc_id long, rk long, pos long")
-    placed = cool.union(cut).repartition(buckets, "anchor").sortWithinPartitions("anchor")
-    runs = placed.mapInArrow(_sort_blocks(length), "rk long, pos long, n long")
-    runs = runs.union(found.filter("win is null").select("rk", "pos", "n"))
-    marks = runs.groupBy(F.col("rk").alias("_rk")).agg(F.collect_list(F.struct("pos", "n")).alias("_marks"))
-    joined = keyed.join(marks, "_rk", "left").drop("_rk")
-    rest = F.struct(*[F.col(f"`{c}`") for c in own.columns])
-    out = joined.select(rest.alias("row"), F.col("_marks").alias("m"))
+    text = F.col("text").cast("string")
+    key = F.xxhash64(text)  # tells rows of one doc_id apart
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("rk"), text.alias("text"))
+    marks = marked(spark, t, texts, length).groupBy("doc_id", "rk").agg(F.collect_list("runs").alias("marks"))
+    # rows without a doc_id are shared out by their text and match nothing
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), key).alias("doc_id"), key.alias("rk"), F.col("doc_id").isNull().alias("loose"))
+    joined = own.join(marks.withColumn("loose", F.lit(False)), ["doc_id", "rk", "loose"], "left").select("row", "text", "marks")
     span = T.StructType().add("start", "long").add("end", "long")
-    schema = out.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(span)).add("kept", "binary")
-    done = out.mapInArrow(_remove(length), schema)
-    return done.select("row.*", "n_bytes", "n_removed", "spans", "kept")
+    schema = joined.select("row").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", T.ArrayType(span)).add("kept", "binary")
+    return joined.mapInArrow(_remove(length), schema)

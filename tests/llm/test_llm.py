@@ -224,23 +224,38 @@ def test_suffix_order_matches_sorting():
         for s in ss:
             want.update({at + i: s[i:] for i in range(len(s))})
             at += len(s)
-        got = grouping_sort.suffix_order(ss)
+        got = grouping_sort.suffix_order(np.frombuffer(text, np.uint8), np.array([len(s) for s in ss], np.int64), np.zeros(len(ss), np.int64)).tolist()
         assert sorted(got) == sorted(want) and [want[i] for i in got] == sorted(want.values())
         assert len(text) == len(got)
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_suffix_dedup(spark, docs, hot, monkeypatch):
-    if hot:
-        monkeypatch.setattr(suffix_dedup, "HOT", 1)
-    out = suffix_dedup.repeated_bytes(spark, docs).select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
+def test_suffix_orders_of_sets():
+    r = random.Random(5)
+    for _ in range(200):
+        ss = [bytes(r.choice(b"abcd"[: r.randint(1, 4)]) for _ in range(r.randint(0, 25))) for _ in range(r.randint(1, 9))]
+        sets = np.sort(np.array([r.randrange(3) for _ in ss]))
+        data, sizes = np.frombuffer(b"".join(ss), np.uint8), np.array([len(s) for s in ss])
+        order, run = grouping_sort.equal_runs(data, sizes, sets, 8)
+        of, raw, seen = np.repeat(sets, sizes), data.tobytes(), {}
+        for i, x in zip(order.tolist(), run.tolist(), strict=True):
+            seen.setdefault(x, set()).add((int(of[i]), raw[i : i + 8]))
+        assert len(order) == sum(max(0, len(s) - 7) for s in ss)
+        assert all(len(v) == 1 for v in seen.values()) and len(set.union(set(), *seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_dedup(spark, docs, small, monkeypatch):
+    if small:  # several blocks, slices of a set, and frequent windows
+        for name, x in (("SPLIT", 1), ("FLUSH", 3000), ("SORT", 500), ("CUT", 16), ("LONGEST", 40)):
+            monkeypatch.setattr(suffix_dedup, name, x)
+    out = suffix_dedup.repeated_bytes(spark, docs).select(F.coalesce("row.doc_id", F.lit(-1)).alias("d"), "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256))
     assert sorted(map(tuple, out.collect())) == brute_repeats([(x[0], x[1]) for x in corpus()])
 
 
 def test_suffix_dedup_periodic_and_empty(spark, empty):
     rows = [(1, "a" * 200), (2, "a" * 120), (3, "ab" * 80), (4, "b" + "ab" * 60), (5, "é" * 60), (6, "xé" + "é" * 40)]
     out = suffix_dedup.repeated_bytes(spark, spark.createDataFrame(rows, "doc_id long, text string"))
-    got = sorted(map(tuple, out.select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()))
+    got = sorted(map(tuple, out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()))
     assert got == brute_repeats(rows)
     assert suffix_dedup.repeated_bytes(spark, empty).count() == 0
 
