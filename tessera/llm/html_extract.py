@@ -21,9 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td template tfoot th thead tr ul button iframe".split())
+BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td template tfoot th thead tr ul button noscript object svg math textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript textarea title svg math template iframe object select button".split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
+#: What these hold is not markup and ends at their own end tag only; of the last two it is text.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in "script style iframe noembed noframes xmp title textarea".split()}
+RAW_TEXT = frozenset(("title", "textarea"))
+CONTROLS = frozenset(("button", "select", "option", "optgroup"))
+#: A control that was not closed ends where one of these begins.
+FLOW_TAGS = frozenset("address article aside blockquote dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements nested deeper belong to the element at this depth, as browsers have it; their text stays.
+DEEPEST = 512
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
@@ -37,14 +45,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    linked, in_link, skip = 0, False, ""
-    path: tuple[str, ...] = ()
+    linked, in_link, at = 0, False, 0
+    path: tuple[str, ...] | None = ()  # none: not made yet for the present stack
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
+                if path is None:
+                    path = tuple(x for _, names in stack for x in names)
                 out.append((path, joined, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
@@ -54,30 +64,30 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 del stack[i:]
+                path = None
                 break
             if stack[i][0] in stop:
                 break
-        path = tuple(x for _, names in stack for x in names)
 
-    for m in TOKEN.finditer(page):
-        s = m.group()
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         name = m.group(2) or m.group(5)
         if name is None:
-            if not skip and not (s.startswith(("<!", "<?")) and len(s) > 1):
+            s = m.group()
+            if not (s.startswith(("<!", "<?")) and len(s) > 1):
                 text.append(s)
                 if in_link:
                     linked += len(s)
             continue
         tag, ending = name.lower(), bool(m.group(1) or m.group(4))
-        if skip:
-            if ending and tag == skip:
-                skip = ""
-            continue
-        if tag in RAW_TAGS and not ending:
-            skip = tag
-            if tag in BLOCK_TAGS:
-                close()
-            continue
+        raw = ""
+        if tag in RAW_END and not ending:
+            end = RAW_END[tag].search(page, at)
+            begin, at = at, end.start() if end else len(page)
+            if tag not in RAW_TEXT:
+                continue
+            raw = page[begin:at]
         if tag == "a":
             in_link = not ending
         if tag == "br":
@@ -88,19 +98,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if ending:
             pop(tag)
             continue
+        attrs = m.group(3) or m.group(6) or ""
+        if tag in FLOW_TAGS:
+            while stack and stack[-1][0] in CONTROLS:
+                pop(stack[-1][0])
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag[0] == "h" and tag[1:].isdigit():
             pop(tag, frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "aside", "nav", "body")))
-            if tag != "p":
+            if tag not in ("p", "option"):
                 pop("p", frozenset(("ul", "ol", "dl", "table", "article", "section", "div", "aside", "nav", "body")))
-        if tag not in VOID_TAGS:
-            attrs = m.group(3) or m.group(6) or ""
+        if tag not in VOID_TAGS and len(stack) < DEEPEST and not (tag in FOREIGN_TAGS and attrs.endswith("/")):
             names = [tag]
             for q in NAMES.findall(attrs) if "=" in attrs else ():
                 names += ["." + w for w in re.split(r"[^a-z0-9]+", "".join(q).lower()) if w]
             if HIDDEN.search(attrs):
                 names.append(".hidden")
             stack.append((tag, tuple(names)))
-            path = tuple(x for _, names in stack for x in names)
+            path = None
+        if raw:
+            text.append(raw)
+            close()
     close()
     return out
 
@@ -313,10 +329,24 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]:
         wrap = str(r.choice(["p", "div", "h3", "p", "p"]))
         return start + "".join(f"<{wrap}>{say(sentence(1, 40 if kind == 'comments' else 18, r.random() < 0.5), False)}</{wrap}>" for _ in range(min(n, 4))) + end
 
+    def control() -> str:
+        kind, text = r.random(), sentence(1, 6, True)
+        if kind < 0.35:
+            return f"<button{r.choice([' type=submit', ' class=btn', ''])}>{say(text, False)}</button>"
+        if kind < 0.55:
+            return "<select>" + "".join(f"<option>{say(sentence(1, 4, True), False)}{r.choice(['', '</option>'])}" for _ in range(r.integers(1, 4))) + "</select>"
+        if kind < 0.65:
+            return f"<textarea>{say(text, False)}</textarea>"
+        if kind < 0.75:
+            return f"<svg class=icon><title>{say(text, False)}</title><path d='M0'/></svg>"
+        if kind < 0.9:
+            return f"<noscript>{say(sentence(3, 14, True), False)}</noscript>"
+        return str(r.choice(["<svg class=x />", "<script>if(a<b){x='<p>'}</script>", "<style>b:before{content:'<x'}</style>", "<iframe src=x>no</iframe>"]))
+
     def several(kinds: list[str]) -> str:
-        return "".join(part(k) for k in kinds if r.random() < 0.55)
+        return "".join(part(k) + (control() if r.random() < 0.15 else "") for k in kinds if r.random() < 0.55)
 
-    out = ['<!DOCTYPE html><html lang="x"><head><title>', sentence(2, 6), "</title><style>p{}</style></head><body>"]
+    out = ['<!DOCTYPE html><html lang="x"><head><title>', say(sentence(2, 8), False), "</title><style>p{}</style></head><body>"]
     out.append(several(["notice", "header", "nav", "ad", "form"]))
     tag = str(r.choice(["article", "article", "main", "div", "section"]))
     wrapped = r.random() < 0.4
@@ -335,11 +365,13 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]:
         elif kind < 0.2:
             out.append(f"<blockquote>{say(sentence(4, 30), True)}</blockquote>")
         elif kind < 0.26:
-            out.append(part(str(r.choice(["ad", "share", "aside", "notice", "form"]))))
+            out.append(part(str(r.choice(["ad", "share", "aside", "notice", "form"]))) if r.random() < 0.7 else control())
         elif kind < 0.34:
             out.append(f"<p><b>{say(sentence(1, 20), True)}<br>")
         else:
             out.append(f"<p>{say(' '.join(sentence(1, 25) for _ in range(r.integers(1, 4))) if r.random() < 0.8 else sentence(1, 6, r.random() < 0.5), True)}" + ("</p>" if r.random() < 0.9 else ""))
+    if r.random() < 0.4:  # an article may end with a line that reads like a part
+        out.append(f"<p>{'<b>' if r.random() < 0.5 else ''}{say(sentence(2, 7, True), True)}{r.choice(['</p>', '<br>', ''])}")
     out.append(f"</{tag}>")
     out.append(several(["share", "comments", "aside", "ad"]))
     out.append("</div>" if wrapped else "")
@@ -349,7 +381,7 @@ def made_page(r: np.random.Generator) -> tuple[str, list[tuple[str, bool]]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 700, seed: int = 3) -> Labeller:
+def trained(pages: int = 800, seed: int = 3) -> Labeller:
     """The labeller, trained on generated pages; the same for the same arguments."""
     r = np.random.default_rng(seed)
     xs, ys = [], []

@@ -169,6 +169,31 @@ def test_html_blocks_decode_and_collapse():
     assert html_extract.blocks("<p>x<a href='")[0][1] == "x"
 
 
+@pytest.mark.parametrize("between", ["<script>if(a<b){x=1}</script>", "<svg class=x />", "<style>b:before{content:'<x'}</style>", "<script>'</p><p>no'</script >", "<iframe src=x><p>no</iframe>", "<!-- <p>no -->"])
+def test_nothing_is_lost_beside_raw_elements(between):
+    assert html_extract.blocks(f"<p>one</p>{between}<p>two</p>") == [(("p",), "one", 0.0), (("p",), "two", 0.0)]
+
+
+def test_controls_are_blocks_of_their_own():
+    got = [(p[-1], t) for p, t, _ in html_extract.blocks("<title>a &amp; <b></title><p>one<button>go<p>two<select><option>x<option>y</select> three<textarea><i></textarea>")]
+    assert got == [("title", "a & <b>"), ("p", "one"), ("button", "go"), ("p", "two"), ("option", "x"), ("option", "y"), ("p", "three"), ("textarea", "<i>")]
+
+
+def test_deep_nesting_keeps_all_text():
+    got = html_extract.blocks("".join(f"<div>a{i}" for i in range(3000)) + "</div>" * 3000)
+    assert [t for _, t, _ in got] == [f"a{i}" for i in range(3000)] and max(len(p) for p, _, _ in got) == html_extract.DEEPEST
+
+
+def test_pages_equal_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = html_extract.extract(spark, pages).select("html", "text").collect()
+    for x in got:
+        article = re.search(r"<article[^>]*>(.*)</article>", x.html, re.S)[1]
+        assert x.text == "\n".join(t for _, t, _ in html_extract.blocks(article))
+    assert len(got) == 250
+
+
+
 def test_html_words_of_the_whole_block():
     long = ("body",), " ".join(["same"] * 2000 + ["reply", "comment"]) + ".", 0.0
     _, _, words, _, _ = html_extract.vectors([long])
