@@ -2,19 +2,20 @@
 
 A byte is removed when a LENGTH-byte string covering it also starts in a document with a smaller doc_id. Whether
 two strings are equal is always read off the suffix order of grouping_sort, whose neighbours are compared byte by
-byte. Hashes only decide which texts meet in one task; a clash of hashes makes a task look at more, never remove
-more, and equal strings always have equal hashes.
-
-1. Chunks. Content-defined cuts split every text; a chunk carries the LENGTH-1 bytes after it, so each string
-   starts in exactly one. Chunks of equal hash are suffix-sorted together, first those of one map task, then
-   what is left in the task of their bucket. A start is marked when a smaller document has its string; a chunk
-   whose starts are all marked needs no more work, since the smallest document's copy is never marked.
-2. Anchors. What is left is nearly distinct. Each string selects the K-byte string of smallest hash inside it, so
-   equal strings select equal anchors. Blocks of chunks send their anchors' hashes and get back those that another
-   block has too.
-3. Windows. Strings of one anchor occurrence that is shared form a window; windows of equal anchors are
-   suffix-sorted together, again within the block first. Many different windows of one anchor are split into their
-   strings, which are sorted by content, so a frequent anchor is shared out.
+byte. Hashes only find regions that may repeat and decide which of them meet in one task; a clash of hashes makes
+a task look at more, never remove more, and equal strings always have equal hashes.
+
+1. Anchors. Each LENGTH-byte string selects the K-byte string of smallest hash inside it, so equal strings select
+   equal anchors. Blocks of documents send their anchors' hashes and get back those that another block has too.
+   Starts whose anchor no other document has go no further.
+2. Chunks. The other starts lie in regions, which content-defined cuts split; a chunk carries the LENGTH-1 bytes
+   after it, so each string starts in exactly one. Chunks of equal hash are suffix-sorted together, first those of
+   one block, then what is left in the task of their bucket. A start is marked when a smaller document has its
+   string; a chunk whose starts are all marked is done, since the smallest document's copy is never marked.
+3. Windows. Of what is left, nearly distinct by now, anchors are compared once more. Strings of one anchor
+   occurrence that is still shared form a window; windows of equal anchors are suffix-sorted together, again
+   within the block first. Many different windows of one anchor are split into their strings, which are sorted by
+   content, so a frequent anchor is shared out.
 4. Marked runs go back to their documents, which drop the covered bytes.
 
 A group too large for one sort is sorted in slices of rising doc_id, carrying the unmarked ones; nothing is collected.
@@ -27,6 +28,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +41,16 @@ from .grouping_sort import _edges, equal_runs, ranges
 FLUSH = 4 << 20
 SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
-CUT = 256
+CUT = 128
 LONGEST = 2048
 #: Bytes of an anchor, and bytes of text for each bucket.
-K = 24
+K = 16
 BUCKET_BYTES = 8 << 20
 #: More different windows than this (or blocks that hold the anchor) are split into single strings.
 SPLIT = 128
 
 SENT = "bucket int, kind int, block long, rk long, meta binary, text binary"
-KEYS = "bucket int, block long, a binary, b binary"
+KEYS = "bucket int, block long, hashes binary"
 MARKS = "doc_id long, rk long, runs binary"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -58,6 +61,14 @@ def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut, [*cut[1:], len(x)][: len(cut)], strict=True)
 
 
+def squeeze(x: bytes) -> bytes:
+    return zstandard.compress(x, 1)
+
+
+def unsqueeze(x: bytes) -> bytes:
+    return zstandard.decompress(x)
+
+
 class Strings(NamedTuple):
     """Strings of one buffer: where each starts, its size, the key under which it meets others, and its owner."""
 
@@ -74,12 +85,12 @@ class Strings(NamedTuple):
 
     def packed(self) -> tuple[bytes, bytes]:
         meta = np.stack([self.size, self.key.view(np.int64), self.doc, self.rk, self.pos])
-        return meta.astype("<i8").tobytes(), self.data[ranges(self.start, self.size)].tobytes()
+        return squeeze(meta.astype("<i8").tobytes()), squeeze(self.data[ranges(self.start, self.size)].tobytes())
 
 
 def unpacked(rows: list[tuple[bytes, bytes]]) -> Strings:
-    meta = np.concatenate([np.frombuffer(m, "<i8").reshape(5, -1) for m, _ in rows], axis=1)
-    data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    meta = np.concatenate([np.frombuffer(unsqueeze(m), "<i8").reshape(5, -1) for m, _ in rows], axis=1)
+    data = np.frombuffer(b"".join(unsqueeze(t) for _, t in rows), np.uint8)
     return Strings(data, np.cumsum(meta[0]) - meta[0], meta[0], meta[1].view(np.uint64), *meta[2:])
 
 
@@ -237,35 +248,19 @@ def _mark_rows(runs: Runs, buckets: int) -> Iterator[tuple]:
         yield rk % buckets, 1, doc, rk, None, data
 
 
-def _cuts(x: np.ndarray, n: int) -> np.ndarray:
-    """Chunk borders of n starts: 0, content-defined places, n; none farther apart than LONGEST."""
-    cut = np.concatenate([[0], np.flatnonzero((x[1:n] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT) + 1, [n]])
-    wide = np.flatnonzero(np.diff(cut) > LONGEST)
-    return np.union1d(cut, np.concatenate([np.arange(cut[i], cut[i + 1], LONGEST) for i in wide])) if len(wide) else cut
-
-
-def _chunks(length: int, buckets: int):
-    """Chunks of whole texts by the bucket of their hash; the task's own repeats are settled first."""
-
-    def flush(held: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
-        texts = [np.frombuffer(t, np.uint8) for _, _, t in held]
-        data = np.concatenate(texts)
-        x = _eights(data)
-        base = np.cumsum([0, *(len(t) for t in texts[:-1])])
-        cuts = [_cuts(x[b : b + len(t)], len(t) - length + 1) for b, t in zip(base, texts, strict=True)]
-        n = [len(c) - 1 for c in cuts]
-        pos = np.concatenate([c[:-1] for c in cuts])
-        size = np.concatenate([np.diff(c) for c in cuts]) + length - 1
-        start = pos + np.repeat(base, n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _C[1]), dtype=np.uint64)])
-        key = mix(total[start + size - 7] - total[start] + size.astype(np.uint64))
-        runs = Runs()
-        left = judge(Strings(data, start, size, key, *(np.repeat(np.array([h[i] for h in held]), n) for i in (0, 1)), pos), length, runs)
-        yield from _sent(left, buckets, 0)
-        yield from _mark_rows(runs, buckets)
+def _documents(length: int):
+    """Blocks of whole texts that are long enough; a block's number is unique, not the same in every run."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        task, made = TaskContext.get().partitionId() << 32, 0
         held, total = [], 0
+
+        def block() -> tuple:
+            data = np.frombuffer(b"".join(t for _, _, t in held), np.uint8)
+            size = np.array([len(t) for _, _, t in held])
+            none = np.zeros(len(held), np.int64)
+            return 0, 0, task + made, None, *Strings(data, np.cumsum(size) - size, size, none.view(np.uint64), *(np.array([h[i] for h in held]) for i in (0, 1)), none).packed()
+
         for b in batches:
             for doc, rk, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -274,10 +269,38 @@ def _chunks(length: int, buckets: int):
                 held.append((doc, rk, raw))
                 total += len(raw)
                 if total >= FLUSH:
-                    yield from flush(held)
-                    held, total = [], 0
+                    yield block()
+                    held, total, made = [], 0, made + 1
         if held:
-            yield from flush(held)
+            yield block()
+
+    return lambda batches: _batches(rows(batches), SENT)
+
+
+def _chunks(length: int, anchor_buckets: int, buckets: int):
+    """Chunks of the regions that may repeat, by the bucket of their hash; the block's own repeats are settled first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for meta, text, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = unpacked([(meta, text)])
+                start, _, _, own, _, hit = _hits(s, length, answers, anchor_buckets)
+                x = _eights(s.data)
+                cut = (x[start] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT
+                cut[:1] = True
+                cut[1:] |= (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])
+                edge = np.flatnonzero(cut)
+                n = np.diff(edge, append=len(start))
+                edge, n = edge[hit[edge]], n[hit[edge]]
+                parts = -(-n // LONGEST)
+                edge = ranges(np.zeros(len(n), np.int64), parts) * LONGEST + np.repeat(edge, parts)
+                n = np.minimum(LONGEST, np.repeat(n, parts) - (edge - np.repeat(edge[np.cumsum(parts) - parts], parts))) if len(n) else n
+                at, size, of = start[edge], n + length - 1, own[edge]
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _C[1]), dtype=np.uint64)])
+                key = mix(total[at + size - 7] - total[at] + size.astype(np.uint64))
+                runs = Runs()
+                yield from _sent(judge(Strings(s.data, at, size, key, s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
+                yield from _mark_rows(runs, buckets)
 
     return lambda batches: _batches(rows(batches), SENT)
 
@@ -324,8 +347,10 @@ def _anchors(s: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     x = _eights(s.data)
     h = np.zeros(max(0, len(s.data) - k + 1), np.uint64)
     for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
-        h += mix(x[o : o + len(h)] * _C[i % 4] + np.uint64(i))
-    h = mix(h)
+        h += x[o : o + len(h)] * _C[i % 4]
+        h ^= h >> np.uint64(31)
+        h *= _C[(i + 2) % 4]
+    h ^= h >> np.uint64(29)
     low = np.uint64((1 << 24) - 1)
     v = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
     w, span = length - k + 1, 1
@@ -341,8 +366,13 @@ def _anchors(s: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return start, at, h[at] >> np.uint64(8), np.repeat(np.arange(len(n)), n)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by place: of sorted ones the high bytes take next to nothing when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def _anchor_keys(length: int, buckets: int):
-    """Distinct anchors of each block by bucket; the low bits of a hash name the bucket and are not sent."""
+    """Distinct anchors of each block by bucket. 32 bits are sent beside the bucket, whose share of anchors is bounded."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
@@ -351,8 +381,7 @@ def _anchor_keys(length: int, buckets: int):
                 part = (key % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 for a, e in _spans(part[order]):
-                    rest = key[order[a:e]] // np.uint64(buckets) & np.uint64((1 << 40) - 1)
-                    yield int(part[order[a]]), block, rest.astype("<u4").tobytes(), (rest >> np.uint64(32)).astype("u1").tobytes()
+                    yield int(part[order[a]]), block, squeeze(_planes((key[order[a:e]] // np.uint64(buckets)).astype("<u4")))
 
     return lambda batches: _batches(rows(batches), KEYS)
 
@@ -360,33 +389,57 @@ def _anchor_keys(length: int, buckets: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block the places, among the anchors it sent to a bucket, of those that another block has (1) or many have (2)."""
 
-    def answer(bucket: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[tuple]:
-        key = np.concatenate([np.frombuffer(a, "<u4").astype(np.uint64) | np.frombuffer(b, "u1").astype(np.uint64) << np.uint64(32) for _, a, b in held])
-        n = [len(b) for _, _, b in held]
+    def answer(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        keys = [np.frombuffer(unsqueeze(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for _, x in held]
+        key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         cut = _edges(key[order])
         num = np.diff(cut, append=len(key))
         flag = np.empty(len(key), np.uint8)
         flag[order] = np.repeat((num > 1).astype(np.uint8) + (num > SPLIT), num)
-        for (block, _, _), f in zip(held, np.split(flag, np.cumsum(n)[:-1]), strict=True):
+        for (block, _), f in zip(held, np.split(flag, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
             if f.any():
-                yield bucket, block, f.tobytes()
+                yield bucket, block, squeeze(f.tobytes())
 
     def rows() -> Iterator[tuple]:
         now, held = None, []
         for b in batches:
-            for bucket, block, a, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for bucket, block, hashes in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if bucket != now:
                     if held:
                         yield from answer(now, held)
                     now, held = bucket, []
-                held.append((block, a, c))
+                held.append((block, hashes))
         if held:
             yield from answer(now, held)
 
     return _batches(rows(), "bucket int, block long, flags binary")
 
 
+def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, ...]:
+    """Of all strings of a block: start, place and hash of the anchor, the text they are in, what the buckets said
+    of the anchor (0: no other block has it, 2: many have), and whether another document may have the string."""
+    start, at, key, own = _anchors(s, length)
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
+    num = np.diff(first, append=len(at))
+    known, back = np.unique(key[first], return_inverse=True)
+    flag = np.zeros(len(known), np.uint8)
+    if answers:  # they follow the order in which the anchors were sent
+        part = (known % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        begin = np.searchsorted(part[order], np.array([a["bucket"] for a in answers]))
+        for i, a in zip(begin.tolist(), answers, strict=True):
+            f = np.frombuffer(unsqueeze(a["flags"]), np.uint8)
+            flag[order[i : i + len(f)]] = f
+    doc = s.doc[own[first]]
+    low = np.full(len(known), np.iinfo(np.int64).max)
+    high = np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(low, back, doc)
+    np.maximum.at(high, back, doc)
+    hit = (flag > 0) | (low != high)
+    return start, at, key, own, np.repeat(flag[back], num), np.repeat(hit[back], num)
+
+
 def _windows(length: int, anchor_buckets: int, buckets: int):
     """Windows of the starts whose anchor another document may have; the block's own repeats are settled first."""
 
@@ -394,35 +447,22 @@ def _windows(length: int, anchor_buckets: int, buckets: int):
         for b in batches:
             for meta, text, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = unpacked([(meta, text)])
-                start, at, key, own = _anchors(s, length)
-                known, back = np.unique(key, return_inverse=True)
-                # what the buckets said of the anchors sent to them, in the order they were sent
-                flag = np.zeros(len(known), np.uint8)
-                if answers:
-                    part = (known % np.uint64(anchor_buckets)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    begin = np.searchsorted(part[order], np.array([a["bucket"] for a in answers]))
-                    for i, a in zip(begin.tolist(), answers, strict=True):
-                        f = np.frombuffer(a["flags"], np.uint8)
-                        flag[order[i : i + len(f)]] = f
-                doc = s.doc[own]
-                low = np.full(len(known), np.iinfo(np.int64).max)
-                high = np.full(len(known), np.iinfo(np.int64).min)
-                np.minimum.at(low, back, doc)
-                np.maximum.at(high, back, doc)
-                hit = ((flag > 0) | (low != high))[back]
-                edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])])
+                start, at, key, own, flag, hit = _hits(s, length, answers, anchor_buckets)
+                edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
                 size = np.diff(edge, append=len(at)) + length - 1
                 edge, size = edge[hit[edge]], size[hit[edge]]
                 of = own[edge]
                 win = Strings(s.data, start[edge], size, key[edge], s.doc[of], s.rk[of], s.pos[of] + start[edge] - s.start[of])
-                said = flag[back[edge]]
+                said = flag[edge]
                 runs = Runs()
                 judge_windows(win.take(said == 0), length, runs)
                 some = win.take(said == 1)
                 many = frequent(some)
-                for x in (some.take(many), judge(some.take(~many), length, runs), judge(singles(win.take(said == 2), length), length, runs)):
-                    yield from _sent(x, buckets, 0)
+                yield from _sent(some.take(many), buckets, 0)
+                yield from _sent(judge(some.take(~many), length, runs), buckets, 0)
+                often = np.flatnonzero(said == 2)
+                for i in range(0, len(often), 4096):
+                    yield from _sent(judge(singles(win.take(often[i : i + 4096]), length), length, runs), buckets, 0)
                 yield from _mark_rows(runs, buckets)
 
     return lambda batches: _batches(rows(batches), SENT)
@@ -475,15 +515,20 @@ def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> Dat
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_BYTES)))
     buckets = 2 * tasks
-    chunks = texts.mapInArrow(_chunks(length, buckets), SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    blocks = t.save(chunks.mapInArrow(_blocks(length, buckets), SENT), "blocks")
-    del chunks
+
+    def compared(blocks: DataFrame) -> DataFrame:
+        """Blocks with what is known of their anchors."""
+        keys = blocks.mapInArrow(_anchor_keys(length, buckets), KEYS)
+        said = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, block long, flags binary")
+        return blocks.join(said.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers")), "block", "left").select("meta", "text", "answers")
+
+    whole = t.save(texts.mapInArrow(_documents(length), SENT), "documents").select("block", "meta", "text")
+    chunks = compared(whole).mapInArrow(_chunks(length, buckets, buckets), SENT)
+    blocks = t.save(chunks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(length, buckets), SENT), "blocks")
+    del chunks, whole
+    t.drop("documents")
     t.release()
-    chosen = blocks.filter("kind = 0").select("block", "meta", "text")
-    keys = chosen.mapInArrow(_anchor_keys(length, buckets), KEYS)
-    answers = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, block long, flags binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
-    windows = chosen.join(answers, "block", "left").select("meta", "text", "answers").mapInArrow(_windows(length, buckets, buckets), SENT)
+    windows = compared(blocks.filter("kind = 0").select("block", "meta", "text")).mapInArrow(_windows(length, buckets, buckets), SENT)
     marks = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, buckets), MARKS)
     early = blocks.filter("kind = 1").select(F.col("block").alias("doc_id"), "rk", F.col("text").alias("runs"))
     out = t.save(early.union(marks), "marks")
