@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -29,7 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-ckpt-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.partition("[")[0] == "local":
+            path = "file://" + tempfile.mkdtemp(prefix="tessera-ckpt-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -47,8 +54,11 @@ class Tables:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # first the driver's handles go, then what they held
+            gc.collect()
+            time.sleep(0.2)
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
@@ -78,36 +88,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-P = 0x9E3779B97F4A7C15 | 1
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-#: A random 64-bit value for each byte.
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i up to n."""
-    global _POW, _INV
-    if len(_POW) <= n:
-        size = 1 << (n + 1).bit_length()
-        p = np.full(size, P, np.uint64)
-        q = np.full(size, pow(P, -1, 1 << 64), np.uint64)
-        p[0] = q[0] = 1
-        _POW, _INV = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _POW, _INV
-
-
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the polynomial hash of `data` (uint8) and the inverse powers."""
-    pw, inv = _powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * pw[: len(data)], out=out[1:])
-    return out, inv
-
-
 #: Long texts are hashed in segments of about this many bytes, cut at white space.
 SEGMENT = 1 << 20
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -131,9 +119,16 @@ def _word_hashes(raw: np.ndarray) -> np.ndarray:
     gap = np.ones(len(data) + 2, bool)
     gap[1:-1] = _SPACE[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    pre, inv = prefix_hash(data)
-    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(np.uint64))
+    start, n = edge[::2], edge[1::2] - edge[::2]
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    h = mix(n.astype(np.uint64) * _MULTIPLY)
+    for j in range(0, min(int(n.max(initial=0)), LONG_WORD), 8):
+        some = np.flatnonzero(n > j)
+        eight = eights[start[some] + j] & _LOW_BYTES[np.minimum(n[some] - j, 8)]
+        h[some] = mix((h[some] ^ eight) * _MULTIPLY)
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : start[i] + n[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:

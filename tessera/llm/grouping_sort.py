@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .exchange import edges
+
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] numbers), start[1], ...; sizes may be 0."""
@@ -27,14 +29,6 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
-def _edges(x: np.ndarray) -> np.ndarray:
-    """Where a run of equal values begins."""
-    new = np.empty(len(x), bool)
-    new[:1] = True
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    return np.flatnonzero(new)
-
-
 def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """Starts of all suffixes of the strings in lexicographic order, set by set.
 
@@ -56,7 +50,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
     # the first groups: one for each first byte of a set
     key = which * 256 + data
     sa = np.argsort(key, kind="stable")
-    at = _edges(key[sa])
+    at = edges(key[sa])
     count = len(at)
     low, high, word = (np.empty(count + n + 1, np.int64) for _ in range(3))  # segment and word length of a group
     low[:count], high[:count], word[:count] = at, np.r_[at[1:], n], 1
@@ -64,7 +58,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
     group[sa] = np.repeat(np.arange(count), high[:count] - at)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
-    base = _edges(which[sa])
+    base = edges(which[sa])
     top = np.r_[base[1:], n]
     open_sets = np.arange(len(base))
     grown_by = np.zeros(len(base), np.int64)
@@ -86,13 +80,13 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
         if len(p):
             grown_by[open_sets] = word[g]
             p.sort()
-            cut = _edges(p)
+            cut = edges(p)
             times = np.diff(cut, append=len(p))
             p = p[cut]
             old = group[p]
             order = np.argsort(old * (int(times.max()) + 1) + times, kind="stable")
             p, old, times = p[order], old[order], times[order]
-            cut = _edges(old)
+            cut = edges(old)
             num = np.diff(cut, append=len(p))
             src = old[cut]
             tail = ranges(high[src] - num, num)
@@ -112,7 +106,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
             new[1:] |= times[1:] != times[:-1]
             cut = np.flatnonzero(new)
             num = np.diff(cut, append=len(p))
-            high[src] -= np.diff(_edges(old), append=len(p))
+            high[src] -= np.diff(edges(old), append=len(p))
             ids = np.arange(count, count + len(cut))
             count += len(cut)
             low[ids] = tail[cut]
@@ -126,7 +120,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
             top, base, open_sets = s[alive], base[alive], open_sets[alive]
 
     # Phase 2. Groups of one suffix are in place.
-    cut = _edges(group[sa])
+    cut = edges(group[sa])
     g = group[sa[cut]]
     size = high[g] - cut
     follow = np.arange(n) + word[group]
@@ -137,7 +131,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
     owner = which[sa[cut]]
     first = np.zeros(which[-1] + 1, np.int64)
     first[1:] = np.cumsum(np.bincount(which))[:-1]
-    turn = np.arange(len(owner)) - np.repeat(_edges(owner), np.diff(_edges(owner), append=len(owner)))
+    turn = np.arange(len(owner)) - np.repeat(edges(owner), np.diff(edges(owner), append=len(owner)))
     for step in np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1]) if len(turn) else ():
         lo, num = cut[step], size[step]
         mine = sa[ranges(lo, num)]

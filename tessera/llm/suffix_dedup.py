@@ -7,11 +7,12 @@ a task look at more, never remove more, and equal strings always have equal hash
 
 1. Anchors. Each LENGTH-byte string selects the K-byte string of smallest hash inside it, so equal strings select
    equal anchors. Blocks of documents send their anchors' hashes and get back those that another block has too.
-   Starts whose anchor no other document has go no further.
-2. Chunks. The other starts lie in regions, which content-defined cuts split; a chunk carries the LENGTH-1 bytes
-   after it, so each string starts in exactly one. Chunks of equal hash are suffix-sorted together, first those of
-   one block, then what is left in the task of their bucket. A start is marked when a smaller document has its
-   string; a chunk whose starts are all marked is done, since the smallest document's copy is never marked.
+   Starts whose anchor no other document has go no further; the others lie in regions. Short anchors come first, as
+   they are few; regions that stay are asked about by longer ones, which end close to where a repeat ends.
+2. Chunks. Content-defined cuts split regions; a chunk carries the LENGTH-1 bytes after it, so each string starts in
+   exactly one. Chunks of equal hash are suffix-sorted together, first those of one block, then what is left in the
+   task of their bucket. A start is marked when a smaller document has its string; a chunk whose starts are all
+   marked is done, since the smallest document's copy is never marked.
 3. Windows. Of what is left, nearly distinct by now, anchors are compared once more. Strings of one anchor
    occurrence that is still shared form a window; windows of equal anchors are suffix-sorted together, again
    within the block first. Many different windows of one anchor are split into their strings, which are sorted by
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Tables, bound_batches, mix
-from .grouping_sort import _edges, equal_runs, ranges
+from .exchange import ASKED, asked, batches, cells, codes_of, compared, edges, spans, squeeze, unsqueeze
+from .grouping_sort import equal_runs, ranges
 
 #: Bytes of text that a map task gathers before it sorts and sends, and bytes of one suffix sort.
 FLUSH = 4 << 20
@@ -43,32 +45,17 @@ SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
 CUT = 128
 LONGEST = 2048
-#: Bytes of an anchor, and bytes of text for each bucket.
-K = 16
+#: Bytes of a short anchor; by how many a long one is shorter than a string; bytes of text for each bucket.
+SHORT, LESS = 16, 10
 BUCKET_BYTES = 8 << 20
 #: More different windows than this (or blocks that hold the anchor) are split into single strings.
 SPLIT = 128
 
 SENT = "bucket int, kind int, block long, rk long, meta binary, text binary"
-KEYS = "bucket int, block long, hashes binary"
 MARKS = "doc_id long, rk long, runs binary"
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of equal values, half open."""
-    cut = _edges(x).tolist()
-    return zip(cut, [*cut[1:], len(x)][: len(cut)], strict=True)
-
-
-def squeeze(x: bytes) -> bytes:
-    return zstandard.compress(x, 1)
-
-
-def unsqueeze(x: bytes) -> bytes:
-    return zstandard.decompress(x)
-
-
 class Strings(NamedTuple):
     """Strings of one buffer: where each starts, its size, the key under which it meets others, and its owner."""
 
@@ -141,7 +128,7 @@ def _judge_block(s: Strings, length: int, runs: Runs) -> np.ndarray:
     own = np.repeat(np.arange(len(s.size)), s.size)
     order, run = equal_runs(text, s.size, np.cumsum(np.r_[0, s.key[1:] != s.key[:-1]]), length)
     doc = s.doc[own[order]]
-    low = np.minimum.reduceat(doc, _edges(run))
+    low = np.minimum.reduceat(doc, edges(run))
     hit = np.zeros(len(text) + 1, bool)
     hit[order[doc > low[run]]] = True
     edge = np.flatnonzero(np.diff(hit[:-1], prepend=False, append=False))
@@ -154,7 +141,7 @@ def _judge_block(s: Strings, length: int, runs: Runs) -> np.ndarray:
 def judge(s: Strings, length: int, runs: Runs) -> Strings:
     """Strings of equal keys meet; those with an unmarked start come back, by key and document."""
     s = s.take(np.lexsort((s.doc, s.key)))
-    cut = _edges(s.key)
+    cut = edges(s.key)
     if not len(cut):
         return s
     several = np.minimum.reduceat(s.doc, cut) != np.maximum.reduceat(s.doc, cut)
@@ -218,30 +205,10 @@ def judge_windows(s: Strings, length: int, runs: Runs) -> None:
 def _sent(s: Strings, buckets: int, kind: int) -> Iterator[tuple]:
     bucket = ((s.key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    for a, e in _spans(bucket[order]):
+    for a, e in spans(bucket[order]):
         yield int(bucket[order[a]]), kind, None, None, *s.take(order[a:e]).packed()
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    names = [c.split() for c in schema.split(", ")]
-    cols = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], [n for n, _ in names])
-
-
-def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of some megabytes."""
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += 64 + sum(len(x) for x in r if isinstance(x, bytes))
-        if size >= FLUSH:
-            yield _batch(held, schema)
-            held, size = [], 0
-    if held:
-        yield _batch(held, schema)
-
-
 def _mark_rows(runs: Runs, buckets: int) -> Iterator[tuple]:
     """Marks travel beside texts: block is the doc_id, text the runs."""
     for doc, rk, data in runs.rows():
@@ -274,17 +241,35 @@ def _documents(length: int):
         if held:
             yield block()
 
-    return lambda batches: _batches(rows(batches), SENT)
+    return lambda got: batches(rows(got), SENT)
 
 
-def _chunks(length: int, anchor_buckets: int, buckets: int):
-    """Chunks of the regions that may repeat, by the bucket of their hash; the block's own repeats are settled first."""
+def _regions(length: int, buckets: int, k: int):
+    """Blocks of the regions whose short anchors another document may have."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            for meta, text, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+    def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in got:
+            for block, meta, text, answers in cells(b):
                 s = unpacked([(meta, text)])
-                start, _, _, own, _, hit = _hits(s, length, answers, anchor_buckets)
+                start, _, _, own, _, hit = _hits(s, length, answers, buckets, k)
+                edge = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])][: len(own)])
+                n = np.diff(edge, append=len(own))
+                edge, n = edge[hit[edge]], n[hit[edge]]
+                of, at = own[edge], start[edge]
+                if len(edge):
+                    yield 0, 0, block, None, *Strings(s.data, at, n + length - 1, s.key[of], s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]).packed()
+
+    return lambda got: batches(rows(got), SENT)
+
+
+def _chunks(length: int, anchor_buckets: int, buckets: int, k: int):
+    """Chunks of what may repeat, by the bucket of their hash; the block's own repeats are settled first."""
+
+    def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in got:
+            for _, meta, text, answers in cells(b):
+                s = unpacked([(meta, text)])
+                start, _, _, own, _, hit = _hits(s, length, answers, anchor_buckets, k)
                 x = _eights(s.data)
                 cut = (x[start] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT
                 cut[:1] = True
@@ -292,9 +277,10 @@ def _chunks(length: int, anchor_buckets: int, buckets: int):
                 edge = np.flatnonzero(cut)
                 n = np.diff(edge, append=len(start))
                 edge, n = edge[hit[edge]], n[hit[edge]]
+                # the few that are too long go in even pieces
                 parts = -(-n // LONGEST)
-                edge = ranges(np.zeros(len(n), np.int64), parts) * LONGEST + np.repeat(edge, parts)
-                n = np.minimum(LONGEST, np.repeat(n, parts) - (edge - np.repeat(edge[np.cumsum(parts) - parts], parts))) if len(n) else n
+                piece = ranges(np.zeros(len(n), np.int64), parts)
+                edge, n = np.repeat(edge, parts) + piece * LONGEST, np.minimum(LONGEST, np.repeat(n, parts) - piece * LONGEST)
                 at, size, of = start[edge], n + length - 1, own[edge]
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _C[1]), dtype=np.uint64)])
                 key = mix(total[at + size - 7] - total[at] + size.astype(np.uint64))
@@ -302,7 +288,7 @@ def _chunks(length: int, anchor_buckets: int, buckets: int):
                 yield from _sent(judge(Strings(s.data, at, size, key, s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
                 yield from _mark_rows(runs, buckets)
 
-    return lambda batches: _batches(rows(batches), SENT)
+    return lambda got: batches(rows(got), SENT)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes]], list[tuple]]]:
@@ -338,12 +324,11 @@ def _blocks(length: int, buckets: int):
                 if len(at):
                     yield bucket, 0, bucket << 24 | i, None, *left.take(at).packed()
 
-    return lambda batches: _batches(rows(batches), SENT)
+    return lambda got: batches(rows(got), SENT)
 
 
-def _anchors(s: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings of a block: where they start, the place of their anchor, its hash, and the chunk they are in."""
-    k = min(K, length - 8)
+def _anchors(s: Strings, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of a block: where they start, the place of their anchor, its hash, and the text they are in."""
     x = _eights(s.data)
     h = np.zeros(max(0, len(s.data) - k + 1), np.uint64)
     for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
@@ -366,71 +351,30 @@ def _anchors(s: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return start, at, h[at] >> np.uint64(8), np.repeat(np.arange(len(n)), n)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of numbers by place: of sorted ones the high bytes take next to nothing when compressed."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+def _ask(length: int, buckets: int, k: int):
+    """Distinct anchors of each block."""
 
+    def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in got:
+            for block, meta, text in cells(b):
+                yield from asked(np.unique(_anchors(unpacked([(meta, text)]), length, k)[2]), block, buckets)
 
-def _anchor_keys(length: int, buckets: int):
-    """Distinct anchors of each block by bucket. 32 bits are sent beside the bucket, whose share of anchors is bounded."""
+    return lambda got: batches(rows(got), ASKED)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            for block, meta, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key = np.unique(_anchors(unpacked([(meta, text)]), length)[2])
-                part = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                for a, e in _spans(part[order]):
-                    yield int(part[order[a]]), block, squeeze(_planes((key[order[a:e]] // np.uint64(buckets)).astype("<u4")))
-
-    return lambda batches: _batches(rows(batches), KEYS)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block the places, among the anchors it sent to a bucket, of those that another block has (1) or many have (2)."""
-
-    def answer(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[tuple]:
-        keys = [np.frombuffer(unsqueeze(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for _, x in held]
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        cut = _edges(key[order])
-        num = np.diff(cut, append=len(key))
-        flag = np.empty(len(key), np.uint8)
-        flag[order] = np.repeat((num > 1).astype(np.uint8) + (num > SPLIT), num)
-        for (block, _), f in zip(held, np.split(flag, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-            if f.any():
-                yield bucket, block, squeeze(f.tobytes())
-
-    def rows() -> Iterator[tuple]:
-        now, held = None, []
-        for b in batches:
-            for bucket, block, hashes in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if bucket != now:
-                    if held:
-                        yield from answer(now, held)
-                    now, held = bucket, []
-                held.append((block, hashes))
-        if held:
-            yield from answer(now, held)
 
-    return _batches(rows(), "bucket int, block long, flags binary")
+def _shared_code(num: np.ndarray) -> np.ndarray:
+    """0 for an anchor of one block, 2 for one of many."""
+    return (num > 1).astype(np.uint8) + (num > SPLIT)
 
 
-def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, ...]:
+def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int, k: int) -> tuple[np.ndarray, ...]:
     """Of all strings of a block: start, place and hash of the anchor, the text they are in, what the buckets said
     of the anchor (0: no other block has it, 2: many have), and whether another document may have the string."""
-    start, at, key, own = _anchors(s, length)
+    start, at, key, own = _anchors(s, length, k)
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
     num = np.diff(first, append=len(at))
     known, back = np.unique(key[first], return_inverse=True)
-    flag = np.zeros(len(known), np.uint8)
-    if answers:  # they follow the order in which the anchors were sent
-        part = (known % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        begin = np.searchsorted(part[order], np.array([a["bucket"] for a in answers]))
-        for i, a in zip(begin.tolist(), answers, strict=True):
-            f = np.frombuffer(unsqueeze(a["flags"]), np.uint8)
-            flag[order[i : i + len(f)]] = f
+    flag = codes_of(known, answers, buckets)
     doc = s.doc[own[first]]
     low = np.full(len(known), np.iinfo(np.int64).max)
     high = np.full(len(known), np.iinfo(np.int64).min)
@@ -440,14 +384,14 @@ def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int) ->
     return start, at, key, own, np.repeat(flag[back], num), np.repeat(hit[back], num)
 
 
-def _windows(length: int, anchor_buckets: int, buckets: int):
+def _windows(length: int, anchor_buckets: int, buckets: int, k: int):
     """Windows of the starts whose anchor another document may have; the block's own repeats are settled first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for meta, text, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, meta, text, answers in cells(b):
                 s = unpacked([(meta, text)])
-                start, at, key, own, flag, hit = _hits(s, length, answers, anchor_buckets)
+                start, at, key, own, flag, hit = _hits(s, length, answers, anchor_buckets, k)
                 edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
                 size = np.diff(edge, append=len(at)) + length - 1
                 edge, size = edge[hit[edge]], size[hit[edge]]
@@ -465,7 +409,7 @@ def _windows(length: int, anchor_buckets: int, buckets: int):
                     yield from _sent(judge(singles(win.take(often[i : i + 4096]), length), length, runs), buckets, 0)
                 yield from _mark_rows(runs, buckets)
 
-    return lambda batches: _batches(rows(batches), SENT)
+    return lambda got: batches(rows(got), SENT)
 
 
 def _meet(length: int, buckets: int):
@@ -480,7 +424,7 @@ def _meet(length: int, buckets: int):
                 judge_windows(unpacked(texts), length, runs)
                 yield from runs.rows()
 
-    return lambda batches: _batches(rows(batches), MARKS)
+    return lambda got: batches(rows(got), MARKS)
 
 
 def _remove(length: int):
@@ -516,22 +460,29 @@ def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> Dat
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_BYTES)))
     buckets = 2 * tasks
 
-    def compared(blocks: DataFrame) -> DataFrame:
-        """Blocks with what is known of their anchors."""
-        keys = blocks.mapInArrow(_anchor_keys(length, buckets), KEYS)
-        said = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "bucket int, block long, flags binary")
-        return blocks.join(said.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers")), "block", "left").select("meta", "text", "answers")
+    short = min(SHORT, length - 8)
+    long = max(short, length - LESS)
+    names = ("block", "meta", "text")
+
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
-    whole = t.save(texts.mapInArrow(_documents(length), SENT), "documents").select("block", "meta", "text")
-    chunks = compared(whole).mapInArrow(_chunks(length, buckets, buckets), SENT)
-    blocks = t.save(chunks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_blocks(length, buckets), SENT), "blocks")
-    del chunks, whole
+    whole = t.save(texts.mapInArrow(_documents(length), SENT).select(*names), "documents")
+    known = compared(whole, _ask(length, buckets, short), _shared_code, tasks).select(*names, "answers")
+    regions = t.save(known.mapInArrow(_regions(length, buckets, short), SENT).select(*names), "regions")
+    del known, whole
     t.drop("documents")
     t.release()
-    windows = compared(blocks.filter("kind = 0").select("block", "meta", "text")).mapInArrow(_windows(length, buckets, buckets), SENT)
-    marks = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(length, buckets), MARKS)
+    known = compared(regions, _ask(length, buckets, long), _shared_code, tasks).select(*names, "answers")
+    blocks = t.save(dealt(known.mapInArrow(_chunks(length, buckets, buckets, long), SENT)).mapInArrow(_blocks(length, buckets), SENT), "blocks")
+    del known, regions
+    t.drop("regions")
+    t.release()
+    known = compared(blocks.filter("kind = 0").select(*names), _ask(length, buckets, long), _shared_code, tasks).select(*names, "answers")
+    marks = dealt(known.mapInArrow(_windows(length, buckets, buckets, long), SENT)).mapInArrow(_meet(length, buckets), MARKS)
     early = blocks.filter("kind = 1").select(F.col("block").alias("doc_id"), "rk", F.col("text").alias("runs"))
     out = t.save(early.union(marks), "marks")
+    del known, marks, early, blocks
     t.drop("blocks")
     t.release()
     return out
