@@ -43,7 +43,7 @@ from .grouping_sort import equal_runs, ranges
 FLUSH = 4 << 20
 SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
-CUT = 128
+CUT = 32
 LONGEST = 2048
 #: Bytes of a short anchor; by how many a long one is shorter than a string; bytes of text for each bucket.
 SHORT, LESS = 16, 10
@@ -71,14 +71,28 @@ class Strings(NamedTuple):
         return Strings(self.data, *(c[at] for c in self[1:]))
 
     def packed(self) -> tuple[bytes, bytes]:
-        meta = np.stack([self.size, self.key.view(np.int64), self.doc, self.rk, self.pos])
-        return squeeze(meta.astype("<i8").tobytes()), squeeze(self.data[ranges(self.start, self.size)].tobytes())
-
-
-def unpacked(rows: list[tuple[bytes, bytes]]) -> Strings:
-    meta = np.concatenate([np.frombuffer(unsqueeze(m), "<i8").reshape(5, -1) for m, _ in rows], axis=1)
+        """Meta and text. Owners are listed once and keys are left out: the reader makes them from the text."""
+        s = self.take(np.lexsort((self.pos, self.rk, self.doc)))
+        new = np.flatnonzero(np.r_[True, (s.doc[1:] != s.doc[:-1]) | (s.rk[1:] != s.rk[:-1])][: len(s.doc)])
+        own = np.diff(new, append=len(s.doc))
+        step = np.diff(s.pos, prepend=0)
+        meta = np.concatenate([[len(new), len(s.doc)], s.doc[new], s.rk[new], own, step, s.size])
+        return squeeze(meta.astype("<i8").tobytes()), squeeze(s.data[ranges(s.start, s.size)].tobytes())
+
+
+def unpacked(rows: list[tuple[bytes, bytes]], keys=None) -> Strings:
+    """Strings of packed rows; keys makes their keys of (data, start, size)."""
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for m, _ in rows:
+        x = np.frombuffer(unsqueeze(m), "<i8")
+        k, n = int(x[0]), int(x[1])
+        doc, rk, own, step, size = np.split(x[2:], [k, 2 * k, 3 * k, 3 * k + n])
+        for c, v in zip(cols, (np.repeat(doc, own), np.repeat(rk, own), np.cumsum(step), size), strict=True):
+            c.append(v)
+    doc, rk, pos, size = (np.concatenate(c) for c in cols)
     data = np.frombuffer(b"".join(unsqueeze(t) for _, t in rows), np.uint8)
-    return Strings(data, np.cumsum(meta[0]) - meta[0], meta[0], meta[1].view(np.uint64), *meta[2:])
+    start = np.cumsum(size) - size
+    return Strings(data, start, size, keys(data, start, size) if keys else np.zeros(len(size), np.uint64), doc, rk, pos)
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -94,6 +108,35 @@ def _string_keys(x: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def _chunk_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each string from its eight-byte pieces, in any order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(_eights(data) * _C[1]), dtype=np.uint64)])
+    return mix(total[start + size - 7] - total[start] + size.astype(np.uint64))
+
+
+def _least(data: np.ndarray, length: int, k: int) -> np.ndarray:
+    """For every place the least hash of the k-byte strings inside the length-byte string that starts there."""
+    x = _eights(data)
+    h = np.zeros(max(0, len(data) - k + 1), np.uint64)
+    for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
+        h += x[o : o + len(h)] * _C[i % 4]
+        h ^= h >> np.uint64(32)
+        h *= _C[(i + 2) % 4]
+    w, span = length - k + 1, 1
+    while 2 * span <= w:
+        h = np.minimum(h[:-span], h[span:])
+        span *= 2
+    return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if span < w else h
+
+
+def _window_keys(length: int, k: int):
+    return lambda data, start, size: _least(data, length, k)[start]
+
+
+def _single_keys(length: int):
+    return lambda data, start, size: _string_keys(_eights(data), start, length)
+
+
 class Runs:
     """Marked runs of starts, [first, last + 1) in the coordinates of their rows."""
 
@@ -175,8 +218,7 @@ def frequent(s: Strings) -> np.ndarray:
     """Which windows have a key with more than SPLIT different ones."""
     if not len(s.key):
         return np.zeros(0, bool)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(_eights(s.data) * _C[1]), dtype=np.uint64)])
-    look = total[s.start + s.size - 7] - total[s.start]
+    look = _chunk_keys(s.data, s.start, s.size)
     order = np.lexsort((look, s.key))
     new = np.r_[True, s.key[order][1:] != s.key[order][:-1]][: len(order)]
     kinds = np.cumsum(new | np.r_[True, look[order][1:] != look[order][:-1]][: len(order)])
@@ -251,8 +293,8 @@ def _regions(length: int, buckets: int, k: int):
         for b in got:
             for block, meta, text, answers in cells(b):
                 s = unpacked([(meta, text)])
-                start, _, _, own, _, hit = _hits(s, length, answers, buckets, k)
-                edge = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])][: len(own)])
+                start, own, _, hit = _hits(s, length, answers, buckets, k)
+                edge = _cut(own, hit)
                 n = np.diff(edge, append=len(own))
                 edge, n = edge[hit[edge]], n[hit[edge]]
                 of, at = own[edge], start[edge]
@@ -269,12 +311,9 @@ def _chunks(length: int, anchor_buckets: int, buckets: int, k: int):
         for b in got:
             for _, meta, text, answers in cells(b):
                 s = unpacked([(meta, text)])
-                start, _, _, own, _, hit = _hits(s, length, answers, anchor_buckets, k)
-                x = _eights(s.data)
-                cut = (x[start] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT
-                cut[:1] = True
-                cut[1:] |= (own[1:] != own[:-1]) | (hit[1:] != hit[:-1])
-                edge = np.flatnonzero(cut)
+                start, own, _, hit = _hits(s, length, answers, anchor_buckets, k)
+                cut = (_eights(s.data)[start] * _C[0]) >> np.uint64(40) < (1 << 24) // CUT
+                edge = np.union1d(_cut(own, hit), np.flatnonzero(cut))
                 n = np.diff(edge, append=len(start))
                 edge, n = edge[hit[edge]], n[hit[edge]]
                 # the few that are too long go in even pieces
@@ -282,26 +321,24 @@ def _chunks(length: int, anchor_buckets: int, buckets: int, k: int):
                 piece = ranges(np.zeros(len(n), np.int64), parts)
                 edge, n = np.repeat(edge, parts) + piece * LONGEST, np.minimum(LONGEST, np.repeat(n, parts) - piece * LONGEST)
                 at, size, of = start[edge], n + length - 1, own[edge]
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x * _C[1]), dtype=np.uint64)])
-                key = mix(total[at + size - 7] - total[at] + size.astype(np.uint64))
                 runs = Runs()
-                yield from _sent(judge(Strings(s.data, at, size, key, s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
+                yield from _sent(judge(Strings(s.data, at, size, _chunk_keys(s.data, at, size), s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
                 yield from _mark_rows(runs, buckets)
 
     return lambda got: batches(rows(got), SENT)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bytes, bytes]], list[tuple]]]:
-    """Rows sorted by bucket, a bucket at a time: its texts and its marks."""
-    now, texts, marks = None, [], []
-    for b in batches:
-        for bucket, kind, block, rk, meta, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+def _by_bucket(got: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[tuple[bytes, bytes]]], list[tuple]]]:
+    """Rows sorted by bucket, a bucket at a time: its texts by kind and its marks."""
+    now, texts, marks = None, {}, []
+    for b in got:
+        for bucket, kind, block, rk, meta, text in cells(b):
             if bucket != now:
                 if now is not None:
                     yield now, texts, marks
-                now, texts, marks = bucket, [], []
-            if kind == 0:
-                texts.append((meta, text))
+                now, texts, marks = bucket, {0: [], 2: []}, []
+            if kind != 1:
+                texts[kind].append((meta, text))
             else:
                 marks.append((bucket, kind, block, rk, meta, text))
     if now is not None:
@@ -314,10 +351,10 @@ def _blocks(length: int, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for bucket, texts, marks in _by_bucket(batches):
             yield from marks
-            if not texts:
+            if not texts[0]:
                 continue
             runs = Runs()
-            left = judge(unpacked(texts), length, runs)
+            left = judge(unpacked(texts[0], _chunk_keys), length, runs)
             yield from _mark_rows(runs, buckets)
             ends = np.cumsum(left.size)
             for i, at in enumerate(np.split(np.arange(len(left.size)), np.searchsorted(ends, np.arange(FLUSH, int(ends[-1]), FLUSH))) if len(ends) else ()):
@@ -327,28 +364,20 @@ def _blocks(length: int, buckets: int):
     return lambda got: batches(rows(got), SENT)
 
 
-def _anchors(s: Strings, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all strings of a block: where they start, the place of their anchor, its hash, and the text they are in."""
-    x = _eights(s.data)
-    h = np.zeros(max(0, len(s.data) - k + 1), np.uint64)
-    for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
-        h += x[o : o + len(h)] * _C[i % 4]
-        h ^= h >> np.uint64(31)
-        h *= _C[(i + 2) % 4]
-    h ^= h >> np.uint64(29)
-    low = np.uint64((1 << 24) - 1)
-    v = (h & ~low) | (np.arange(len(h), dtype=np.uint64) & low)
-    w, span = length - k + 1, 1
-    while 2 * span <= w:
-        v = np.minimum(v[:-span], v[span:])
-        span *= 2
-    if span < w:
-        v = np.minimum(v[: len(v) - (w - span)], v[w - span :])
+def _anchors(s: Strings, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of a block: where they start, the hash of their anchor, and the text they are in."""
     n = s.size - length + 1
     start = ranges(s.start, n)
-    at = (v[start] & low).astype(np.int64) + (start & ~np.int64(low))
-    at += (at < start) * np.int64(1 << 24)  # places are kept modulo 2**24
-    return start, at, h[at] >> np.uint64(8), np.repeat(np.arange(len(n)), n)
+    return start, _least(s.data, length, k)[start], np.repeat(np.arange(len(n)), n)
+
+
+def _cut(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns changes."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def _ask(length: int, buckets: int, k: int):
@@ -357,7 +386,7 @@ def _ask(length: int, buckets: int, k: int):
     def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in got:
             for block, meta, text in cells(b):
-                yield from asked(np.unique(_anchors(unpacked([(meta, text)]), length, k)[2]), block, buckets)
+                yield from asked(np.unique(_anchors(unpacked([(meta, text)]), length, k)[1]), block, buckets)
 
     return lambda got: batches(rows(got), ASKED)
 
@@ -368,11 +397,11 @@ def _shared_code(num: np.ndarray) -> np.ndarray:
 
 
 def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of all strings of a block: start, place and hash of the anchor, the text they are in, what the buckets said
-    of the anchor (0: no other block has it, 2: many have), and whether another document may have the string."""
-    start, at, key, own = _anchors(s, length, k)
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
-    num = np.diff(first, append=len(at))
+    """Of all strings of a block: where they start, the text they are in, what the buckets said of the anchor (0: no
+    other block has it, 2: many have), and whether another document may have the string."""
+    start, key, own = _anchors(s, length, k)
+    first = _cut(key, own)
+    num = np.diff(first, append=len(key))
     known, back = np.unique(key[first], return_inverse=True)
     flag = codes_of(known, answers, buckets)
     doc = s.doc[own[first]]
@@ -381,19 +410,20 @@ def _hits(s: Strings, length: int, answers: list[dict] | None, buckets: int, k:
     np.minimum.at(low, back, doc)
     np.maximum.at(high, back, doc)
     hit = (flag > 0) | (low != high)
-    return start, at, key, own, np.repeat(flag[back], num), np.repeat(hit[back], num)
+    return start, own, np.repeat(flag[back], num), np.repeat(hit[back], num)
 
 
-def _windows(length: int, anchor_buckets: int, buckets: int, k: int):
+def _windows(length: int, anchor_buckets: int, buckets: int, k: int, short: int):
     """Windows of the starts whose anchor another document may have; the block's own repeats are settled first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for _, meta, text, answers in cells(b):
                 s = unpacked([(meta, text)])
-                start, at, key, own, flag, hit = _hits(s, length, answers, anchor_buckets, k)
-                edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])][: len(at)])
-                size = np.diff(edge, append=len(at)) + length - 1
+                start, own, flag, hit = _hits(s, length, answers, anchor_buckets, k)
+                key = _least(s.data, length, short)[start]
+                edge = _cut(key, own, flag, hit)
+                size = np.diff(edge, append=len(start)) + length - 1
                 edge, size = edge[hit[edge]], size[hit[edge]]
                 of = own[edge]
                 win = Strings(s.data, start[edge], size, key[edge], s.doc[of], s.rk[of], s.pos[of] + start[edge] - s.start[of])
@@ -406,23 +436,25 @@ def _windows(length: int, anchor_buckets: int, buckets: int, k: int):
                 yield from _sent(judge(some.take(~many), length, runs), buckets, 0)
                 often = np.flatnonzero(said == 2)
                 for i in range(0, len(often), 4096):
-                    yield from _sent(judge(singles(win.take(often[i : i + 4096]), length), length, runs), buckets, 0)
+                    yield from _sent(judge(singles(win.take(often[i : i + 4096]), length), length, runs), buckets, 2)
                 yield from _mark_rows(runs, buckets)
 
     return lambda got: batches(rows(got), SENT)
 
 
-def _meet(length: int, buckets: int):
+def _meet(length: int, k: int):
     """Windows of one anchor meet; marks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, texts, marks in _by_bucket(batches):
             for _, _, doc, rk, _, data in marks:
                 yield doc, rk, data
-            if texts:
-                runs = Runs()
-                judge_windows(unpacked(texts), length, runs)
-                yield from runs.rows()
+            runs = Runs()
+            if texts[0]:
+                judge_windows(unpacked(texts[0], _window_keys(length, k)), length, runs)
+            if texts[2]:
+                judge(unpacked(texts[2], _single_keys(length)), length, runs)
+            yield from runs.rows()
 
     return lambda got: batches(rows(got), MARKS)
 
@@ -479,7 +511,7 @@ def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> Dat
     t.drop("regions")
     t.release()
     known = compared(blocks.filter("kind = 0").select(*names), _ask(length, buckets, long), _shared_code, tasks).select(*names, "answers")
-    marks = dealt(known.mapInArrow(_windows(length, buckets, buckets, long), SENT)).mapInArrow(_meet(length, buckets), MARKS)
+    marks = dealt(known.mapInArrow(_windows(length, buckets, buckets, long, short), SENT)).mapInArrow(_meet(length, short), MARKS)
     early = blocks.filter("kind = 1").select(F.col("block").alias("doc_id"), "rk", F.col("text").alias("runs"))
     out = t.save(early.union(marks), "marks")
     del known, marks, early, blocks
