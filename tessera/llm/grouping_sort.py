@@ -29,6 +29,12 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers from 0 on, sixteen bits at a time."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order[np.argsort((x[order] >> 16).astype(np.uint16), kind="stable")] if len(x) and x.max() >> 16 else order
+
+
 def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """Starts of all suffixes of the strings in lexicographic order, set by set.
 
@@ -48,9 +54,9 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
     left[(ends - sizes)[full]] = -1
 
     # the first groups: one for each first byte of a set
-    key = which * 256 + data
-    sa = np.argsort(key, kind="stable")
-    at = edges(key[sa])
+    sa = np.argsort(data, kind="stable")
+    sa = sa[_order(which[sa])]
+    at = edges(which[sa] * 256 + data[sa])
     count = len(at)
     low, high, word = (np.empty(count + n + 1, np.int64) for _ in range(3))  # segment and word length of a group
     low[:count], high[:count], word[:count] = at, np.r_[at[1:], n], 1
@@ -84,7 +90,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
             times = np.diff(cut, append=len(p))
             p = p[cut]
             old = group[p]
-            order = np.argsort(old * (int(times.max()) + 1) + times, kind="stable")
+            order = np.argsort(old * (int(times.max()) + 1) + times)
             p, old, times = p[order], old[order], times[order]
             cut = edges(old)
             num = np.diff(cut, append=len(p))
@@ -132,7 +138,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
     first = np.zeros(which[-1] + 1, np.int64)
     first[1:] = np.cumsum(np.bincount(which))[:-1]
     turn = np.arange(len(owner)) - np.repeat(edges(owner), np.diff(edges(owner), append=len(owner)))
-    for step in np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1]) if len(turn) else ():
+    for step in np.split(_order(turn), np.cumsum(np.bincount(turn))[:-1]) if len(turn) else ():
         lo, num = cut[step], size[step]
         mine = sa[ranges(lo, num)]
         slot = np.repeat(np.arange(len(step)), num)
@@ -148,7 +154,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
             rank = np.empty(len(now), np.int64)
             rank[at_end] = 2 * first[which[now[at_end]]]
             rank[~at_end] = 2 * place[to[~at_end]] + 1
-            now = now[np.argsort(rank, kind="stable")]
+            now = now[np.argsort(rank)]
             num = np.bincount(by, minlength=len(step))
             spot = ranges(lo, num)
             sa[spot] = now

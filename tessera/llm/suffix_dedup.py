@@ -10,9 +10,10 @@ a task look at more, never remove more, and equal strings always have equal hash
    Starts whose anchor no other document has go no further; the others lie in regions. Short anchors come first, as
    they are few; regions that stay are asked about by longer ones, which end close to where a repeat ends.
 2. Chunks. Content-defined cuts split regions; a chunk carries the LENGTH-1 bytes after it, so each string starts in
-   exactly one. Chunks of equal hash are suffix-sorted together, first those of one block, then what is left in the
-   task of their bucket. A start is marked when a smaller document has its string; a chunk whose starts are all
-   marked is done, since the smallest document's copy is never marked.
+   exactly one. Chunks that begin with the same string are suffix-sorted together, first those of one block, then
+   what is left in the task of their bucket; what is left of those meets once more with all that ends in the same
+   string. So equal chunks meet, and so do the parts before and after an edit. A start is marked when a smaller
+   document has its string; the smallest document's copy is never marked, and only unmarked runs go on.
 3. Windows. Of what is left, nearly distinct by now, anchors are compared once more. Strings of one anchor
    occurrence that is still shared form a window; windows of equal anchors are suffix-sorted together, again
    within the block first. Many different windows of one anchor are split into their strings, which are sorted by
@@ -43,7 +44,7 @@ from .grouping_sort import equal_runs, ranges
 FLUSH = 4 << 20
 SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
-CUT = 32
+CUT = 128
 LONGEST = 2048
 #: Bytes of a short anchor; by how many a long one is shorter than a string; bytes of text for each bucket.
 SHORT, LESS = 16, 10
@@ -133,10 +134,14 @@ def _window_keys(length: int, k: int):
     return lambda data, start, size: _least(data, length, k)[start]
 
 
-def _single_keys(length: int):
+def _head_keys(length: int):
     return lambda data, start, size: _string_keys(_eights(data), start, length)
 
 
+def _tail_keys(length: int):
+    return lambda data, start, size: _string_keys(_eights(data), start + size - length, length)
+
+
 class Runs:
     """Marked runs of starts, [first, last + 1) in the coordinates of their rows."""
 
@@ -164,54 +169,58 @@ class Runs:
             yield int(doc[new[a]]), int(rk[new[a]]), runs[a:e].tobytes()
 
 
-def _judge_block(s: Strings, length: int, runs: Runs) -> np.ndarray:
-    """Sort strings that lie by key, note the starts that a smaller doc has too; which strings keep an unmarked one."""
+def _joined(parts: list[Strings]) -> Strings:
+    """Strings of one buffer together."""
+    return Strings(parts[0].data, *(np.concatenate(c) for c in zip(*(p[1:] for p in parts), strict=True)))
+
+
+def _judge_block(s: Strings, length: int, runs: Runs) -> Strings:
+    """Sort strings that lie by key, note the starts that a smaller doc has too; the runs of starts that are left."""
     text = s.data[ranges(s.start, s.size)]
     base = np.cumsum(s.size) - s.size
     own = np.repeat(np.arange(len(s.size)), s.size)
     order, run = equal_runs(text, s.size, np.cumsum(np.r_[0, s.key[1:] != s.key[:-1]]), length)
     doc = s.doc[own[order]]
-    low = np.minimum.reduceat(doc, edges(run))
-    hit = np.zeros(len(text) + 1, bool)
-    hit[order[doc > low[run]]] = True
-    edge = np.flatnonzero(np.diff(hit[:-1], prepend=False, append=False))
-    a, e = edge[::2], edge[1::2]  # the last starts of a string are never marked, so runs stay inside strings
-    at = own[a]
+    hit = doc > np.minimum.reduceat(doc, edges(run))[run]
+    pieces = []
+    for places in (order[hit], order[~hit]):  # the last places of a string start no string, so runs stay inside
+        mark = np.zeros(len(text) + 1, bool)
+        mark[places] = True
+        edge = np.flatnonzero(np.diff(mark[:-1], prepend=False, append=False))
+        pieces.append((own[edge[::2]], edge[::2], edge[1::2]))
+    (at, a, e), (left, f, z) = pieces
     runs.add(s.doc[at], s.rk[at], s.pos[at] + a - base[at], s.pos[at] + e - base[at])
-    return np.bincount(at, e - a, len(s.size)) < s.size - length + 1
+    return Strings(s.data, s.start[left] + f - base[left], z - f + length - 1, s.key[left], s.doc[left], s.rk[left], s.pos[left] + f - base[left])
 
 
 def judge(s: Strings, length: int, runs: Runs) -> Strings:
-    """Strings of equal keys meet; those with an unmarked start come back, by key and document."""
+    """Strings of equal keys meet; what is left of them, as runs of unmarked starts."""
     s = s.take(np.lexsort((s.doc, s.key)))
     cut = edges(s.key)
     if not len(cut):
         return s
     several = np.minimum.reduceat(s.doc, cut) != np.maximum.reduceat(s.doc, cut)
-    num = np.diff(cut, append=len(s.key))
-    left = ~np.repeat(several, num)
-    todo = np.flatnonzero(~left)
+    met = np.repeat(several, np.diff(cut, append=len(s.key)))
+    out, todo = [s.take(~met)], np.flatnonzero(met)
     firsts = np.zeros(len(s.key), bool)
     firsts[cut] = True
     ends = np.cumsum(s.size[todo])
     at = 0
     while at < len(todo):
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT, "right"))
-        to = max(to, at + 1)
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT, "right")))
         if to < len(todo):
             whole = np.flatnonzero(firsts[todo[at + 1 : to + 1]])
             to = at + 1 + int(whole[-1]) if len(whole) else to
-        part = todo[at:to]
+        part = s.take(todo[at:to])
         while to < len(todo) and not firsts[todo[to]]:  # a set larger than one sort: carry what is left
-            part = part[_judge_block(s.take(part), length, runs)]
-            most = max(SORT, 2 * int(s.size[part].sum()))
-            more = max(to + 1, int(np.searchsorted(ends, ends[to - 1] + most, "right")))
+            part = _judge_block(part, length, runs)
+            more = max(to + 1, int(np.searchsorted(ends, ends[to - 1] + max(SORT, 2 * int(part.size.sum())), "right")))
             after = np.flatnonzero(firsts[todo[to:more]])
             more = to + int(after[0]) if len(after) else more
-            part, to = np.concatenate([part, todo[to:more]]), more
-        left[part] = _judge_block(s.take(part), length, runs)
+            part, to = _joined([part, s.take(todo[to:more])]), more
+        out.append(_judge_block(part, length, runs))
         at = to
-    return s.take(np.flatnonzero(left))
+    return _joined(out)
 
 
 def frequent(s: Strings) -> np.ndarray:
@@ -322,7 +331,7 @@ def _chunks(length: int, anchor_buckets: int, buckets: int, k: int):
                 edge, n = np.repeat(edge, parts) + piece * LONGEST, np.minimum(LONGEST, np.repeat(n, parts) - piece * LONGEST)
                 at, size, of = start[edge], n + length - 1, own[edge]
                 runs = Runs()
-                yield from _sent(judge(Strings(s.data, at, size, _chunk_keys(s.data, at, size), s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
+                yield from _sent(judge(Strings(s.data, at, size, _head_keys(length)(s.data, at, size), s.doc[of], s.rk[of], s.pos[of] + at - s.start[of]), length, runs), buckets, 0)
                 yield from _mark_rows(runs, buckets)
 
     return lambda got: batches(rows(got), SENT)
@@ -345,16 +354,31 @@ def _by_bucket(got: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, l
         yield now, texts, marks
 
 
-def _blocks(length: int, buckets: int):
-    """Chunks of one hash meet; what is left goes on in blocks."""
+def _by_head(length: int, buckets: int):
+    """Chunks that begin alike meet; what is left goes on by the bucket of its end."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for bucket, texts, marks in _by_bucket(batches):
+    def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, texts, marks in _by_bucket(got):
+            yield from marks
+            if texts[0]:
+                runs = Runs()
+                left = judge(unpacked(texts[0], _head_keys(length)), length, runs)
+                yield from _sent(left._replace(key=_tail_keys(length)(left.data, left.start, left.size)), buckets, 0)
+                yield from _mark_rows(runs, buckets)
+
+    return lambda got: batches(rows(got), SENT)
+
+
+def _by_tail(length: int, buckets: int):
+    """Chunks that end alike meet; what is left goes on in blocks."""
+
+    def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for bucket, texts, marks in _by_bucket(got):
             yield from marks
             if not texts[0]:
                 continue
             runs = Runs()
-            left = judge(unpacked(texts[0], _chunk_keys), length, runs)
+            left = judge(unpacked(texts[0], _tail_keys(length)), length, runs)
             yield from _mark_rows(runs, buckets)
             ends = np.cumsum(left.size)
             for i, at in enumerate(np.split(np.arange(len(left.size)), np.searchsorted(ends, np.arange(FLUSH, int(ends[-1]), FLUSH))) if len(ends) else ()):
@@ -453,7 +477,7 @@ def _meet(length: int, k: int):
             if texts[0]:
                 judge_windows(unpacked(texts[0], _window_keys(length, k)), length, runs)
             if texts[2]:
-                judge(unpacked(texts[2], _single_keys(length)), length, runs)
+                judge(unpacked(texts[2], _head_keys(length)), length, runs)
             yield from runs.rows()
 
     return lambda got: batches(rows(got), MARKS)
@@ -506,8 +530,9 @@ def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> Dat
     t.drop("documents")
     t.release()
     known = compared(regions, _ask(length, buckets, long), _shared_code, tasks).select(*names, "answers")
-    blocks = t.save(dealt(known.mapInArrow(_chunks(length, buckets, buckets, long), SENT)).mapInArrow(_blocks(length, buckets), SENT), "blocks")
-    del known, regions
+    chunks = dealt(known.mapInArrow(_chunks(length, buckets, buckets, long), SENT)).mapInArrow(_by_head(length, buckets), SENT)
+    blocks = t.save(dealt(chunks).mapInArrow(_by_tail(length, buckets), SENT), "blocks")
+    del known, regions, chunks
     t.drop("regions")
     t.release()
     known = compared(blocks.filter("kind = 0").select(*names), _ask(length, buckets, long), _shared_code, tasks).select(*names, "answers")
