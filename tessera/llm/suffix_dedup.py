@@ -44,7 +44,7 @@ from .grouping_sort import equal_runs, ranges
 FLUSH = 4 << 20
 SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
-CUT = 128
+CUT = 256
 LONGEST = 2048
 #: Bytes of a short anchor; by how many a long one is shorter than a string; bytes of text for each bucket.
 SHORT, LESS = 16, 10
@@ -71,6 +71,10 @@ class Strings(NamedTuple):
     def take(self, at: np.ndarray) -> Strings:
         return Strings(self.data, *(c[at] for c in self[1:]))
 
+    def compact(self) -> Strings:
+        """The same strings over a buffer that holds nothing else."""
+        return Strings(self.data[ranges(self.start, self.size)], np.cumsum(self.size) - self.size, *self[2:])
+
     def packed(self) -> tuple[bytes, bytes]:
         """Meta and text. Owners are listed once and keys are left out: the reader makes them from the text."""
         s = self.take(np.lexsort((self.pos, self.rk, self.doc)))
@@ -410,7 +414,8 @@ def _ask(length: int, buckets: int, k: int):
     def rows(got: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in got:
             for block, meta, text in cells(b):
-                yield from asked(np.unique(_anchors(unpacked([(meta, text)]), length, k)[1]), block, buckets)
+                key = _anchors(unpacked([(meta, text)]), length, k)[1]
+                yield from asked(np.unique(key[edges(key)]), block, buckets)
 
     return lambda got: batches(rows(got), ASKED)
 
@@ -453,8 +458,8 @@ def _windows(length: int, anchor_buckets: int, buckets: int, k: int, short: int)
                 win = Strings(s.data, start[edge], size, key[edge], s.doc[of], s.rk[of], s.pos[of] + start[edge] - s.start[of])
                 said = flag[edge]
                 runs = Runs()
-                judge_windows(win.take(said == 0), length, runs)
-                some = win.take(said == 1)
+                judge_windows(win.take(said == 0).compact(), length, runs)
+                some = win.take(said == 1).compact()
                 many = frequent(some)
                 yield from _sent(some.take(many), buckets, 0)
                 yield from _sent(judge(some.take(~many), length, runs), buckets, 0)
@@ -514,7 +519,7 @@ def marked(spark: SparkSession, t: Tables, texts: DataFrame, length: int) -> Dat
     """Marked runs (doc_id, rk, runs) of texts(doc_id, rk, text); t holds the intermediate tables."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BUCKET_BYTES)))
-    buckets = 2 * tasks
+    buckets = tasks
 
     short = min(SHORT, length - 8)
     long = max(short, length - LESS)
