@@ -1,15 +1,19 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation over the
-counts of vote patterns (at most 3 ** labellers rows, whatever the number of documents) estimates how accurate
-each labeller is in either class. The posterior of a pattern labels a bounded sample of documents, on which a
-linear scorer over hashed words and byte frequencies is trained; it scores every whole document.
+counts of vote patterns (at most 3 ** labellers rows for each kind of label, whatever the number of documents)
+estimates how accurate each labeller is in the good class and in each kind of bad text; documents with a known label
+count in the classes that it allows. Two labellers look for abuse: a word list, and word beginnings that labelled
+toxic documents have and others don't. The posterior of a pattern labels a bounded sample of documents, on which a
+linear scorer over hashed words, those beginnings and byte frequencies is trained; its score of the whole document
+alone decides.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,19 +22,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, word_hashes
+from .common import Tables, bound_batches, word_hashes
 
 SLOTS = 1 << 14
-SIZE = SLOTS + 256
+#: Slots of telling word beginnings and words of abuse.
+STEM_SLOTS = 1 << 12
+#: Shares of a text that labellers read too.
+SHARES = 9
+SIZE = SLOTS + 256 + STEM_SLOTS + SHARES
 #: Documents the scorer is trained on, at most; those of the smallest hashes of text.
 SAMPLE = 6000
-
-#: Largest share of good documents that one labeller may call bad.
-FALSE_ALARM = 0.005
-#: Least share of a kind of bad text that its labellers call bad.
-CATCH = 0.4
+#: Labelled documents that word beginnings are learned from, at most, and beginnings kept, at most.
+LABELLED = 40_000
+STEMS = 600
+#: Letters of a word beginning; toxic documents that must have it; share of its documents that must be toxic.
+LETTERS = (4, 5, 6, 7, 8, 9)
+SUPPORT, PURITY = 4, 0.98
+#: Documents of the sample that must have a feature.
+LEAST = 4
+#: Weight of a telling beginning beside words and bytes; steps of the scorer's training and decay of its weights.
+STEM = 2.0
+RATE, DECAY = 4.0, 1e-4
+
+#: Share of good documents that a labeller calls bad and of bad ones that those of their kind do, before any is seen;
+#: the latter belief is worth so many documents, the former as many as there are without a label.
+FALSE_ALARM, CATCH, BELIEF = 0.005, 0.6, 10
 #: Labellers that react to one kind of bad text, where the estimation starts.
-KINDS = (("symbols",), ("capitals", "exclamations", "repeated_lines"), ("columns", "sentences"), ("stutter",))
+KINDS = (("symbols",), ("capitals", "exclamations", "repeated_lines"), ("columns", "sentences"), ("stutter",), ("abuse", "stems"))
 
 # Words of abuse in English, German, French and Spanish.
 ABUSE = (
@@ -41,7 +59,10 @@ ABUSE = (
 ).split()
 _LETTER = r"[^\W\d_]"
 _WORD = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(ABUSE)})(?!{_LETTER})")
-LABELLERS = ("symbols", "capitals", "exclamations", "columns", "sentences", "word_length", "repeated_lines", "digits", "stutter")
+_WORDS = re.compile(rf"{_LETTER}+")
+LABELLERS = ("symbols", "capitals", "exclamations", "columns", "sentences", "word_length", "repeated_lines", "digits", "stutter", "abuse", "stems")
+#: What is known of a document: nothing, good, or bad of some kind; toxic ones are of the last kind.
+UNKNOWN, GOOD, POOR, TOXIC = range(4)
 
 
 @dataclass
@@ -51,17 +72,30 @@ class Measures:
     votes: tuple[int, ...]
     words: np.ndarray
     bytes: np.ndarray
+    told: set[str]
     abuse: int
+    shares: np.ndarray
 
 
-def abuse_words(text: str) -> int:
+def abuse_words(text: str) -> list[str]:
     """Words of abuse, whatever marks stand around them, in capitals or not."""
     low = unicodedata.normalize("NFC", text).lower()
-    return len(_WORD.findall(low)) if any(x in low for x in ABUSE) else 0
+    return _WORD.findall(low) if any(x in low for x in ABUSE) else []
+
+
+def word_set(text: str | None) -> set[str]:
+    """Words of letters, in lower case."""
+    return set(_WORDS.findall(unicodedata.normalize("NFC", text).lower())) if text else set()
+
 
+def beginnings(words: set[str]) -> set[str]:
+    return {w[:n] for n in LETTERS for w in words if len(w) >= n}
 
-def measure(text: str | None) -> Measures:
+
+def measure(text: str | None, lexicon: frozenset[str] = frozenset()) -> Measures:
     """Votes (1 good, -1 bad, 0 none) and features of a whole text; null is read as empty."""
+    told = beginnings(word_set(text)) & lexicon if lexicon else set()
+    abuse = abuse_words(text or "")
     raw = (text or "").encode("utf-8", "surrogatepass")
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     w = word_hashes(text)
@@ -86,8 +120,11 @@ def measure(text: str | None) -> Measures:
         vote(len(lines) >= 4 and len(set(lines)) <= len(lines) / 2, len(lines) >= 2 and len(set(lines)) == len(lines)),
         vote(h[48:58].sum() / size > 0.15, h[48:58].sum() / size < 0.03),
         vote(stutter > 0.1 and n > 20, stutter < 0.02 and len(w) > 1),
+        vote(bool(abuse), not abuse),
+        vote(bool(told), not told) if lexicon else 0,
     )
-    return Measures(votes, (w >> np.uint64(50)).astype(np.int64), h, abuse_words(text or ""))
+    shares = (5 * symbols, capitals, h[33] / n, h[124] / n, max(0.0, 1 - 60 * marks / n) if len(w) > 60 else 0.0, abs(size / n - 7) / 7, 1 - len(set(lines)) / max(len(lines), 1), 3 * h[48:58].sum() / size, 3 * stutter)
+    return Measures(votes, (w >> np.uint64(50)).astype(np.int64), h, told | {f"{x}!" for x in abuse}, len(abuse), np.clip(np.array(shares, np.float32), 0, 1))
 
 
 def pattern(votes: tuple[int, ...]) -> int:
@@ -122,121 +159,167 @@ class WeakModel:
         return dict(zip(LABELLERS, right.round(6).tolist(), strict=True))
 
 
-def estimate(codes: np.ndarray, counts: np.ndarray, rounds: int = 80) -> WeakModel:
+def estimate(codes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, rounds: int = 80) -> WeakModel:
     """Expectation-maximisation of labeller accuracies in the good class and in each kind of bad text.
 
-    Labellers overlap: several react to the same kind of bad text, so bad text has KINDS, within which votes
-    are independent. Labellers are taken to be conservative (FALSE_ALARM), and those of a kind to notice at least
-    CATCH of it; that keeps the good class good and the kinds bad.
+    codes, counts: documents of a pattern; known: what their label says (UNKNOWN without labels). Labellers overlap:
+    several react to the same kind of bad text, so bad text has KINDS, within which votes are independent. Before any
+    document is seen, labellers are believed to be conservative and those of a kind to notice it; labels and votes
+    move both beliefs.
     """
-    bad = np.full((1 + len(KINDS), len(LABELLERS)), 0.05)
-    bad[0] = FALSE_ALARM
+    known = np.zeros(len(codes), np.int64) if known is None else known
+    prior = np.full((1 + len(KINDS), len(LABELLERS)), 0.05)
+    prior[0] = FALSE_ALARM
     for i, names in enumerate(KINDS, 1):
-        bad[i, [LABELLERS.index(x) for x in names]] = 0.6
-    focus = bad == 0.6
-    model = WeakModel(np.r_[0.85, np.full(len(KINDS), 0.15 / len(KINDS))], bad)
+        prior[i, [LABELLERS.index(x) for x in names]] = CATCH
+    allowed = np.ones((4, 1 + len(KINDS)), bool)
+    allowed[GOOD, 1:] = False
+    allowed[POOR, 0] = False
+    allowed[TOXIC, :-1] = False
+    worth = np.full((1 + len(KINDS), 1), float(BELIEF))
+    worth[0] = max(BELIEF, counts[known == UNKNOWN].sum())
+    model = WeakModel(np.r_[0.85, np.full(len(KINDS), 0.15 / len(KINDS))], prior)
     v = unpattern(codes)
     for _ in range(rounds):
-        p = model.classes(codes) * counts[:, None]
+        p = model.classes(codes) * allowed[known] + 1e-12 * allowed[known]
+        p = p / p.sum(axis=1, keepdims=True) * counts[:, None]
         low, high = p.T @ (v == 0), p.T @ (v == 2)
-        new = (low + 0.05) / (low + high + 0.5)
-        new[0] = np.minimum(new[0], FALSE_ALARM)
-        new[focus] = np.maximum(new[focus], CATCH)
+        new = (low + worth * prior) / (low + high + worth)
         share = p.sum(axis=0) + 1
         model = WeakModel(share / share.sum(), np.clip(new, 1e-4, 1 - 1e-4))
     return model
 
 
 def _vector(m: Measures) -> tuple[np.ndarray, np.ndarray]:
+    """Words and bytes by their share of the text; telling beginnings by presence, however long the
+    text; shares as they are."""
     slot, n = np.unique(m.words, return_counts=True)
     x = np.sqrt(n.astype(np.float32))
     b = np.sqrt(m.bytes.astype(np.float32))
     at = np.flatnonzero(b)
-    return np.r_[slot, SLOTS + at], np.r_[x / max(np.sqrt((x * x).sum()), 1e-9), 2 * b[at] / max(np.sqrt((b * b).sum()), 1e-9)].astype(np.float32)
+    stems = np.unique(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % STEM_SLOTS for x in m.told], np.int64))
+    there = np.flatnonzero(m.shares)
+    values = (x / max(np.sqrt((x * x).sum()), 1e-9), 2 * b[at] / max(np.sqrt((b * b).sum()), 1e-9), np.full(len(stems), STEM / max(np.sqrt(len(stems)), 1.0)), 2 * m.shares[there])
+    return np.r_[slot, SLOTS + at, SLOTS + 256 + stems, SIZE - SHARES + there], np.concatenate(values).astype(np.float32)
 
 
 @dataclass
 class Quality:
     weak: WeakModel
     weights: np.ndarray  # SIZE and a bias
+    lexicon: frozenset[str] = frozenset()
 
     def score(self, m: Measures) -> float:
         at, x = _vector(m)
         return float(1 / (1 + np.exp(-np.clip((self.weights[at] * x).sum() + self.weights[-1], -30, 30))))
 
 
-def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE) -> Quality:
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, known) of labels(doc_id, quality, toxic); nulls and other values say nothing, repeated rows the worst."""
+    x = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+    known = F.when(F.col("x") == 1, TOXIC).when(F.col("q") == 0, POOR).when(F.col("q") == 1, GOOD)
+    return x.select("doc_id", known.cast("int").alias("known")).filter("known is not null")
+
+
+def toxic_beginnings(texts: DataFrame, known: DataFrame) -> frozenset[str]:
+    """Word beginnings of toxic documents that others don't have, from LABELLED labelled documents of least id hash."""
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(x, k == TOXIC) for t, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in beginnings(word_set(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([k for _, k in found], pa.bool_())], ["x", "bad"])
+
+    # at most LABELLED rows of two numbers are broadcast
+    seen = texts.join(F.broadcast(some), "doc_id").select("text", "known").mapInArrow(run, "x string, bad boolean")
+    counted = seen.groupBy("x").agg(F.count_if("bad").alias("bad"), F.count("*").alias("n")).filter((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * F.col("n")))
+    return frozenset(r.x for r in counted.orderBy(F.desc("bad"), "x").limit(STEMS).collect())
+
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Quality:
     """Votes over all documents, accuracies from their pattern counts, scorer from at most `sample` documents.
 
-    No documents give a model that scores every text 0.5.
+    docs(text) and, with labels(doc_id, quality, toxic), doc_id. No documents give a model that scores every text 0.5.
     """
     bound_batches(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
+    t = Tables(spark, "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id") if labels is not None else F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = known_labels(labels) if labels is not None else None
+    lexicon = toxic_beginnings(texts, known) if known is not None else frozenset()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pattern(measure(t).votes) for t in b.column(0).to_pylist()], pa.int32())], ["p"])
-
-    counted = texts.mapInArrow(vote, "p int").groupBy("p").count().toPandas()  # at most 3 ** labellers rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern(measure(x, lexicon).votes) for x in b.column(1).to_pylist()], pa.int32())], ["doc_id", "p"])
+
+    votes = t.save(texts.mapInArrow(vote, "doc_id long, p int"), "votes")
+    # at most 3 ** labellers rows for each kind of label
+    counts = {(r.p, UNKNOWN): r["count"] for r in votes.groupBy("p").count().collect()}
+    total = sum(counts.values())
+    if known is not None:
+        for r in votes.join(known, "doc_id").groupBy("p", "known").count().collect():
+            counts[r.p, r.known] = r["count"]
+            counts[r.p, UNKNOWN] -= r["count"]
+    t.drop("votes")
     weights = np.zeros(SIZE + 1, np.float32)
-    if not len(counted):
+    if not total:
         return Quality(estimate(np.zeros(0, np.int64), np.zeros(0)), weights)
-    weak = estimate(counted["p"].to_numpy(), counted["count"].to_numpy())
+    key = np.array(list(counts), np.int64)
+    weak = estimate(key[:, 0], np.array(list(counts.values()), float), key[:, 1])
     # hashes below the share wanted, half as many again; equal texts once; then exactly the smallest
-    total = int(counted["count"].sum())
     h = F.xxhash64("text", F.lit(23))
     below = -(2**63) + min(int(1.5 * sample / total * 2**64), 2**64 - 1)
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ms = [measure(t) for t in b.column(1).to_pylist()]
+            ms = [measure(x, lexicon) for x in b.column(1).to_pylist()]
             vs = [_vector(m) for m in ms]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pattern(m.votes) for m in ms], pa.int32()), pa.array([a.astype("<i4").tobytes() for a, _ in vs], pa.binary()), pa.array([x.tobytes() for _, x in vs], pa.binary())], ["h", "p", "at", "x"])
 
     chosen = texts.select(h.alias("h"), "text").filter(F.col("h") <= below).dropDuplicates(["h"]).mapInArrow(featurize, "h long, p int, at binary, x binary")
     rows = sorted(chosen.toLocalIterator(), key=lambda r: (r.h, r.p))[:sample]
     if not rows:
-        return Quality(weak, weights)
+        return Quality(weak, weights, lexicon)
     y = weak.posterior(np.array([r.p for r in rows]))
     at = [np.frombuffer(r.at, "<i4") for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
     at, x = np.concatenate(at), np.concatenate([np.frombuffer(r.x, np.float32) for r in rows])
+    often = np.bincount(at, minlength=SIZE) >= min(LEAST, len(rows))
+    use = often[at]
+    row, at, x = row[use], at[use], x[use]
     # accelerated gradient descent on the logistic loss against the posteriors
     share = 1.0 / len(y)
     velocity, bias, vb = np.zeros(SIZE, np.float32), 0.0, 0.0
     w = np.zeros(SIZE, np.float32)
-    for _ in range(300):
+    for _ in range(600):
         z = np.bincount(row, w[at] * x, len(rows)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        velocity = 0.9 * velocity + np.bincount(at, g[row] * x, SIZE).astype(np.float32) + 1e-4 * w
+        velocity = 0.9 * velocity + np.bincount(at, g[row] * x, SIZE).astype(np.float32) + DECAY * w
         vb = 0.9 * vb + g.sum()
-        w -= 4 * velocity
-        bias -= 0.4 * vb
+        w -= RATE * velocity
+        bias -= 0.1 * RATE * vb
     weights[:-1], weights[-1] = w, bias
-    return Quality(weak, weights)
+    return Quality(weak, weights, lexicon)
 
 
-def classify(spark: SparkSession, docs: DataFrame, model: Quality | None = None, threshold: float = 0.5, abuse: int = 1) -> DataFrame:
-    """All columns of docs(text, ...) and posterior, score, abuse_words, keep.
+def classify(spark: SparkSession, docs: DataFrame, model: Quality | None = None, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """(row, posterior, score, abuse_words, keep) for every row of docs(text, ...); `row` is the whole input row.
 
     posterior is the weak-label model's, score the linear scorer's probability that a text is good. keep holds
-    where score >= threshold and fewer than `abuse` words of abuse occur. Whole texts count; null and empty
-    texts are scored as empty and not kept, as they hold no word. Columns of the input named like a result are
-    replaced. Repeated rows get equal results; an empty table gives no rows.
+    where score >= threshold and the text holds a word. Whole texts count; null and empty texts are scored as empty
+    and not kept. Repeated rows get equal results; an empty table gives no rows.
     """
     bound_batches(spark)
-    own = docs.drop("posterior", "score", "abuse_words", "keep")
-    shared = spark.sparkContext.broadcast(model or train(spark, docs))  # about 70 KB
+    shared = spark.sparkContext.broadcast(model or train(spark, docs, labels))  # about 0.6 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for b in batches:
-            ms = [measure(t) for t in b.column(1).to_pylist()]
+            ms = [measure(t, q.lexicon) for t in b.column(1).to_pylist()]
             post = q.weak.posterior(np.array([pattern(m.votes) for m in ms], np.int64)) if ms else np.zeros(0)
             score = [q.score(m) for m in ms]
-            keep = [s >= threshold and m.abuse < abuse and len(m.words) > 0 for s, m in zip(score, ms, strict=True)]
+            keep = [s >= threshold and len(m.words) > 0 for s, m in zip(score, ms, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array([m.abuse for m in ms], pa.int64()), pa.array(keep, pa.bool_())], ["row", "posterior", "score", "abuse_words", "keep"])
 
-    packed = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col("text").cast("string").alias("t"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("t"))
     schema = packed.select("row").schema.add("posterior", "double").add("score", "double").add("abuse_words", "long").add("keep", "boolean")
-    return packed.mapInArrow(run, schema).select("row.*", "posterior", "score", "abuse_words", "keep")
+    return packed.mapInArrow(run, schema)

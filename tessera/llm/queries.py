@@ -18,7 +18,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(spark, read(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_join.jaccard_components(spark, read(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.classify(spark, docs).select("doc_id", "posterior", "score", "abuse_words", "keep")
+    return quality.classify(spark, docs, labels=read(spark, sf_dir, "labels")).select("row.doc_id", "posterior", "score", "abuse_words", "keep")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = mixing.mixed(spark, read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard_join, mixing, packing, suffix_dedup
 from . import quality as weak
+from .common import read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,19 +19,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps, trained on docs themselves."""
-    return weak.classify(spark, docs).filter("keep").select(*docs.columns)
+    """Documents that the quality classifier keeps, trained on docs themselves and the labels of the folder, if any."""
+    labels = read(spark, sf_dir, "labels") if sf_dir else None
+    return weak.classify(spark, docs, labels=labels).filter("keep").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one of smallest doc_id.
 
-    Of repeated rows of that doc_id one stays. Documents without words and without an id stay.
+    Rows are told apart by doc_id and text, so another text under the id of a dropped row stays; of repeated rows one
+    stays. Rows without words or without an id all stay.
     """
-    found = jaccard_join.jaccard_components(spark, docs, k=5, percent=80)
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    return kept.select(*docs.columns).dropDuplicates()
+    found = jaccard_join.jaccard_components(spark, docs, k=5, percent=80).filter("n_shingles > 0 and doc_id is not null")
+    rows = found.groupBy("doc_id", "text_key", "component").agg((F.count("*") > 1).alias("again"))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
+    gone = rows.join(first, "component").select("doc_id", "text_key", "again", (F.struct("doc_id", "text_key") != F.col("kept")).alias("gone")).filter("gone or again")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    left = own.join(gone, ["doc_id", "text_key"], "left").filter("not coalesce(gone, false)")
+    one = left.filter("again").dropDuplicates(["doc_id", "text_key"])
+    return left.filter("again is null").select("row.*").union(one.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +54,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    out = mixing.mixed(docs)
-    return out.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    out = mixing.mixed(spark, docs).filter("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

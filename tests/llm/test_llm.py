@@ -143,6 +143,54 @@ def test_jaccard_large_near_group(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, 3, 90)
 
 
+def test_spanning_links_join_what_links_join():
+    r = random.Random(8)
+    for percent in (60, 80, 90):
+        base = [r.getrandbits(63) for _ in range(60)]
+        sets = []
+        for _ in range(50):
+            own = set(r.sample(base, r.randint(40, 60))) | {r.getrandbits(63) for _ in range(r.randint(0, 8))}
+            sets.append(np.array(sorted(own), np.int64))
+        root = np.array([r.randrange(30) for _ in sets])
+
+        def joined(pairs):
+            label = root.tolist()
+            for x, y in pairs:
+                label = [label[x] if v == label[y] else v for v in label]
+            return [label.index(v) for v in label]
+
+        every = [(x, y) for x in range(50) for y in range(x) if 100 * len(set(sets[x]) & set(sets[y])) >= percent * len(set(sets[x]) | set(sets[y]))]
+        got = jaccard_join.spanning_links(sets, root, percent)
+        assert joined(got) == joined(every) and set(got) <= {p for x, y in every for p in ((x, y), (y, x))} and len(got) < 50
+
+
+@pytest.mark.parametrize("unit", [0, 1 << 20])
+def test_jaccard_by_units(spark, docs, unit, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    got = jaccard_join.jaccard_components(spark, docs, 3, 80).collect()
+    want = brute_components([(x[0], x[1]) for x in corpus()], 3, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got if x.doc_id is not None} == want
+
+
+def test_words_of_periodic_letters_differ():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 16:
+            a, b = word, word.translate(str.maketrans("ab", "ba"))
+            assert shingle_hashes(a, 3)[0] != shingle_hashes(b, 3)[0]
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    w, v = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, w), (2, w), (2, v), (2, v), (None, w), (None, w), (None, v), (3, ""), (3, ""), (4, None), (1, "s t u v w x y")]
+    out = stages.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    want = [(1, w), (1, "s t u v w x y"), (2, v), (3, ""), (3, ""), (4, None), (None, v), (None, w), (None, w)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
 def test_jaccard_empty(spark, empty):
     assert jaccard_join.jaccard_components(spark, empty).count() == 0
 
@@ -298,7 +346,7 @@ def test_weak_labels_and_scorer(spark, empty):
     df = spark.createDataFrame(rows, DOCS)
     model = quality.train(spark, df)
     assert model.weak.share[0] > 0.6, model.weak
-    got = {x.doc_id: x for x in quality.classify(spark, df, model).collect()}
+    got = {x.doc_id: x for x in quality.classify(spark, df, model).select('row.doc_id', 'keep', 'abuse_words', 'score').collect()}
     keep = [got[i].keep for i in range(len(rows) - 2)]
     assert sum(keep[:160]) >= 158 and sum(keep[160:]) <= 2
     assert not got[900].keep and not got[901].keep and got[200].abuse_words == 3
@@ -447,7 +495,7 @@ def test_sketches_merge(spark):
 
 
 def test_mixing(spark, docs, empty):
-    out = mixing.mixed(docs.select("doc_id", "source", "text", F.lit(1).alias("target"))).collect()
+    out = mixing.mixed(spark, docs.select("doc_id", "source", "text", F.lit(1).alias("target"))).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", "taken").collect()
     rows = corpus()
     sizes = {}
     for x in rows:
@@ -468,9 +516,44 @@ def test_mixing(spark, docs, empty):
         taken[x.source] = taken.get(x.source, 0) + x.taken
     largest = {s: max([len(WORD.findall(x[1] or "")) for x in rows if x[3] == s]) for s in sizes}
     assert all(abs(taken[s] - target[s]) <= largest[s] + 1 for s in sizes)
-    again = mixing.mixed(docs.repartition(5).select("doc_id", "source", "text")).collect()
+    again = mixing.mixed(spark, docs.repartition(5).select("doc_id", "source", "text")).select("row.doc_id", "size", "taken").collect()
     assert sorted((str(x.doc_id), x.size, x.taken) for x in again) == sorted((str(x.doc_id), x.size, x.taken) for x in out)
-    assert mixing.mixed(empty).count() == 0
+    assert mixing.mixed(spark, empty).count() == 0
+
+
+def test_mixing_of_two_constraints(spark):
+    r = random.Random(11)
+    rows = [(i, "w " * r.randint(1, 30), r.choice(["a", "b", None]), r.choice(["x", "y"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    total = sum(len(t.split()) for _, t, _, _ in rows)
+    goal = {"x": total * 0.3, "y": total * 0.7}
+    out = mixing.mixed(spark, df, others={"lang": (F.col("lang"), spark.createDataFrame(list(goal.items()), "value string, target double"))}).collect()
+    for value, want in goal.items():
+        assert abs(sum(x.taken for x in out if x.row.lang == value) - want) < 100
+    for x in out:
+        got = sum(y.taken for y in out if y.row.source == x.row.source)
+        assert abs(got - x.target) < 100
+        break
+    with pytest.raises(ValueError):
+        mixing.SWEEPS, before = 5, mixing.SWEEPS
+        try:
+            mixing.mixed(spark, df, others={"lang": (F.col("lang"), spark.createDataFrame([("x", 1.0)], "value string, target double"))}).collect()
+        finally:
+            mixing.SWEEPS = before
+
+
+CLASHING = ["base", "before", "extra", "tie", "salt", "r", "row", "size", "target", "rate", "copies", "taken", "posterior", "score", "keep", "spans", "kept", "n_bytes", "marks", "rk", "loose", "again", "gone", "text_key", "component", "left", "id", "p", "y", "tilt"]
+
+
+def test_stages_keep_columns_that_clash(spark):
+    """Columns named like anything inside or like a result go through; so do repeated ids with other texts and null ids."""
+    rows = [x for x in corpus(n=20)]
+    d = spark.createDataFrame(rows, DOCS).select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    for stage in (stages.quality, stages.near_duplicates, stages.repeated_passages, stages.mixture):
+        out = stage(spark, d, "")
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(x[c] == (None if x.doc_id is None else f"{c}{x.doc_id}") for x in got for c in CLASHING)
 
 
 # 10
