@@ -19,7 +19,39 @@ from pyspark.sql.window import Window
 LINE_GAP, LINE_BACK, SEGMENT_GAPS, ZONE_GAP, PARAGRAPH_GAP = 2.5, 8, (35, 15, 7), 32, 18
 HEADER, FOOTER, GUTTER_SHARE = 0.065, 0.925, 0.04
 REGIONS = "paper_id string, page long, region_id string, region_kind string, lane long, reading_order long, x0 double, top double, x1 double, bottom double, text string, word_indexes array<long>"
-CAPTION = re.compile(r"^Table\s+(\d+)\b[.:]?\s*(.*)$", re.I)
+CAPTION = re.compile(r"Table\s*\d+[A-Za-z]?\b", re.I)
+# Words after "Table 1" that show prose about a table.
+PROSE_LEADS = frozenset((
+    "also",
+    "and",
+    "are",
+    "can",
+    "compare",
+    "compares",
+    "contain",
+    "contains",
+    "could",
+    "describe",
+    "describes",
+    "give",
+    "gives",
+    "illustrate",
+    "illustrates",
+    "is",
+    "list",
+    "lists",
+    "may",
+    "present",
+    "presents",
+    "provide",
+    "provides",
+    "report",
+    "reports",
+    "show",
+    "shows",
+    "summarize",
+    "summarizes",
+))
 
 
 def lines(words: list[dict]) -> list[list[dict]]:
@@ -67,12 +99,12 @@ def merge_rules(rules: list[tuple[float, float, float]]) -> list[tuple[float, fl
 
 
 def is_caption(text: str) -> bool:
-    """A table caption rather than prose that mentions a table."""
-    m = CAPTION.match(text.strip())
-    if not m or len(re.findall(r"\bTable\s+\d+", text, re.I)) > 1:
+    """A table caption rather than prose that mentions a table: one mention, no sentence end, no telling verb after it."""
+    m = CAPTION.match(text)
+    if not m or text.rstrip().endswith((".", ";")) or len(re.findall(rf"\b{CAPTION.pattern}", text, re.I)) > 1:
         return False
-    rest = m.group(2).strip()
-    return not rest.startswith((")", "]")) and not rest.endswith(";") and not re.match(r"(?:shows?|lists?|gives?|presents?|summari[sz]es?|reports?|is|are|and|in|of|for|we)\b", rest, re.I)
+    rest = text[m.end() :].split()
+    return not rest or rest[0][0] not in ")]" and rest[0].casefold().strip(":,-") not in PROSE_LEADS
 
 
 def table_zone(page_lines: list[list[dict]], start: int) -> list[int]:

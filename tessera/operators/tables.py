@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"

@@ -30,12 +30,13 @@ def cadence(df: DataFrame, key: str, ts: str) -> DataFrame:
     best = counted.groupBy(key).agg(F.sum("n").alias("gaps"), F.max("n").alias("top"), F.min_by("delta", F.struct(-F.col("n"), F.col("first"))).alias("dominant"))
     span = df.groupBy(key).agg(F.count("*").alias("points"), F.floor((_us(F.max(ts)) - _us(F.min(ts))) / 1_000_000).cast("long").alias("span"))
     out = span.join(best, key, "left")
-    share = F.round(F.col("top") / F.col("gaps"), 4)
+    share = F.col("top") / F.col("gaps")
     names = F.create_map(*[F.lit(x) for kv in STEPS.items() for x in kv])
-    frequency = F.when(F.col("gaps").isNull(), "unknown").when(share < 0.75, "mixed").otherwise(F.coalesce(F.try_element_at(names, F.col("dominant").cast("int")), F.concat(F.col("dominant").cast("string"), F.lit(" seconds"))))
-    regular = F.when(F.col("gaps").isNull() | (F.col("dominant") == 0), "unknown").when(share >= 0.95, "regular").when(share >= 0.75, "mostly_regular").otherwise("irregular")
+    # a dominant step of 0 has no cadence: several observations at one time and no key that tells them apart
+    frequency = F.when(F.col("gaps").isNull(), "unknown").when(share < 0.75, "mixed").when(F.col("dominant") == 0, "unknown").otherwise(F.coalesce(F.try_element_at(names, F.col("dominant").cast("int")), F.concat(F.col("dominant").cast("string"), F.lit(" seconds"))))
+    regular = F.when(F.col("gaps").isNull(), "unknown").when(share < 0.75, "irregular").when(F.col("dominant") == 0, "unknown").when(share >= 0.95, "regular").otherwise("mostly_regular")
     missing = F.when((share >= 0.75) & (F.col("dominant") > 0), F.greatest(F.floor(F.col("span") / F.col("dominant")) + 1 - F.col("points"), F.lit(0)).cast("long"))
-    return out.select(key, "points", F.col("dominant").alias("dominant_delta"), share.alias("share"), frequency.alias("frequency"), regular.alias("regularity"), missing.alias("missing_intervals"))
+    return out.select(key, "points", F.col("dominant").alias("dominant_delta"), F.round(share, 4).alias("share"), frequency.alias("frequency"), regular.alias("regularity"), missing.alias("missing_intervals"))
 
 
 def timezone_claim(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,6 +82,13 @@ def cf_time(value: Column, units: Column) -> Column:
 
 
 def assembled(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
-    """Timestamp of its parts; null where they name no time."""
+    """Timestamp of its parts; null where they name no time. A series with a bad row is none: see assembled_series."""
     zero = F.lit(0)
     return F.try_make_timestamp(year, month, day, hour if hour is not None else zero, minute if minute is not None else zero, second if second is not None else zero)
+
+
+def assembled_series(df: DataFrame, key: str, time: Column) -> DataFrame:
+    """Times of df as `time`, all rows of a key or none: one row whose parts name no time ends its whole series."""
+    x = df.withColumn("time", time)
+    bad = x.groupBy(key).agg(F.bool_or(F.col("time").isNull()).alias("bad")).filter("bad").select(key)
+    return x.join(bad, x[key].eqNullSafe(bad[key]), "left_anti")

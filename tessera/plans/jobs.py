@@ -16,7 +16,8 @@ MERGE = 16
 
 
 def job_id(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    """Digest of the parts as a JSON array, so that a null is not the same as no part and no separator clashes."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
 def factorial(*dims: DataFrame) -> DataFrame:
@@ -100,6 +101,13 @@ def audited_split(members: DataFrame, root: str, seed: str, share: float) -> Dat
     return members.join(c.select(root, F.when(F.col("rank") <= take, "audit").otherwise("open").alias("split")), root)
 
 
+def first_jobs(jobs: DataFrame, by: str) -> DataFrame:
+    """Of jobs(by, job, model, ready_at, wait_s) those that can be first for a worker: the longest ready of every
+    model, aged or not, in each part."""
+    aged = F.col("wait_s") >= 1800
+    return jobs.groupBy(by, "model", aged.alias("aged")).agg(F.min(F.struct("ready_at", "job", "wait_s")).alias("x")).select(by, "model", "x.*")
+
+
 def dispatch_v1(ready: DataFrame) -> DataFrame:
     """Job of each worker: aged ones first, then of the worker's model, then the longest ready.
 

@@ -73,13 +73,14 @@ def token_budget(spark, sf_dir):
 
 
 def packet_diff(spark, sf_dir):
-    p = read(spark, sf_dir, "part").filter("p_partkey <= 100").select(F.col("p_partkey").cast("string").alias("path"), F.md5("p_name").alias("sha256"))
-    a = read(spark, sf_dir, "part").filter("p_partkey between 11 and 110").select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 20 == 0, "changed").otherwise(F.md5("p_name")).alias("sha256"))
-    return validate.packet_errors(p, a)
+    """All parts as a planned packet, against one in which some members are renamed and some are changed."""
+    x = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("path"), F.md5("p_name").alias("sha256"))
+    a = x.select(F.when(F.col("k") % 10 == 1, F.concat(F.lit("x"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("k") % 20 == 5, "changed").otherwise(F.col("sha256")).alias("sha256"))
+    return validate.packet_errors(x.select("path", "sha256"), a)
 
 
 def qualification_report(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").filter("l_orderkey <= 400")
+    l = read(spark, sf_dir, "lineitem")
     e = l.select(F.col("l_returnflag").alias("run"), F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]).alias("request"), "l_linenumber", "l_orderkey")
     r = e.filter("not (run = 'A' and l_orderkey % 50 = 0)").select("run", "request", (~((F.col("run") == "N") & (F.col("l_linenumber") == 7))).alias("parity"))
     return validate.qualification(e.select("run", "request"), r)
@@ -120,9 +121,10 @@ ORACLES = {
         v AS (SELECT 'invalid_state' AS code FROM a WHERE toxic = 0 AND quality = 0 UNION ALL SELECT 'unknown_quote' FROM a WHERE toxic = 1 AND quality = 0 UNION ALL SELECT 'unit_not_covered' FROM labels WHERE doc_id % 9 = 0)
         SELECT code, count(*) AS n FROM v GROUP BY code""",
     "token_budget": "SELECT CASE WHEN doc_id % 13 = 0 THEN 'blocked_unknown_count' WHEN n_chars + 512 > 4096 THEN 'blocked_over_context' ELSE 'admitted' END AS state, count(*) AS n FROM documents GROUP BY 1",
-    "packet_diff": """SELECT CAST(p_partkey AS VARCHAR) AS subject, CASE WHEN p_partkey <= 10 THEN 'missing_member' WHEN p_partkey > 100 THEN 'unexpected_member' ELSE 'changed_member' END AS code FROM part WHERE p_partkey <= 10 OR p_partkey BETWEEN 101 AND 110 OR (p_partkey BETWEEN 11 AND 100 AND p_partkey % 20 = 0)""",
+    "packet_diff": """SELECT CAST(p_partkey AS VARCHAR) AS subject, CASE WHEN p_partkey % 10 = 1 THEN 'missing_member' ELSE 'changed_member' END AS code FROM part WHERE p_partkey % 10 = 1 OR p_partkey % 20 = 5
+        UNION ALL SELECT 'x' || p_partkey, 'unexpected_member' FROM part WHERE p_partkey % 10 = 1""",
     "qualification_report": """
-        WITH l AS (SELECT l_returnflag AS run, l_returnflag = 'A' AND l_orderkey % 50 = 0 AS gone, l_returnflag = 'N' AND l_linenumber = 7 AS odd FROM lineitem WHERE l_orderkey <= 400)
+        WITH l AS (SELECT l_returnflag AS run, l_returnflag = 'A' AND l_orderkey % 50 = 0 AS gone, l_returnflag = 'N' AND l_linenumber = 7 AS odd FROM lineitem)
         SELECT run, count(*) FILTER (WHERE gone) AS missing, 0::BIGINT AS extra, count(*) FILTER (WHERE gone OR odd) AS without_parity, CASE WHEN count(*) FILTER (WHERE gone OR odd) = 0 THEN 'qualified' ELSE 'unqualified' END AS status FROM l GROUP BY run""",
     "unified_envelope": profiles._SEMANTIC_SQL + " SELECT table_name, column_name, CASE WHEN semantic = 'unknown' THEN 'unknown' ELSE 'derived' END AS semantic_state, unit, CASE WHEN unit IS NULL THEN 'unknown' ELSE 'derived' END AS unit_state FROM l",
     "navigation_index": """SELECT d.doc_id AS unit_id, CASE WHEN l.doc_id IS NULL THEN 'unavailable' ELSE 'available' END AS availability, CASE WHEN l.doc_id IS NULL THEN '' WHEN toxic = 1 THEN 'toxic|labelled' ELSE 'labelled' END AS categories,

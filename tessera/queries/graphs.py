@@ -42,7 +42,7 @@ def support_rollup(spark, sf_dir):
 
 
 def decision_dedup(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey <= 400")
+    o = read(spark, sf_dir, "orders")
     d = matching.dedup_decisions(o.withColumn("ev", F.col("o_custkey") % 5), ["o_orderstatus", "o_orderpriority"], "o_orderkey", "o_orderkey", "ev")
     return d.select("o_orderstatus", "o_orderpriority", F.array_join(F.transform("mentions", lambda x: x.cast("string")), ",").alias("mentions"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
@@ -128,7 +128,7 @@ def leakage_split(spark, sf_dir):
 
 
 def round_robin_turns(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey <= 1000").select("o_orderkey", "o_orderpriority")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return jobs.round_robin(o, "o_orderpriority", F.lit("3-MEDIUM"), "o_orderkey").select("o_orderkey", F.col("turn").cast("long").alias("turn"))
 
 
@@ -141,9 +141,9 @@ def admission_window(spark, sf_dir):
 
 def dispatch_choice(spark, sf_dir):
     """Supplier (worker) takes the order (job) that aged, else of its nation, else the longest ready."""
-    s = read(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_nationkey") % 5).alias("worker_model"), (F.col("s_suppkey") % 8).alias("queue"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("worker_id"), (F.col("s_nationkey") % 5).alias("worker_model"), (F.col("s_suppkey") % 8).alias("queue"))
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), (F.col("o_custkey") % 5).alias("model"), F.col("o_orderkey").alias("ready_at"), (F.col("o_totalprice") / 100).alias("wait_s"), (F.col("o_orderkey") % 8).alias("queue"))
-    return jobs.dispatch_v1(s.join(o, "queue")).select("worker_id", "job")
+    return jobs.dispatch_v1(s.join(jobs.first_jobs(o, "queue"), "queue")).select("worker_id", "job")
 
 
 def qualification_matrix(spark, sf_dir):
@@ -157,12 +157,12 @@ def qualification_matrix(spark, sf_dir):
 
 
 def oversubscription(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").filter("l_orderkey <= 200").select(F.col("l_suppkey").alias("resource"), F.col("l_orderkey").alias("holder"))
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("resource"), F.col("l_orderkey").alias("holder"))
     return jobs.oversubscribed(l)
 
 
 def claim_parents(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_id < 200").select(F.col("event_id").alias("claim"), F.when(F.col("event_id") % 50 == 0, F.lit(None)).when(F.col("event_id") % 60 == 7, F.col("event_id") + 1).when(F.col("event_id") % 60 == 8, F.col("event_id") - 1).when(F.col("event_id") == 33, F.lit(99999)).otherwise(F.col("event_id") - F.col("event_id") % 50).alias("parent"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("claim"), F.when(F.col("event_id") % 50 == 0, F.lit(None)).when(F.col("event_id") % 60 == 7, F.col("event_id") + 1).when(F.col("event_id") % 60 == 8, F.col("event_id") - 1).when(F.col("event_id") == 33, F.lit(-33)).otherwise(F.col("event_id") - F.col("event_id") % 50).alias("parent"))
     return jobs.parent_errors(e).select("claim", "code")
 
 
@@ -191,8 +191,8 @@ def page_context(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (tiered_match, uncovered_docs, support_rollup, decision_dedup, evidence_ids, grouped_availability, stage_status_pivot, job_plan, job_readiness, dag_waves, blocked_closure, leakage_components, leakage_split, round_robin_turns, admission_window, dispatch_choice, qualification_matrix, oversubscription, claim_parents, hash_shuffle, performance_report, page_context)}
 
 _PLAN = """
-    p AS (SELECT n_nationkey, 'classification' AS kind, NULL::VARCHAR AS segment, 0::BIGINT AS replicate, sha256('c|' || n_nationkey) AS job, NULL::VARCHAR AS needs FROM nation
-        UNION ALL SELECT n_nationkey, 'extraction', s, r, sha256('e|' || n_nationkey || '|' || s || '|' || r), sha256('c|' || n_nationkey) FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer), (VALUES (1::BIGINT), (2::BIGINT)) AS v(r))"""
+    p AS (SELECT n_nationkey, 'classification' AS kind, NULL::VARCHAR AS segment, 0::BIGINT AS replicate, sha256('["c","' || n_nationkey || '"]') AS job, NULL::VARCHAR AS needs FROM nation
+        UNION ALL SELECT n_nationkey, 'extraction', s, r, sha256('["e","' || n_nationkey || '","' || s || '","' || r || '"]'), sha256('["c","' || n_nationkey || '"]') FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer), (VALUES (1::BIGINT), (2::BIGINT)) AS v(r))"""
 
 ORACLES = {
     "tiered_match": _MATCH,
@@ -201,7 +201,7 @@ ORACLES = {
         WITH u AS (SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS h FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
         SELECT lang, CAST(sum(n) AS BIGINT) AS decisions, CAST(sum(h) AS BIGINT) AS hits, round(sum(h) / sum(n), 6) AS pooled_rate, round(avg(h / n), 6) AS macro_rate FROM u GROUP BY lang""",
     "decision_dedup": """
-        WITH o AS (SELECT *, o_custkey % 5 AS ev FROM orders WHERE o_orderkey <= 400),
+        WITH o AS (SELECT *, o_custkey % 5 AS ev FROM orders),
         e AS (SELECT o_orderstatus, o_orderpriority, ev, min(o_orderkey) AS s FROM o GROUP BY ALL)
         SELECT m.o_orderstatus, m.o_orderpriority, m.mentions, x.evidence FROM (SELECT o_orderstatus, o_orderpriority, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS mentions FROM o GROUP BY ALL) m
         JOIN (SELECT o_orderstatus, o_orderpriority, string_agg(ev, ',' ORDER BY s) AS evidence FROM e GROUP BY ALL) x USING (o_orderstatus, o_orderpriority)""",
@@ -219,19 +219,19 @@ ORACLES = {
     "leakage_split": f"""WITH m AS ({_COMPONENTS}), c AS (SELECT component, row_number() OVER (ORDER BY sha256('seed7|' || component)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM m))
         SELECT doc_id, component, CASE WHEN n > 1 AND r <= greatest(1, round(n * 0.2)) THEN 'audit' ELSE 'open' END AS split FROM m JOIN c USING (component)""",
     "round_robin_turns": """
-        WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey <= 1000), p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderpriority FROM o)),
+        WITH o AS (SELECT o_orderkey, o_orderpriority FROM orders), p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderpriority FROM o)),
         s AS (SELECT coalesce(max(r) + 1, 0) AS s FROM p WHERE o_orderpriority = '3-MEDIUM')
         SELECT o_orderkey, CAST((r - s + n) % n AS BIGINT) AS turn FROM o JOIN p USING (o_orderpriority), s""",
     "admission_window": "WITH f AS (SELECT o_custkey, min(o_orderkey) AS f FROM orders GROUP BY 1 ORDER BY f LIMIT 8) SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM f)",
     "dispatch_choice": """
-        SELECT s_suppkey AS worker_id, o_orderkey AS job FROM supplier JOIN orders ON s_suppkey % 8 = o_orderkey % 8 WHERE s_suppkey <= 40
+        SELECT s_suppkey AS worker_id, o_orderkey AS job FROM supplier JOIN orders ON s_suppkey % 8 = o_orderkey % 8
         QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY o_totalprice / 100 < 1800, o_custkey % 5 <> s_nationkey % 5, o_orderkey) = 1""",
     "qualification_matrix": """
         WITH x AS (SELECT model, concurrency, prefix_cache, devices, CASE WHEN devices < least THEN 'too_few_devices' WHEN prefix_cache AND concurrency = 1 THEN 'cache_needs_concurrency' END AS reason
             FROM (VALUES ('small', 1), ('large', 4)) AS m(model, least), (VALUES (1), (4)) AS c(concurrency), (VALUES (true), (false)) AS p(prefix_cache), (VALUES (1), (2), (4)) AS g(devices))
         SELECT model, concurrency, prefix_cache, devices, CASE WHEN reason IS NULL THEN 'planned' ELSE 'blocked' END AS status, reason FROM x""",
-    "oversubscription": "SELECT l_suppkey AS resource, count(DISTINCT l_orderkey) AS holders FROM lineitem WHERE l_orderkey <= 200 GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1",
-    "claim_parents": "SELECT event_id AS claim, 'cycle' AS code FROM events WHERE event_id < 200 AND event_id % 60 IN (7, 8) AND event_id % 50 <> 0 UNION ALL SELECT event_id, 'missing_parent' FROM events WHERE event_id = 33",
+    "oversubscription": "SELECT l_suppkey AS resource, count(DISTINCT l_orderkey) AS holders FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1",
+    "claim_parents": "SELECT event_id AS claim, 'cycle' AS code FROM events WHERE event_id % 60 IN (7, 8) AND event_id % 50 <> 0 UNION ALL SELECT event_id, 'missing_parent' FROM events WHERE event_id = 33",
     "hash_shuffle": "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY sha256(n_name)) AS INTEGER) AS place FROM nation",
     "performance_report": """
         WITH r AS (SELECT count(*) FILTER (WHERE event_type = 'view') AS dispatched, count(*) FILTER (WHERE event_type = 'click') AS returned, count(*) FILTER (WHERE event_type = 'purchase') AS admitted, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000 AS h FROM events WHERE ts >= TIMESTAMP '2024-01-10')

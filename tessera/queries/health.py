@@ -41,7 +41,7 @@ def heartbeat_merge(spark, sf_dir):
 
 def _snapshots(spark, sf_dir):
     """Each event as a snapshot of its user's worker: progress is the event before, a third wait for others."""
-    e = read(spark, sf_dir, "events").filter("user_id <= 40")
+    e = read(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = _sec("ts")
     return e.select(t.alias("at"), F.col("user_id").alias("worker_id"), F.when(F.col("event_type") == "view", "decode").when(F.col("event_type") == "click", "load").otherwise("idle").alias("phase"), F.lag(t).over(w).alias("heartbeat_at"), F.lag(t).over(w).alias("progress_at"), (F.col("event_id") % 3).alias("dependency_wait_jobs"), F.lag(t, 2).over(w).alias("dependency_idle_since"), F.when(F.col("event_id") % 7 == 0, t + 60).when(F.col("event_id") % 7 == 1, t - 60).alias("maintenance_until"))
@@ -54,7 +54,7 @@ def issue_rows(spark, sf_dir):
 
 def _observations(spark, sf_dir):
     """Daily ticks of users: an error makes a warning, several on a day a critical issue."""
-    e = read(spark, sf_dir, "events").filter("user_id <= 60")
+    e = read(spark, sf_dir, "events")
     day = (F.floor(_sec("ts") / 86400) * 86400).cast("long")
     found = e.filter("event_type = 'error'").groupBy(F.lit("errors").alias("kind"), F.col("user_id").cast("string").alias("scope"), day.alias("at")).agg(F.when(F.count("*") > 1, "critical").otherwise("warning").alias("severity"))
     return incidents.observations(e.select(day.alias("at")), found)
@@ -75,7 +75,7 @@ def outbox_backoff(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (event_fold, chain_audit, fenced_messages, heartbeat_merge, issue_rows, incident_transitions, active_episodes, outbox_backoff)}
 
 _OBS = """
-    d AS (SELECT CAST(user_id AS VARCHAR) AS scope, CAST(floor(epoch_us(ts) / 1000000 / 86400) * 86400 AS BIGINT) AS "at", event_type FROM events WHERE user_id <= 60),
+    d AS (SELECT CAST(user_id AS VARCHAR) AS scope, CAST(floor(epoch_us(ts) / 1000000 / 86400) * 86400 AS BIGINT) AS "at", event_type FROM events),
     f AS (SELECT scope, "at", CASE WHEN count(*) > 1 THEN 2 ELSE 1 END AS s FROM d WHERE event_type = 'error' GROUP BY ALL),
     k AS (SELECT scope, min("at") AS since FROM f GROUP BY scope),
     o AS (SELECT k.scope, t."at", f.s FROM k JOIN (SELECT DISTINCT "at" FROM d) t ON t."at" >= k.since LEFT JOIN f ON f.scope = k.scope AND f."at" = t."at"),
@@ -99,7 +99,7 @@ ORACLES = {
         WITH b AS (SELECT user_id, arg_max(event_type, event_id) AS phase FROM events GROUP BY 1)
         SELECT c_custkey AS user_id, coalesce(phase, 'idle') AS phase, CAST(c_nationkey AS BIGINT) AS place FROM customer LEFT JOIN b ON user_id = c_custkey""",
     "issue_rows": """
-        WITH t AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at" FROM events WHERE user_id <= 40),
+        WITH t AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at" FROM events),
         s AS (SELECT "at", event_id, CASE event_type WHEN 'view' THEN 300 WHEN 'click' THEN 1800 END AS lim, "at" - lag("at") OVER w AS beat, "at" - lag("at", 2) OVER w AS idle, event_id % 7 AS m FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT 'reservation_expired' AS kind, 'critical' AS severity, 60 AS age FROM s WHERE m = 1
             UNION ALL SELECT 'worker_heartbeat_lost', 'critical', beat FROM s WHERE m <> 0 AND beat > 90

@@ -131,6 +131,11 @@ def cadence_events(spark, sf_dir):
     return temporal.cadence(read(spark, sf_dir, "events").select("event_type", "ts"), "event_type", "ts")
 
 
+def cadence_lines(spark, sf_dir):
+    """Ship dates of each order's lines, repeated ones included: steps of 0 among them."""
+    return temporal.cadence(read(spark, sf_dir, "lineitem").select("l_orderkey", F.date_trunc("month", "l_shipdate").alias("month")), "l_orderkey", "month")
+
+
 def _cadence_sql(key, ts, table):
     return f"""
     WITH p AS ({table}),
@@ -139,9 +144,9 @@ def _cadence_sql(key, ts, table):
     b AS (SELECT k, sum(n) AS gaps, max(n) AS top, first(delta ORDER BY n DESC, f) AS dominant FROM c GROUP BY k),
     s AS (SELECT {key} AS k, count(*) AS points, CAST(floor((epoch_us(max({ts})) - epoch_us(min({ts}))) / 1000000) AS BIGINT) AS span FROM p GROUP BY {key})
     SELECT s.k AS {key}, points, dominant AS dominant_delta, round(top / gaps, 4) AS share,
-        CASE WHEN gaps IS NULL THEN 'unknown' WHEN round(top / gaps, 4) < 0.75 THEN 'mixed' WHEN dominant = 86400 THEN '1 day' WHEN dominant = 3600 THEN '1 hour' ELSE dominant || ' seconds' END AS frequency,
-        CASE WHEN gaps IS NULL OR dominant = 0 THEN 'unknown' WHEN round(top / gaps, 4) >= 0.95 THEN 'regular' WHEN round(top / gaps, 4) >= 0.75 THEN 'mostly_regular' ELSE 'irregular' END AS regularity,
-        CASE WHEN round(top / gaps, 4) >= 0.75 AND dominant > 0 THEN CAST(greatest(floor(span / dominant) + 1 - points, 0) AS BIGINT) END AS missing_intervals
+        CASE WHEN gaps IS NULL THEN 'unknown' WHEN top / gaps < 0.75 THEN 'mixed' WHEN dominant = 0 THEN 'unknown' WHEN dominant = 86400 THEN '1 day' WHEN dominant = 3600 THEN '1 hour' ELSE dominant || ' seconds' END AS frequency,
+        CASE WHEN gaps IS NULL THEN 'unknown' WHEN top / gaps < 0.75 THEN 'irregular' WHEN dominant = 0 THEN 'unknown' WHEN top / gaps >= 0.95 THEN 'regular' ELSE 'mostly_regular' END AS regularity,
+        CASE WHEN top / gaps >= 0.75 AND dominant > 0 THEN CAST(greatest(floor(span / dominant) + 1 - points, 0) AS BIGINT) END AS missing_intervals
     FROM s LEFT JOIN b USING (k)"""
 
 
@@ -187,7 +192,7 @@ def assembled_dates(spark, sf_dir):
     return e.select("event_id", t.cast("timestamp_ntz").alias("made"))
 
 
-QUERIES = {f.__name__: f for f in (column_profile, missingness_profile, identifier_quality, semantic_columns, shared_semantics, unit_normalization, json_path_profile, cadence_orders, cadence_events, temporal_candidates, timezone_claims, cf_time_decode, assembled_dates)}
+QUERIES = {f.__name__: f for f in (column_profile, missingness_profile, identifier_quality, semantic_columns, shared_semantics, unit_normalization, json_path_profile, cadence_orders, cadence_events, cadence_lines, temporal_candidates, timezone_claims, cf_time_decode, assembled_dates)}
 
 ORACLES = {
     "column_profile": "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{k}' AS column_name, CAST({v} AS VARCHAR) AS value FROM orders" for k, v in _ORDERS.items()) + ")" + _PROFILE_SQL,
@@ -212,6 +217,7 @@ ORACLES = {
             UNION ALL SELECT '$.t', 'array', n, 0, 0 FROM n
             UNION ALL SELECT '$.t[]', CASE WHEN z > 0 THEN 'null | string' ELSE 'string' END, n, z, 0 FROM n)""",
     "cadence_orders": _cadence_sql("series", "o_orderdate", "SELECT DISTINCT 'orders' AS series, o_orderdate FROM orders"),
+    "cadence_lines": _cadence_sql("l_orderkey", "month", "SELECT l_orderkey, date_trunc('month', l_shipdate) AS month FROM lineitem"),
     "cadence_events": _cadence_sql("event_type", "ts", "SELECT event_type, ts FROM events"),
     "temporal_candidates": _CANDIDATES_SQL,
     "timezone_claims": _ZONES_SQL,

@@ -127,17 +127,18 @@ def lexical_names(spark, sf_dir):
 
 
 def greedy_groups(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.least(F.col("n_chars"), F.lit(5000)).alias("chars"))
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").alias("chars"))
     g = ordered.greedy_groups(d, "source", "doc_id", "chars", 8, 12000)
     return g.groupBy("source", "group").agg(F.count("*").alias("members"), F.sum("chars").alias("chars"), F.min("doc_id").alias("first_doc"))
 
 
 _GREEDY = """
-    WITH RECURSIVE d AS (SELECT source, doc_id, least(n_chars, 5000) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+    WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE n_chars <= 12000),
     f AS (SELECT source, doc_id, c, r, 0::BIGINT AS g, 1 AS n, c AS t FROM d WHERE r = 1
         UNION ALL SELECT d.source, d.doc_id, d.c, d.r, CASE WHEN n >= 8 OR t + d.c > 12000 THEN g + 1 ELSE g END, CASE WHEN n >= 8 OR t + d.c > 12000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 8 OR t + d.c > 12000 THEN d.c ELSE t + d.c END
         FROM f JOIN d ON d.source = f.source AND d.r = f.r + 1)
-    SELECT source, g AS "group", count(*) AS members, CAST(sum(c) AS BIGINT) AS chars, min(doc_id) AS first_doc FROM f GROUP BY source, g"""
+    SELECT source, g AS "group", count(*) AS members, CAST(sum(c) AS BIGINT) AS chars, min(doc_id) AS first_doc FROM f GROUP BY source, g
+    UNION ALL SELECT source, -1, count(*), CAST(sum(n_chars) AS BIGINT), min(doc_id) FROM documents WHERE n_chars > 12000 GROUP BY source"""
 
 
 def asof_events(spark, sf_dir):
@@ -149,14 +150,14 @@ def asof_events(spark, sf_dir):
 
 def interval_overlap(spark, sf_dir):
     """Spans of orders' lines by ship week against spans by quantity, of one supplier: overlapping pairs."""
-    l = read(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0")
+    l = read(spark, sf_dir, "lineitem")
     a = l.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("a_id"), (F.col("l_orderkey") % 1000).alias("start"), (F.col("l_orderkey") % 1000 + F.col("l_quantity").cast("long")).alias("end"))
     b = l.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("b_id"), (F.col("l_orderkey") % 900).alias("start"), (F.col("l_orderkey") % 900 + F.col("l_quantity").cast("long")).alias("end"))
     return ordered.overlaps(a, b, "key", 64).select(F.col("l.key").alias("key"), "a_id", "b_id")
 
 
 _OVERLAP = """
-    WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 5 = 0),
+    WITH l AS (SELECT * FROM lineitem),
     a AS (SELECT l_suppkey AS key, l_orderkey AS a_id, l_orderkey % 1000 AS s, l_orderkey % 1000 + CAST(l_quantity AS BIGINT) AS e FROM l WHERE l_linenumber = 1),
     b AS (SELECT l_suppkey AS key, l_orderkey AS b_id, l_orderkey % 900 AS s, l_orderkey % 900 + CAST(l_quantity AS BIGINT) AS e FROM l WHERE l_linenumber = 2)
     SELECT a.key, a_id, b_id FROM a JOIN b ON a.key = b.key AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import documents, graphs, health, profiles, texts
+from .queries import contracts, documents, graphs, health, profiles, texts
 
-MODULES = (profiles, texts, graphs, health, documents)
+MODULES = (profiles, texts, graphs, health, documents, contracts)
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -10,7 +10,7 @@ MAGIC = ((b"\x89HDF\r\n\x1a\n", "hdf5"), (b"PAR1", "parquet"), (b"CDF\x01", "net
 SUFFIXES = {".csv": "csv", ".tsv": "csv", ".h5": "hdf5", ".hdf5": "hdf5", ".hdf": "hdf5", ".he5": "hdf5", ".nc": "netcdf", ".cdf": "netcdf", ".parquet": "parquet", ".zarr": "zarr", ".fits": "fits", ".fit": "fits", ".grib": "grib", ".grb": "grib", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".xml": "xml", ".xsd": "xml", ".avro": "avro", ".arff": "arff", ".xlsx": "xlsx"}
 ALIASES = {"auto": None, "binary": "raw_binary", "raw": "raw_binary", "raw_binary": "raw_binary", "timeseries": "csv", "time_series": "csv", "h5": "hdf5"}
 SUPPORT = {"magic": 1.0, "zip": 0.98, "hint": 0.99, "json_probe": 0.9, "delimited_probe": 0.8, "suffix": 0.72}
-PARSED = ("csv", "json", "xml", "parquet", "netcdf", "zarr", "arff", "xlsx")
+PARSED = ("csv", "json", "xml", "parquet", "netcdf", "arff", "xlsx")
 SNIFF = 8192
 PROBE = 1 << 20
 
@@ -36,10 +36,11 @@ def delimited_dialect(data: bytes) -> str | None:
 
 
 def is_json(data: bytes) -> bool:
-    if len(data) > PROBE or data.lstrip()[:1] not in (b"{", b"["):
+    body = data.removeprefix(b"\xef\xbb\xbf")
+    if len(data) > PROBE or body.lstrip()[:1] not in (b"{", b"["):
         return False
     try:
-        json.loads(data.decode("utf-8"))
+        json.loads(body.decode("utf-8"))
     except ValueError:
         return False
     return True
@@ -51,7 +52,8 @@ def signals(path: str, data: bytes, hint: str | None = None) -> list[tuple[str,
     for lead, name in MAGIC:
         if data.startswith(lead):
             out.append((name, "magic", SUPPORT["zip"] if name == "zip" else SUPPORT["magic"]))
-    given = ALIASES.get(hint.lower(), hint.lower()) if hint else None
+    hint = hint.strip().lower() if hint else None
+    given = ALIASES.get(hint, hint) if hint else None
     if given:
         out.append((given, "hint", SUPPORT["hint"]))
     if (s := SUFFIXES.get(suffix_of(path))) is not None:

@@ -38,11 +38,11 @@ def dataset_id(path: str, content: bytes) -> str:
 
 
 def canonical_header(names: list[str]) -> list[str]:
-    """Blank names become __unnamed_column_<i>, repeats <name>__duplicate_<n>, and none collides."""
+    """Blank names become __unnamed_column_<i> (from 1), repeats <name>__duplicate_<n>, and none collides; others stay as they are."""
     out: list[str] = []
     seen: dict[str, int] = {}
     for i, raw in enumerate(names):
-        base = raw.strip() or f"__unnamed_column_{i}"
+        base = raw if raw.strip() else f"__unnamed_column_{i + 1}"
         seen[base] = seen.get(base, 0) + 1
         name = base if seen[base] == 1 else f"{base}__duplicate_{seen[base]}"
         while name in out:

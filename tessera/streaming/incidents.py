@@ -74,11 +74,17 @@ OUT = T.StructType().add("kind", "string").add("scope", "string").add("at", "dou
 
 
 def observations(ticks: DataFrame, found: DataFrame) -> DataFrame:
-    """Every (kind, scope) ever seen at every tick from its first sight on, severity null where it is gone."""
-    keys = found.groupBy("kind", "scope").agg(F.min("at").alias("since"))
-    all_ticks = ticks.select("at").distinct()
-    grid = keys.join(all_ticks, F.col("at") >= F.col("since")).select("kind", "scope", "at")
-    return grid.join(found.groupBy("kind", "scope", "at").agg(F.max_by("severity", F.when(F.col("severity") == "critical", 2).otherwise(1)).alias("severity")), ["kind", "scope", "at"], "left")
+    """What was found of each (kind, scope), and a row with a null severity at the tick where it is first gone again.
+
+    Ticks at which a key stays gone change nothing, so they make no rows: at most two rows for each one found. The
+    tick after a tick comes from one row a tick.
+    """
+    all_ticks = ticks.select("at").union(found.select("at")).distinct()
+    after = all_ticks.select("at", F.lead("at").over(Window.orderBy("at")).alias("then"))
+    seen = found.groupBy("kind", "scope", "at").agg(F.max_by("severity", F.when(F.col("severity") == "critical", 2).otherwise(1)).alias("severity"))
+    gone = seen.join(after, "at").filter("then is not null").select("kind", "scope", F.col("then").alias("at"))
+    gone = gone.join(seen.select("kind", "scope", "at"), ["kind", "scope", "at"], "left_anti")
+    return seen.union(gone.select("kind", "scope", "at", F.lit(None).cast("string")))
 
 
 def transitions(obs: DataFrame, reminder_s: float = LIMITS["reminder_s"]) -> DataFrame:
