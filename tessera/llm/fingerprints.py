@@ -76,8 +76,9 @@ def merge_parts(df: DataFrame, key: str, sketch: str = "sketch", k: int = K) ->
     return keys.join(hashed, keys[key].eqNullSafe(hashed[key]), "left").select(keys[key], F.coalesce(hashed[sketch], F.array().cast("array<long>")).alias(sketch))
 
 
-def with_next(spark: SparkSession, rows: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Each row and the `carry` columns of the next row by (key, carry) as next_<column>; the first follows the last.
+def with_next(spark: SparkSession, rows: DataFrame, key: str, carry: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """Each row and the `carry` and `made` columns of the next row by (key, carry) as next_<column>; the first follows
+    the last. `made` columns are computed once a row, where it has been placed, so they don't travel.
 
     Rows are cut into key ranges, each ordered in its own task; the first row of each range also goes to the
     range before it. A range holds at most a splitter's share of the rows, unless one key has more of them.
@@ -108,9 +109,9 @@ def with_next(spark: SparkSession, rows: DataFrame, key: str, carry: list[str])
     ghosts = firsts.withColumn("_to", F.coalesce(before, final)).withColumn("_ghost", F.lit(1))
     rest = [c for c in rows.columns if c not in (key, *carry)]
     ghosts = ghosts.select(*[F.col(f"f.{c}").alias(c) for c in (key, *carry)], *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rest], F.col("_to").alias("_bucket"), "_ghost")
-    both = placed.unionByName(ghosts)
+    both = placed.unionByName(ghosts).repartition(parts, "_bucket").withColumns(made or {})
     w = Window.partitionBy("_bucket").orderBy("_ghost", *own)
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).filter("_ghost = 0").drop("_ghost", "_bucket")
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*carry, *(made or {}))]).filter("_ghost = 0").drop("_ghost", "_bucket")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, k: int = K, width: int = 5) -> DataFrame:
@@ -123,8 +124,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, k: int = K, width: int =
     are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("sketch", shingle_sketch(F.col("text"), k, width))
-    near = with_next(spark, own, "doc_id", ["text", "sketch"])
+    near = with_next(spark, own, "doc_id", ["text"], {"sketch": shingle_sketch(F.col("text"), k, width)})
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     near = near.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut)).alias("edited_text"), "sketch", F.col("next_sketch"))

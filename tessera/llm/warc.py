@@ -24,12 +24,14 @@ from .common import Tables, bound_batches
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
-ARCHIVE = 16 << 20
+ARCHIVE = 4 << 20
+DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, mark: str) -> str:
+    """Id of a page's record, from its page_id and payload digest: a revisit can name the response's."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {mark}')}>"
 
 
 def digest(payload: bytes) -> str:
@@ -37,22 +39,33 @@ def digest(payload: bytes) -> str:
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
-    """One WARC 1.1 record: a response, or a revisit of the page `refers_to` without the payload."""
+    """One WARC 1.1 record: a response (an HTTP message), or a revisit of the page `refers_to` without the payload."""
     kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, url)), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    mark = digest(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    body = http + (payload if refers_to is None else b"")
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, mark)), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    head += [("WARC-Payload-Digest", "sha1:" + digest(payload)), ("X-Payload-Length", str(len(payload)))]
+    head.append(("WARC-Payload-Digest", "sha1:" + mark))
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if refers_to is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(refers_to))]
-    head += [("Content-Type", "text/html"), ("Content-Length", str(len(body)))]
-    lines = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, mark)), ("X-Refers-To-Page", str(refers_to))]
+    return _record([*head, ("Content-Type", "application/http;msgtype=response")], body)
+
+
+def _record(head: list[tuple[str, str]], body: bytes) -> bytes:
+    lines = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in (*head, ("Content-Length", str(len(body))))) + "\r\n"
     return lines.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
+def archive_info() -> bytes:
+    """The warcinfo record that leads an archive."""
+    body = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    return _record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, digest(body))), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], body)
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     at = data.index(b"\r\n\r\n")
     lines = data[:at].decode("utf-8", "surrogatepass").split("\r\n")
@@ -118,7 +131,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, minimum: int = 0, samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(shared.value), write_checksum=True)
-        held, size, first = [start_archive(shared.value)], 0, None
+        lead = [start_archive(shared.value), z.compress(archive_info())]
+        held, size = list(lead), 0
 
         def done() -> pa.RecordBatch:
             data = b"".join(held)
@@ -130,7 +144,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, minimum: int = 0, samp
                 size += len(held[-1])
                 if size >= ARCHIVE:
                     yield done()
-                    held, size = [start_archive(shared.value)], 0
+                    held, size = list(lead), 0
         if size:
             yield done()
 
@@ -143,7 +157,7 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     payload is null for revisits. A record that can't be parsed, or whose stored payload doesn't have its
     digest, fails the read.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    bound_batches(spark)  # by bytes: an archive is about as large as a batch may be
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,11 +166,16 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 size = 0
                 for r in records(data.as_py()):
                     head, body = parse_record(r)
-                    kind, mark = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(body) != mark:
+                    kind = head["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    mark = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    lines, _, body = body.partition(b"\r\n\r\n")
+                    stored = int(lines.rpartition(b"Content-Length: ")[2])
+                    if kind == "response" and (digest(body) != mark or len(body) != stored):
                         raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
                     page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
-                    row = (page and int(page), head.get("WARC-Target-URI"), kind, int(head["X-Payload-Length"]), mark, refers and int(refers), body if kind == "response" else None)
+                    row = (page and int(page), head.get("WARC-Target-URI"), kind, stored, mark, refers and int(refers), body if kind == "response" else None)
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
                     size += len(body)

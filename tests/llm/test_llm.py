@@ -579,6 +579,10 @@ def test_warc_roundtrip(spark):
     key = lambda x: tuple(map(str, x))
     assert sorted(((str(x.page_id), x.record_type, x.payload_bytes, x.payload_digest, str(x.refers_to), None if x.payload is None else bytes(x.payload)) for x in got), key=key) == sorted(want, key=key)
     first = bytes(archives.first().data)
+    heads = [warc.parse_record(x) for x in warc.records(first)]
+    assert heads[0][0]["WARC-Type"] == "warcinfo" and all(h["Content-Type"] == "application/http;msgtype=response" and b.startswith(b"HTTP/1.1 200 OK\r\n") for h, b in heads[1:])
+    ids = {h["WARC-Record-ID"]: h["WARC-Type"] for h, _ in heads}
+    assert all(ids[h["WARC-Refers-To"]] == "response" for h, _ in heads if h["WARC-Type"] == "revisit")
     assert first[:4] == b"\x5d\x2a\x4d\x18" and len(first) < sum(len(x[2] or "") for x in rows)
     with pytest.raises(Exception):
         list(warc.records(b"nothing here"))
