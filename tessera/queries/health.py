@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..streaming import incidents, ledger
+from ..streaming import incidents, ledger, queue_health
 from .base import read
 
 
@@ -68,11 +68,33 @@ def active_episodes(spark, sf_dir):
     return incidents.active_episode(incidents.transitions(_observations(spark, sf_dir), reminder_s=86400), ["kind", "scope"], "at")
 
 
+def _queue(spark, sf_dir):
+    """Each hour of events as a snapshot of a queue: users are workers, their last event of the hour is their state."""
+    e = read(spark, sf_dir, "events")
+    t, k, u = _sec("ts"), F.col("event_id"), F.col("user_id")
+    hour = (F.floor(t / 3600) * 3600 + 3600).cast("long")
+    last = e.groupBy(hour.alias("at"), "user_id").agg(F.max_by(F.struct(t.alias("t"), k.alias("k"), "event_type"), F.struct(t, k)).alias("x")).select("at", "user_id", "x.*")
+    gpu = F.struct((F.col("k") % 100).cast("double").alias("utilization_pct"), F.lit(100).alias("total_bytes"), (F.col("k") % 97).cast("int").alias("used_bytes"))
+    worker = F.struct(u.cast("string").alias("worker_id"), F.when(F.col("k") % 3 > 0, F.col("k")).alias("job_id"), F.when(F.col("event_type") == "view", "decoding").when(F.col("event_type") == "click", "loading").otherwise("other").alias("phase"), (F.col("t") + F.when(F.col("k") % 4 == 0, 0).otherwise(3500)).alias("heartbeat_at"), F.col("t").alias("progress_at"), (F.col("k") % 2).alias("compatible_ready_jobs"), (F.col("k") % 5).alias("dependency_wait_jobs"), F.lit(10).alias("reserve_bytes"), F.array(gpu).alias("gpus"))
+    s = last.groupBy("at").agg(F.max("t").alias("newest"), F.max("k").alias("top"), F.collect_list(worker).alias("workers"), F.collect_list(F.when(F.col("k") % 3 == 0, u.cast("string"))).alias("eligible_idle"))
+    return s.select("at", (F.col("newest") + F.when(F.col("top") % 2 == 0, 3550).otherwise(0)).alias("time"), (F.col("top") % 29 == 0).alias("terminal"), (F.col("top") % 13 == 0).alias("coordinator_failed"), (F.col("top") % 3).alias("ready_jobs"), ((F.col("top") % 40) * 100).alias("oldest_ready_wait_s"), "workers", "eligible_idle")
+
+
+def queue_issues(spark, sf_dir):
+    return queue_health.observations(_queue(spark, sf_dir)).groupBy("kind", "severity", "hold_s").agg(F.count("*").alias("n"), F.count_distinct("scope").alias("scopes"))
+
+
+def queue_incidents(spark, sf_dir):
+    """Incidents of the hourly snapshots: held, told again after a cooldown, over after an hour without."""
+    q = _queue(spark, sf_dir)
+    return queue_health.incidents(q.select("at"), queue_health.observations(q), recovery=3600).select("kind", "scope", F.col("at").cast("long").alias("at"), "transition", "severity", "episode")
+
+
 def outbox_backoff(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", incidents.backoff(F.col("n_nationkey")).alias("wait_s"))
 
 
-QUERIES = {f.__name__: f for f in (event_fold, chain_audit, fenced_messages, heartbeat_merge, issue_rows, incident_transitions, active_episodes, outbox_backoff)}
+QUERIES = {f.__name__: f for f in (event_fold, chain_audit, fenced_messages, heartbeat_merge, issue_rows, incident_transitions, active_episodes, queue_issues, queue_incidents, outbox_backoff)}
 
 _OBS = """
     d AS (SELECT CAST(user_id AS VARCHAR) AS scope, CAST(floor(epoch_us(ts) / 1000000 / 86400) * 86400 AS BIGINT) AS "at", event_type FROM events),
@@ -88,7 +110,38 @@ _OBS = """
         FROM r JOIN n ON n.scope = r.scope AND n.i = r.i + 1),
     v AS (SELECT 'errors' AS kind, scope, "at", tr AS transition, CASE WHEN tr = 'recovered' THEN 'info' WHEN sev = 2 THEN 'critical' ELSE 'warning' END AS severity, episode FROM r WHERE tr IS NOT NULL)"""
 
+_QUEUE = """
+    e AS (SELECT *, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t FROM events),
+    h AS (SELECT CAST(floor(t / 3600) * 3600 + 3600 AS BIGINT) AS tick, user_id AS u, max(struct_pack(t := t, k := event_id, y := event_type)) AS x FROM e GROUP BY 1, 2),
+    w AS (SELECT tick, CAST(u AS VARCHAR) AS id, x.t AS t, x.k AS k, x.y AS y, x.k % 3 > 0 AS job, tick - x.t - CASE WHEN x.k % 4 = 0 THEN 0 ELSE 3500 END AS beat, x.k % 2 = 0 AND x.k % 5 > 0 AS dep FROM h),
+    s AS (SELECT tick, max(k) AS top, tick - max(t) - CASE WHEN max(k) % 2 = 0 THEN 3550 ELSE 0 END AS age FROM w GROUP BY tick),
+    l AS (SELECT w.*, top, age, age <= 90 AS fresh FROM w JOIN s USING (tick) WHERE top % 29 <> 0),
+    q AS (SELECT tick, any_value(top) AS top, any_value(age) AS age, any_value(fresh) AS fresh, bool_or(job) AS busy, count(*) FILTER (WHERE NOT job AND NOT dep) AS idle,
+        count(*) FILTER (WHERE beat <= 90 AND NOT (fresh AND NOT job AND dep)) AS watched, max(k % 100) FILTER (WHERE beat <= 90 AND NOT (fresh AND NOT job AND dep)) - min(k % 100) FILTER (WHERE beat <= 90 AND NOT (fresh AND NOT job AND dep)) AS gap FROM l GROUP BY tick),
+    o AS (SELECT tick, 'coordinator_failed' AS kind, 'scheduler' AS scope, 'critical' AS severity, 0 AS hold FROM q WHERE top % 13 = 0
+        UNION ALL SELECT tick, 'scheduler_heartbeat_lost', 'scheduler', 'critical', 0 FROM q WHERE top % 13 <> 0 AND age > 90
+        UNION ALL SELECT tick, 'sustained_utilization_skew', 'queue', 'warning', 600 FROM q WHERE fresh AND top % 3 > 0 AND watched >= 2 AND gap >= 60
+        UNION ALL SELECT tick, 'allocation_imbalance', 'queue', 'warning', 300 FROM q WHERE fresh AND top % 3 > 0 AND idle > 0 AND busy
+        UNION ALL SELECT tick, 'ready_queue_overdue', 'queue', 'warning', 120 FROM q WHERE fresh AND top % 3 > 0 AND (top % 40) * 100 > 1800
+        UNION ALL SELECT tick, 'gpu_headroom_low', id, 'warning', 60 FROM l WHERE beat <= 90 AND 100 - k % 97 < 10
+        UNION ALL SELECT tick, 'worker_heartbeat_lost', id, 'critical', 0 FROM l WHERE job AND beat > 90
+        UNION ALL SELECT tick, 'worker_no_progress', id, 'critical', 0 FROM l WHERE job AND beat <= 90 AND tick - t > CASE y WHEN 'view' THEN 300 ELSE 1800 END)"""
+
 ORACLES = {
+    "queue_issues": f"WITH {_QUEUE} SELECT kind, severity, hold AS hold_s, count(*) AS n, count(DISTINCT scope) AS scopes FROM o GROUP BY ALL",
+    "queue_incidents": f"""WITH RECURSIVE {_QUEUE}, c AS (SELECT DISTINCT kind, scope FROM o), a AS (SELECT tick, row_number() OVER (ORDER BY tick) AS i FROM s),
+        g AS (SELECT a.tick, a.i, c.kind, c.scope, o.severity, o.hold FROM a CROSS JOIN c LEFT JOIN o ON o.tick = a.tick AND o.kind = c.kind AND o.scope = c.scope),
+        r AS (SELECT kind, scope, 0::BIGINT AS i, NULL::BIGINT AS tick, NULL::BIGINT AS since, false AS active, NULL::BIGINT AS sent, 0::BIGINT AS episode, NULL::BIGINT AS clr, NULL::VARCHAR AS transition, NULL::VARCHAR AS severity FROM c
+            UNION ALL SELECT n.kind, n.scope, n.i, n.tick,
+                CASE WHEN n.severity IS NOT NULL THEN n.since WHEN n.active AND NOT n.over THEN n.since END, CASE WHEN n.severity IS NOT NULL THEN n.active OR n.tells ELSE n.active AND NOT n.over END,
+                CASE WHEN n.severity IS NOT NULL AND n.tells THEN n.tick WHEN n.severity IS NULL AND (NOT n.active OR n.over) THEN NULL ELSE n.sent END,
+                CASE WHEN n.severity IS NOT NULL THEN n.episode + CASE WHEN n.tells AND NOT n.active THEN 1 ELSE 0 END WHEN n.active AND NOT n.over THEN n.episode ELSE 0 END,
+                CASE WHEN n.severity IS NULL AND n.active AND NOT n.over THEN n.clr END,
+                CASE WHEN n.severity IS NOT NULL THEN CASE WHEN n.tells THEN CASE WHEN n.active THEN 'reminder' ELSE 'open' END END WHEN n.active AND n.over THEN 'recovered' END || ':' || CASE WHEN n.severity IS NULL THEN n.episode ELSE n.episode + CASE WHEN n.active THEN 0 ELSE 1 END END,
+                CASE WHEN n.severity IS NULL THEN 'info' ELSE n.severity END
+            FROM (SELECT m.*, m.severity IS NOT NULL AND m.tick - m.since >= m.hold AND (NOT m.active OR m.tick - m.sent >= 1800) AS tells, m.severity IS NULL AND m.active AND m.tick - m.clr >= 3600 AS over
+                FROM (SELECT g.kind, g.scope, g.i, g.tick, g.severity, g.hold, coalesce(r.since, g.tick) AS since, r.active, r.sent, r.episode, coalesce(r.clr, g.tick) AS clr FROM r JOIN g ON g.kind = r.kind AND g.scope = r.scope AND g.i = r.i + 1) m) n)
+        SELECT kind, scope, tick AS "at", split_part(transition, ':', 1) AS transition, severity, CAST(split_part(transition, ':', 2) AS BIGINT) AS episode FROM r WHERE transition IS NOT NULL""",
     "event_fold": """
         SELECT user_id, arg_max(event_type, event_id) AS last_kind, count(*) AS events, count(DISTINCT event_type) AS kinds, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('signup', 'error')) AS control FROM events GROUP BY user_id""",
     "chain_audit": "SELECT user_id, event_id FROM events WHERE event_id % 101 = 0",
