@@ -30,6 +30,8 @@ PIECE = re.compile(f"[{_LATIN}]+|[{_MARKS}]+")
 #: What makes a word one that only the tokenizer cuts: other characters, and marks of special tokens.
 ODD = re.compile(rf"[^{_LATIN}{_MARKS}\x20\x09-\x0D]|<\|")
 KEPT, GROUP = 150_000, 64
+#: A tokenizer whose ids of this text are not those of its pieces gets whole texts.
+PROBE = "Hello, World's (naïve) Straße\n\nx1  Y-z\tÀB don't <|a|> “q” 12,5 end. "
 
 
 def patterns(hist: np.ndarray, slack: int = 0, third: int = 24) -> list[tuple[int, ...]]:
@@ -136,6 +138,20 @@ class _Words:
         self.tok = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        parts = self.pieces(PROBE)
+        self.learn(parts)
+        self.whole = self.ids(parts) != self.encode(PROBE)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        """Token ids of a whole text."""
+        if self.whole:
+            return self.encode(text)
+        parts = self.pieces(text)
+        self.learn(parts)
+        return self.ids(parts)
 
     def pieces(self, text: str) -> list[str]:
         if not ODD.search(text):
@@ -167,7 +183,7 @@ class _Words:
 
     def _each(self, words: list[str]) -> None:
         for w in words:
-            self.new[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            self.new[w] = self.encode(w)
 
     def ids(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.new.__getitem__, pieces))
@@ -188,9 +204,7 @@ def _tokenize(tokenizer: str, capacity: int, end: int):
         for b in batches:
             which, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                parts = known.pieces(text or "")
-                known.learn(parts)
-                ids = known.ids(parts) + int(end).to_bytes(4, "little")
+                ids = known.of(text or "") + int(end).to_bytes(4, "little")
                 known.age()
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -212,7 +226,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, capacity: int = 2
     empty texts are the single id `end`. Repeated rows are documents of their own; rows with a null doc_id are
     packed under it. Other columns are ignored. Equal lengths are interchangeable and take their places by the
     order of doc_id, piece and crc. Sequences are gapless from offset 0. An empty table gives no rows.
-    `tokenizer` is a path that executors can open, of a tokenizer that never joins tokens across white space.
+    `tokenizer` is a path that executors can open. One that joins tokens across words or keeps capitals, as a probe
+    shows, encodes whole texts instead of remembered words.
     """
     bound_batches(spark)
     t = Tables(spark, "packing")

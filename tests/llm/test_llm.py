@@ -414,6 +414,14 @@ def test_pieces_of_one_length_share_new_sequences():
                 assert sum(times for _, times in planned) == -(-n // (cap // length)), (cap, length, n)
 
 
+def test_tokenizers_that_keep_capitals_get_whole_texts():
+    for name, whole in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        words = packing._Words(stages.tokenizer_path(name))
+        assert words.whole == whole
+        for t in ("", "Él niño, Hello  world's\n end", "a" * 5000, "\u200b<|x|> 12,5"):
+            assert words.of(t) == words.encode(t)
+
+
 # 7
 
 
