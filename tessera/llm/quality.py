@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ SUPPORT, PURITY = 4, 0.98
 LEAST = 4
 #: Weight of a telling beginning beside words and bytes; steps of the scorer's training and decay of its weights.
 STEM = 2.0
-RATE, DECAY = 4.0, 1e-4
+RATE, DECAY, STEPS = 4.0, 1e-4, 500
 
 #: Share of good documents that a labeller calls bad and of bad ones that those of their kind do, before any is seen;
 #: the latter belief is worth so many documents, the former as many as there are without a label.
@@ -59,7 +60,8 @@ ABUSE = (
 ).split()
 _LETTER = r"[^\W\d_]"
 _WORD = re.compile(rf"(?<!{_LETTER})(?:{'|'.join(ABUSE)})(?!{_LETTER})")
-_WORDS = re.compile(rf"{_LETTER}+")
+_WORDS, _ASCII_WORDS = re.compile(rf"{_LETTER}+"), re.compile("[a-z]+")
+_ABUSE = frozenset(ABUSE)
 LABELLERS = ("symbols", "capitals", "exclamations", "columns", "sentences", "word_length", "repeated_lines", "digits", "stutter", "abuse", "stems")
 #: What is known of a document: nothing, good, or bad of some kind; toxic ones are of the last kind.
 UNKNOWN, GOOD, POOR, TOXIC = range(4)
@@ -77,25 +79,42 @@ class Measures:
     shares: np.ndarray
 
 
-def abuse_words(text: str) -> list[str]:
-    """Words of abuse, whatever marks stand around them, in capitals or not."""
-    low = unicodedata.normalize("NFC", text).lower()
-    return _WORD.findall(low) if any(x in low for x in ABUSE) else []
+def lowered(text: str | None) -> str:
+    low = text or ""
+    return (low if low.isascii() or unicodedata.is_normalized("NFC", low) else unicodedata.normalize("NFC", low)).lower()
 
 
-def word_set(text: str | None) -> set[str]:
-    """Words of letters, in lower case."""
-    return set(_WORDS.findall(unicodedata.normalize("NFC", text).lower())) if text else set()
+def word_set(low: str) -> set[str]:
+    """Words of letters of a text in lower case."""
+    return set((_ASCII_WORDS if low.isascii() else _WORDS).findall(low))
 
 
-def beginnings(words: set[str]) -> set[str]:
+def abuse_words(low: str, words: set[str]) -> list[str]:
+    """Words of abuse, each time they stand there, whatever marks stand around them."""
+    return [] if words.isdisjoint(_ABUSE) else _WORD.findall(low)
+
+
+def beginnings(words) -> set[str]:
     return {w[:n] for n in LETTERS for w in words if len(w) >= n}
 
 
+@lru_cache(8)
+def _shortest(lexicon: frozenset[str]) -> frozenset[str]:
+    return frozenset(x[: LETTERS[0]] for x in lexicon)
+
+
+def told_by(words: set[str], lexicon: frozenset[str]) -> set[str]:
+    """Beginnings in the lexicon; most words are out by their first letters."""
+    first, n = _shortest(lexicon), LETTERS[0]
+    return beginnings([w for w in words if w[:n] in first]) & lexicon
+
+
 def measure(text: str | None, lexicon: frozenset[str] = frozenset()) -> Measures:
     """Votes (1 good, -1 bad, 0 none) and features of a whole text; null is read as empty."""
-    told = beginnings(word_set(text)) & lexicon if lexicon else set()
-    abuse = abuse_words(text or "")
+    low = lowered(text)
+    words = word_set(low)
+    told = told_by(words, lexicon) if lexicon else set()
+    abuse = abuse_words(low, words)
     raw = (text or "").encode("utf-8", "surrogatepass")
     h = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     w = word_hashes(text)
@@ -227,7 +246,7 @@ def toxic_beginnings(texts: DataFrame, known: DataFrame) -> frozenset[str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(x, k == TOXIC) for t, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in beginnings(word_set(t))]
+            found = [(x, k == TOXIC) for t, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in beginnings(word_set(lowered(t)))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([k for _, k in found], pa.bool_())], ["x", "bad"])
 
     # at most LABELLED rows of two numbers are broadcast
@@ -236,6 +255,27 @@ def toxic_beginnings(texts: DataFrame, known: DataFrame) -> frozenset[str]:
     return frozenset(r.x for r in counted.orderBy(F.desc("bad"), "x").limit(STEMS).collect())
 
 
+def _fit(row: np.ndarray, column: np.ndarray, x: np.ndarray, rows: int, columns: int, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss against the posteriors y, by accelerated gradient descent."""
+    w, velocity, bias, vb = np.zeros(columns, np.float32), np.zeros(columns, np.float32), 0.0, 0.0
+    if not columns:
+        return w, bias
+    # values by row and by column, so that sums run over slices; a row without values has the bias alone
+    has, starts = np.unique(row, return_index=True)
+    by_column = np.argsort(column, kind="stable")
+    row2, x2 = row[by_column], x[by_column]
+    starts2 = np.searchsorted(column[by_column], np.arange(columns))
+    z = np.zeros(rows, np.float32)
+    for _ in range(STEPS):
+        z[has] = np.add.reduceat(w[column] * x, starts)
+        g = ((1 / (1 + np.exp(-np.clip(z + bias, -30, 30))) - y) / rows).astype(np.float32)
+        velocity = 0.9 * velocity + np.add.reduceat(g[row2] * x2, starts2) + DECAY * w
+        vb = 0.9 * vb + float(g.sum())
+        w -= RATE * velocity
+        bias -= 0.1 * RATE * vb
+    return w, bias
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Quality:
     """Votes over all documents, accuracies from their pattern counts, scorer from at most `sample` documents.
 
@@ -283,21 +323,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None = None,
     at = [np.frombuffer(r.at, "<i4") for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
     at, x = np.concatenate(at), np.concatenate([np.frombuffer(r.x, np.float32) for r in rows])
-    often = np.bincount(at, minlength=SIZE) >= min(LEAST, len(rows))
-    use = often[at]
-    row, at, x = row[use], at[use], x[use]
-    # accelerated gradient descent on the logistic loss against the posteriors
-    share = 1.0 / len(y)
-    velocity, bias, vb = np.zeros(SIZE, np.float32), 0.0, 0.0
-    w = np.zeros(SIZE, np.float32)
-    for _ in range(600):
-        z = np.bincount(row, w[at] * x, len(rows)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        velocity = 0.9 * velocity + np.bincount(at, g[row] * x, SIZE).astype(np.float32) + DECAY * w
-        vb = 0.9 * vb + g.sum()
-        w -= RATE * velocity
-        bias -= 0.1 * RATE * vb
-    weights[:-1], weights[-1] = w, bias
+    use = (np.bincount(at, minlength=SIZE) >= min(LEAST, len(rows)))[at]
+    slots, column = np.unique(at[use], return_inverse=True)
+    fitted, weights[-1] = _fit(row[use], column, x[use], len(rows), len(slots), y)
+    weights[slots] = fitted
     return Quality(weak, weights, lexicon)
 
 
