@@ -44,7 +44,7 @@ from .grouping_sort import equal_runs, ranges
 FLUSH = 4 << 20
 SORT = 3 << 19
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
-CUT = 256
+CUT = 128
 LONGEST = 2048
 #: Bytes of a short anchor; by how many a long one is shorter than a string; bytes of text for each bucket.
 SHORT, LESS = 16, 10
