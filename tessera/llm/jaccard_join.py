@@ -253,11 +253,12 @@ def spanning_links(sets: list[np.ndarray], root: np.ndarray, percent: int) -> li
     lists = [_Lists(o) for o in orders]
     whole = _Lists(ranks)
     label = np.unique(root, return_inverse=True)[1]
-    probes = np.flatnonzero(label != np.bincount(label).argmax())
+    unseen = np.ones(len(sets), bool)
     out: list[tuple[int, int]] = []
-    for x in probes.tolist():
-        if label[x] == np.bincount(label).argmax():
-            continue  # those it may link to look it up in turn
+    # whatever set is the largest at last, all outside of it have been looked up by then
+    while len(todo := np.flatnonzero(unseen & (label != np.bincount(label).argmax()))):
+        x = int(todo[0])
+        unseen[x] = False
         fits = (label != label[x]) & (n * 100 >= n[x] * percent) & (n[x] * 100 >= n * percent)
         for o, index in zip(orders, lists, strict=True):
             if not fits.any():

@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, with nulls, blanks, long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -164,6 +165,14 @@ def test_spanning_links_join_what_links_join():
         assert joined(got) == joined(every) and set(got) <= {p for x, y in every for p in ((x, y), (y, x))} and len(got) < 50
 
 
+def test_spanning_links_of_a_chain_in_any_order():
+    """Only neighbours of the chain are linked; the largest set changes while it is joined."""
+    chain = [np.arange(i, i + 20, dtype=np.int64) for i in range(5)]
+    for order in itertools.permutations(range(5)):
+        got = jaccard_join.spanning_links([chain[i] for i in order], np.arange(5), 90)
+        assert sorted(tuple(sorted((order[x], order[y]))) for x, y in got) == [(i, i + 1) for i in range(4)]
+
+
 @pytest.mark.parametrize("unit", [0, 1 << 20])
 def test_jaccard_by_units(spark, docs, unit, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 0)
