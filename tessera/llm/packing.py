@@ -29,7 +29,7 @@ _LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 PIECE = re.compile(f"[{_LATIN}]+|[{_MARKS}]+")
 #: What makes a word one that only the tokenizer cuts: other characters, and marks of special tokens.
 ODD = re.compile(rf"[^{_LATIN}{_MARKS}\x20\x09-\x0D]|<\|")
-KEPT, GROUP = 150_000, 64
+KEPT, KEPT_CHARS, GROUP = 400_000, 8 << 20, 64
 #: A tokenizer whose ids of this text are not those of its pieces gets whole texts.
 PROBE = "Hello, World's (naïve) Straße\n\nx1  Y-z\tÀB don't <|a|> “q” 12,5 end. "
 
@@ -129,7 +129,7 @@ class _Words:
     """Token ids of words, each encoded once: the tokenizer drops white space and never joins across it.
 
     Words of Latin letters and marks other than the apostrophe are further cut where letters and marks meet, as
-    the tokenizer does. Two generations of at most KEPT words are kept; what is used stays.
+    the tokenizer does. Two generations of about KEPT words or KEPT_CHARS characters are kept; what is used stays.
     """
 
     def __init__(self, path: str):
@@ -138,6 +138,7 @@ class _Words:
         self.tok = Tokenizer.from_file(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0
         parts = self.pieces(PROBE)
         self.learn(parts)
         self.whole = self.ids(parts) != self.encode(PROBE)
@@ -163,8 +164,8 @@ class _Words:
 
     def learn(self, pieces: list[str]) -> None:
         missing = []
-        known = self.new
-        for w in {w for w in pieces if w not in known}:
+        for w in set(pieces).difference(self.new):
+            self.chars += len(w)
             if (ids := self.old.get(w)) is not None:
                 self.new[w] = ids
             else:
@@ -173,10 +174,10 @@ class _Words:
         for a in range(0, len(plain), GROUP):
             group = plain[a : a + GROUP]
             e = self.tok.encode(" ".join(group), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cut = (4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist()
             if len(cut) == len(group) - 1:
-                self.new.update(zip(group, [x.tobytes() for x in np.split(ids, cut)], strict=True))
+                self.new.update((w, ids[i:j]) for w, i, j in zip(group, [0, *cut], [*cut, len(ids)], strict=True))
             else:
                 self._each(group)
         self._each([w for w in missing if ODD.search(w)])
@@ -189,8 +190,8 @@ class _Words:
         return b"".join(map(self.new.__getitem__, pieces))
 
     def age(self) -> None:
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
+        if len(self.new) > KEPT or self.chars > KEPT_CHARS:
+            self.old, self.new, self.chars = self.new, {}, 0
 
 
 _KNOWN: dict[str, _Words] = {}

@@ -431,6 +431,29 @@ def test_tokenizers_that_keep_capitals_get_whole_texts():
             assert words.of(t) == words.encode(t)
 
 
+def test_words_stay_known_through_long_vocabularies():
+    """300,000 other words between two uses of a word do not make it be tokenized again; ids are those of whole texts."""
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("abeéß") for _ in range(r.randint(1, 9))) + r.choice(["", ",", "!!"]) for _ in range(200)) for _ in range(20)]
+    words = packing._Words(stages.tokenizer_path())
+    tok, asked = words.tok, []
+
+    class Counting:
+        def encode(self, text, **how):
+            asked.extend(text.split(" "))
+            return tok.encode(text, **how)
+
+    words.tok = Counting()
+    for again in range(2):
+        for t in texts:
+            assert words.of(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            words.age()
+        for half in range(2):
+            words.new.update((f"{again}.{half}.{i}", b"") for i in range(150_000))
+            words.age()
+    assert len(asked) == len(set(asked)) > 1000
+
+
 # 7
 
 
