@@ -35,7 +35,15 @@ def edges(x: np.ndarray) -> np.ndarray:
     new = np.empty(len(x), bool)
     new[:1] = True
     np.not_equal(x[1:], x[:-1], out=new[1:])
-    return np.flatnonzero(new)
+    return new.nonzero()[0]
+
+
+def gaps(cut: np.ndarray, end: int) -> np.ndarray:
+    """Sizes of the runs that begin at these places; the last one ends at `end`."""
+    out = np.empty(len(cut), np.int64)
+    np.subtract(cut[1:], cut[:-1], out=out[:-1])
+    out[-1:] = end - cut[-1:]
+    return out
 
 
 def spans(x: np.ndarray) -> Iterator[tuple[int, int]]:

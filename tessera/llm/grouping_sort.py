@@ -17,16 +17,19 @@ from __future__ import annotations
 
 import numpy as np
 
-from .exchange import edges
+from .exchange import edges, gaps
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] numbers), start[1], ...; sizes may be 0."""
-    total = int(size.sum())
-    if not total:
+    if len(start) == 1:
+        return np.arange(start[0], start[0] + size[0])
+    if not len(start):
         return np.zeros(0, np.int64)
-    ends = np.cumsum(size)
-    return np.arange(total) + np.repeat(start - (ends - size), size)
+    ends = size.cumsum()
+    out = np.arange(ends[-1])
+    out += (start - ends + size).repeat(size)
+    return out
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -47,7 +50,6 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
         return np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     full = sizes > 0
-    stop = np.repeat(ends, sizes)
     which = np.repeat(sets, sizes)
     which = np.cumsum(np.r_[0, which[1:] != which[:-1]])  # numbered without gaps
     left = np.arange(-1, n - 1)
@@ -77,7 +79,7 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
         mine = sa[ranges(s, top - s)]
         done[mine] = True
         p = left[mine]
-        far = np.flatnonzero(done[p])
+        far = done[p].nonzero()[0]
         while len(far):
             p[far] = left[p[far]]
             left[mine[far]] = p[far]  # pointers of one group double
@@ -87,83 +89,88 @@ def suffix_order(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray) -> np.nd
             grown_by[open_sets] = word[g]
             p.sort()
             cut = edges(p)
-            times = np.diff(cut, append=len(p))
+            times = gaps(cut, len(p))
             p = p[cut]
             old = group[p]
-            order = np.argsort(old * (int(times.max()) + 1) + times)
+            most = int(times.max())
+            order = (old * (most + 1) + times if most > 1 else old).argsort()
             p, old, times = p[order], old[order], times[order]
             cut = edges(old)
-            num = np.diff(cut, append=len(p))
+            num = gaps(cut, len(p))
             src = old[cut]
-            tail = ranges(high[src] - num, num)
+            begin = high[src] - num
+            tail = ranges(begin, num)
             was = place[p]
             moving[was] = True
             stay = tail[~moving[tail]]
             if len(stay):
-                free = was[was < np.repeat(high[src] - num, num)]
+                free = was[was < begin.repeat(num)]
                 other = sa[stay]
                 sa[free] = other
                 place[other] = free
             moving[was] = False
             sa[tail] = p
             place[p] = tail
-            new = np.zeros(len(p), bool)
-            new[cut] = True
-            new[1:] |= times[1:] != times[:-1]
-            cut = np.flatnonzero(new)
-            num = np.diff(cut, append=len(p))
-            high[src] -= np.diff(edges(old), append=len(p))
+            high[src] = begin
+            if most > 1:
+                new = np.zeros(len(p), bool)
+                new[cut] = True
+                new[1:] |= times[1:] != times[:-1]
+                cut = new.nonzero()[0]
+                num = gaps(cut, len(p))
             ids = np.arange(count, count + len(cut))
             count += len(cut)
             low[ids] = tail[cut]
             high[ids] = tail[cut] + num
             word[ids] = word[old[cut]] + times[cut] * grown_by[which[p[cut]]]
-            group[p] = np.repeat(ids, num)
+            group[p] = ids.repeat(num)
         alive = s > base
         if alive.all():
             top = s
         else:
             top, base, open_sets = s[alive], base[alive], open_sets[alive]
 
-    # Phase 2. Groups of one suffix are in place.
+    # Phase 2. Groups of one suffix are in place. rank: twice the place and one more, -1 before it is known; what
+    # follows the last word of a string ranks below all of its set.
     cut = edges(group[sa])
     g = group[sa[cut]]
     size = high[g] - cut
+    begin = edges(which)
     follow = np.arange(n) + word[group]
-    known = np.zeros(n, bool)
-    known[sa[cut[size == 1]]] = True
+    at_end = (follow >= np.repeat(ends, sizes)).nonzero()[0]
+    follow[at_end] = n + which[at_end]
+    rank = np.full(n + len(begin), -1)
+    rank[n:] = 2 * begin
+    one = cut[size == 1]
+    rank[sa[one]] = 2 * one + 1
     many = size > 1
     cut, g, size = cut[many], g[many], size[many]
     owner = which[sa[cut]]
-    first = np.zeros(which[-1] + 1, np.int64)
-    first[1:] = np.cumsum(np.bincount(which))[:-1]
-    turn = np.arange(len(owner)) - np.repeat(edges(owner), np.diff(edges(owner), append=len(owner)))
+    turn = np.arange(len(owner)) - np.repeat(edges(owner), gaps(edges(owner), len(owner)))
     for step in np.split(_order(turn), np.cumsum(np.bincount(turn))[:-1]) if len(turn) else ():
         lo, num = cut[step], size[step]
         mine = sa[ranges(lo, num)]
-        slot = np.repeat(np.arange(len(step)), num)
         nxt = follow[mine]
-        last = nxt >= stop[mine]
-        while True:
-            ready = last.copy()
-            ready[~last] = known[nxt[~last]]
-            if ready.all():
-                now, at_end, to, by = mine, last, nxt, slot
-            else:
-                now, at_end, to, by = mine[ready], last[ready], nxt[ready], slot[ready]
-            rank = np.empty(len(now), np.int64)
-            rank[at_end] = 2 * first[which[now[at_end]]]
-            rank[~at_end] = 2 * place[to[~at_end]] + 1
-            now = now[np.argsort(rank)]
-            num = np.bincount(by, minlength=len(step))
+        by = rank[nxt]
+        ready = by >= 0
+        slot = None if ready.all() else np.arange(len(step)).repeat(num)
+        while slot is not None:
+            now, num = mine[ready], np.bincount(slot[ready], minlength=len(step))
             spot = ranges(lo, num)
+            now = now[by[ready].argsort()]
             sa[spot] = now
-            place[now] = spot
-            known[now] = True
-            if len(now) == len(mine):
-                break
+            rank[now] = 2 * spot + 1
             lo = lo + num
-            mine, nxt, last, slot = mine[~ready], nxt[~ready], last[~ready], slot[~ready]
+            wait = ~ready
+            mine, nxt, slot = mine[wait], nxt[wait], slot[wait]
+            by = rank[nxt]
+            ready = by >= 0
+            if ready.all():
+                num, slot = np.bincount(slot, minlength=len(step)), None
+        mine = mine[by.argsort()]
+        spot = ranges(lo, num)
+        sa[spot] = mine
+        rank[mine] = 2 * spot + 1
     return sa
 
 
@@ -186,6 +193,10 @@ def equal_runs(data: np.ndarray, sizes: np.ndarray, sets: np.ndarray, length: in
     else:
         view, offsets = data, list(range(length))
     for o in dict.fromkeys(offsets):
-        at = np.flatnonzero(same)
-        same[at] = view[order[at] + o] == view[order[at + 1] + o]
+        at = same.nonzero()[0]
+        if 2 * len(at) > len(same):
+            x = view[order + o]
+            same &= x[1:] == x[:-1]
+        else:
+            same[at] = view[order[at] + o] == view[order[at + 1] + o]
     return order, np.cumsum(np.r_[0, ~same])

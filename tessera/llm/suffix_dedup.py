@@ -43,6 +43,10 @@ from .grouping_sort import equal_runs, ranges
 #: Bytes of text that a map task gathers before it sorts and sends, and bytes of one suffix sort.
 FLUSH = 4 << 20
 SORT = 3 << 19
+#: Small sets are sorted STEP of their size at once, LEAST_SORT bytes at least, which fit the processor's cache.
+LEAST_SORT, STEP = 1 << 18, 512
+#: Places whose least hashes are made together, so that they stay in the processor's cache.
+TILE = 1 << 14
 #: One position in so many ends a chunk; a chunk without one is cut at the limit.
 CUT = 128
 LONGEST = 2048
@@ -122,16 +126,20 @@ def _chunk_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
 def _least(data: np.ndarray, length: int, k: int) -> np.ndarray:
     """For every place the least hash of the k-byte strings inside the length-byte string that starts there."""
     x = _eights(data)
-    h = np.zeros(max(0, len(data) - k + 1), np.uint64)
-    for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
-        h += x[o : o + len(h)] * _C[i % 4]
-        h ^= h >> np.uint64(32)
-        h *= _C[(i + 2) % 4]
-    w, span = length - k + 1, 1
-    while 2 * span <= w:
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if span < w else h
+    out = np.empty(max(0, len(data) - length + 1), np.uint64)
+    for a in range(0, len(out), TILE):
+        e = min(a + TILE, len(out))
+        h = np.zeros(e - a + length - k, np.uint64)
+        for i, o in enumerate(dict.fromkeys([*range(0, k - 7, 8), k - 8])):
+            h += x[a + o : a + o + len(h)] * _C[i % 4]
+            h ^= h >> np.uint64(32)
+            h *= _C[(i + 2) % 4]
+        w, span = length - k + 1, 1
+        while 2 * span <= w:
+            h = np.minimum(h[:-span], h[span:])
+            span *= 2
+        np.minimum(h[: e - a], h[w - span :], out=out[a:e])
+    return out
 
 
 def _window_keys(length: int, k: int):
@@ -204,14 +212,19 @@ def judge(s: Strings, length: int, runs: Runs) -> Strings:
     if not len(cut):
         return s
     several = np.minimum.reduceat(s.doc, cut) != np.maximum.reduceat(s.doc, cut)
-    met = np.repeat(several, np.diff(cut, append=len(s.key)))
+    num = np.diff(cut, append=len(s.key))
+    met = np.repeat(several, num)
     out, todo = [s.take(~met)], np.flatnonzero(met)
+    # sets of like size are sorted together, as the largest one sets the number of steps; small ones take few at once
+    set_size = np.repeat(np.add.reduceat(s.size, cut), num)
+    todo = todo[np.argsort(set_size[todo], kind="stable")]
     firsts = np.zeros(len(s.key), bool)
     firsts[cut] = True
     ends = np.cumsum(s.size[todo])
     at = 0
     while at < len(todo):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SORT, "right")))
+        most = min(SORT, max(LEAST_SORT, STEP * int(set_size[todo[at]])))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         if to < len(todo):
             whole = np.flatnonzero(firsts[todo[at + 1 : to + 1]])
             to = at + 1 + int(whole[-1]) if len(whole) else to
@@ -415,7 +428,8 @@ def _ask(length: int, buckets: int, k: int):
         for b in got:
             for block, meta, text in cells(b):
                 key = _anchors(unpacked([(meta, text)]), length, k)[1]
-                yield from asked(np.unique(key[edges(key)]), block, buckets)
+                key = np.sort(key[edges(key)])
+                yield from asked(key[edges(key)], block, buckets)
 
     return lambda got: batches(rows(got), ASKED)
 

@@ -342,6 +342,42 @@ def test_suffix_dedup_periodic_and_empty(spark, empty):
     assert suffix_dedup.repeated_bytes(spark, empty).count() == 0
 
 
+def test_small_sets_are_not_sorted_beside_a_rich_one(monkeypatch):
+    """A sort takes as many steps as its richest set has words; the marks are those of any slicing."""
+    r = np.random.default_rng(3)
+    sizes = np.repeat([60] * 1500 + [150_000] + [60] * 1500, 2)
+    data = np.concatenate([np.tile(r.integers(0, 256, n).astype(np.uint8), 2) for n in sizes[::2]])
+    doc = np.arange(len(sizes))
+    none = np.zeros(len(sizes), np.int64)
+    s = suffix_dedup.Strings(data, np.cumsum(sizes) - sizes, sizes, (doc // 2).astype(np.uint64), doc, none, none)
+    real, seen = suffix_dedup.equal_runs, []
+
+    def noted(data, sizes, sets, length):
+        seen.append(sizes.max())
+        assert sizes.min() == sizes.max()
+        return real(data, sizes, sets, length)
+
+    monkeypatch.setattr(suffix_dedup, "equal_runs", noted)
+    runs = suffix_dedup.Runs()
+    left = suffix_dedup.judge(s, 50, runs)
+    got = {(d, tuple(np.frombuffer(x, "<i8"))) for d, _, x in runs.rows()}
+    assert got == {(d, (0, n - 49)) for d, n in zip(doc.tolist(), sizes.tolist(), strict=True) if d % 2}
+    assert sorted(left.doc) == doc[::2].tolist() and set(seen) == {60, 150_000}
+
+
+def test_least_hashes_do_not_depend_on_tiles(monkeypatch):
+    data = np.random.default_rng(4).integers(0, 4, 3000).astype(np.uint8)
+    for length, k in ((50, 16), (50, 40), (16, 8)):
+        for n in (length - 1, length, 700, 3000):
+            want = suffix_dedup._least(data[:n], length, k)
+            one = [suffix_dedup._least(data[a : a + length], length, k)[0] for a in range(n - length + 1)]
+            assert want.tolist() == one
+            for tile in (1, 64, 651):
+                with monkeypatch.context() as m:
+                    m.setattr(suffix_dedup, "TILE", tile)
+                    assert suffix_dedup._least(data[:n], length, k).tolist() == one
+
+
 # 5
 
 
