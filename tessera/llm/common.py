@@ -9,6 +9,7 @@ import time
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2000
 
+#: Tables saved, of all stages, between two collections of the driver's garbage.
+SAVES = 6
+
 WORD_SPLIT = "[ \\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,8 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def trim_native(spark: SparkSession) -> bool:
+    """Let the driver's JVM give back native memory that its threads and compilers have freed; False where it can't."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+
+    def filled(kind, values: list):
+        out = array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # by the interface: the server's class can't be reached from outside its module
+        of = jvm.java.lang.Class.forName
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", filled(jvm.java.lang.Class, [of(k) for k in kinds]))
+        invoke.invoke(server, filled(jvm.java.lang.Object, [name, "systemTrimNativeHeap", array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)]))
+    except Py4JError:  # another JVM or C library
+        return False
+    return True
+
+
 class Tables:
-    """Parquet tables in the shared folder. They cut lineage and survive lost executors."""
+    """Parquet tables in the shared folder. They cut lineage and survive lost executors.
+
+    Steps leave garbage behind in the driver, and its threads and compilers keep native memory that they have freed;
+    both would grow from step to step, so every SAVES tables the one is collected and the other given back.
+    """
+
+    saved = 0
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
@@ -50,14 +83,23 @@ class Tables:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        Tables.saved += 1
+        if Tables.saved % SAVES == 0:
+            self.collect()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def collect(self) -> None:
+        """Collect the driver's garbage, Python's handles first, and give freed native memory back where the JVM can."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+        trim_native(self.spark)
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of steps that nothing refers to any more."""
         for _ in range(2):  # first the driver's handles go, then what they held
             gc.collect()
             time.sleep(0.2)
-            self.spark._jvm.System.gc()
+            self.collect()
             time.sleep(0.3)
 
     def drop(self, name: str) -> None:

@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, grouping_sort, html_extract, jaccard_join, language_id, mixing, packing, quality, stages, suffix_dedup, vector_search, warc
+from tessera.llm import common, fingerprints, grouping_sort, html_extract, jaccard_join, language_id, mixing, packing, quality, stages, suffix_dedup, vector_search, warc
 from tessera.llm.common import shingle_hashes
 from tessera.llm.components import components
 from tessera.llm.common import Tables
@@ -668,6 +669,21 @@ def test_warc_roundtrip(spark):
 # pipeline
 
 
+def test_saved_tables_free_the_driver(spark, monkeypatch):
+    """What steps leave in the driver goes every few tables, however much its heap could hold."""
+    monkeypatch.setattr(common, "SAVES", 2, raising=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def whole():
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    t, before = Tables(spark, "t"), whole()
+    for i in range(4):
+        t.save(spark.range(3), f"x{i}")
+    assert whole() >= before + 2
+    assert common.trim_native(spark) or sys.platform != "linux"
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
