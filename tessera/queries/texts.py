@@ -166,7 +166,7 @@ _OVERLAP = """
 def alignment_topk(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
     n = ordered.nearest(s, s, "s_nationkey", "s_acctbal", "s_suppkey")
-    return n.select(F.col("a.s_suppkey").alias("s_suppkey"), F.col("_r").alias("rank"), F.col("b.s_suppkey").alias("near_suppkey"))
+    return n.select("s_suppkey", "rank", F.col("near").alias("near_suppkey"))
 
 
 def lane_streaks(spark, sf_dir):

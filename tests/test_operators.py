@@ -129,6 +129,29 @@ def test_layout_reads_documents_once_and_keeps_words_in_their_task(spark):
     assert q.first().violations == 0
 
 
+def test_nearest_is_every_pair_ranked(spark):
+    r, nan, inf = random.Random(3), float("nan"), float("inf")
+    odd = [None, nan, inf, -inf, 1e17, 1e-9, 2e-9, 0.0]
+    a, b = ([(i + start, r.choice("xy"), r.choice(odd) if r.random() < 0.2 else round(r.uniform(0, 9), 1)) for i in range(90)] for start in (0, 45))
+
+    def gap(v, w):
+        if v is None or w is None:
+            return (2, 0.0)
+        return (1, 0.0) if abs(v - w) != abs(v - w) else (0, abs(v - w))
+
+    df = [spark.createDataFrame(x, "id long, k string, v double") for x in (a, b)]
+    for n in (1, 3):
+        want = sorted((k, i, q + 1, o) for i, k, v in a for q, (_, o) in enumerate(sorted((gap(v, w), o) for o, kk, w in b if kk == k and o != i)[:n]))
+        assert sorted(map(tuple, ordered.nearest(*df, "k", "v", "id", n).collect())) == want
+
+
+def test_nearest_of_one_key_makes_no_pairs(spark):
+    df = spark.range(60000).select("id", F.lit(1).alias("k"), (F.col("id") % 50000 * 0.5).alias("v"))
+    x = ordered.nearest(df, df, "k", "v", "id")
+    assert x.count() == 120000
+    assert x.filter("id = 7").orderBy("rank").select("near").collect() == [(50007,), (6,)]
+
+
 def test_captions_rules_gutter():
     for text in ("Table 2. Values", "Table 2a. Features", "Table3 Sensors", "Table 1. In situ sensors", "TABLE 7", "Table 4: of interest"):
         assert layout.is_caption(text), text
