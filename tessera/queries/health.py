@@ -69,25 +69,25 @@ def active_episodes(spark, sf_dir):
 
 
 def _queue(spark, sf_dir):
-    """Each hour of events as a snapshot of a queue: users are workers, their last event of the hour is their state."""
+    """Each hour of events as a snapshot of a queue, and its workers: users, whose last event of the hour is their state."""
     e = read(spark, sf_dir, "events")
-    t, k, u = _sec("ts"), F.col("event_id"), F.col("user_id")
+    t, k = _sec("ts"), F.col("event_id")
     hour = (F.floor(t / 3600) * 3600 + 3600).cast("long")
     last = e.groupBy(hour.alias("at"), "user_id").agg(F.max_by(F.struct(t.alias("t"), k.alias("k"), "event_type"), F.struct(t, k)).alias("x")).select("at", "user_id", "x.*")
     gpu = F.struct((F.col("k") % 100).cast("double").alias("utilization_pct"), F.lit(100).alias("total_bytes"), (F.col("k") % 97).cast("int").alias("used_bytes"))
-    worker = F.struct(u.cast("string").alias("worker_id"), F.when(F.col("k") % 3 > 0, F.col("k")).alias("job_id"), F.when(F.col("event_type") == "view", "decoding").when(F.col("event_type") == "click", "loading").otherwise("other").alias("phase"), (F.col("t") + F.when(F.col("k") % 4 == 0, 0).otherwise(3500)).alias("heartbeat_at"), F.col("t").alias("progress_at"), (F.col("k") % 2).alias("compatible_ready_jobs"), (F.col("k") % 5).alias("dependency_wait_jobs"), F.lit(10).alias("reserve_bytes"), F.array(gpu).alias("gpus"))
-    s = last.groupBy("at").agg(F.max("t").alias("newest"), F.max("k").alias("top"), F.collect_list(worker).alias("workers"), F.collect_list(F.when(F.col("k") % 3 == 0, u.cast("string"))).alias("eligible_idle"))
-    return s.select("at", (F.col("newest") + F.when(F.col("top") % 2 == 0, 3550).otherwise(0)).alias("time"), (F.col("top") % 29 == 0).alias("terminal"), (F.col("top") % 13 == 0).alias("coordinator_failed"), (F.col("top") % 3).alias("ready_jobs"), ((F.col("top") % 40) * 100).alias("oldest_ready_wait_s"), "workers", "eligible_idle")
+    workers = last.select("at", F.col("user_id").cast("string").alias("worker_id"), F.when(F.col("k") % 3 > 0, F.col("k")).alias("job_id"), F.when(F.col("event_type") == "view", "decoding").when(F.col("event_type") == "click", "loading").otherwise("other").alias("phase"), (F.col("t") + F.when(F.col("k") % 4 == 0, 0).otherwise(3500)).alias("heartbeat_at"), F.col("t").alias("progress_at"), (F.col("k") % 2).alias("compatible_ready_jobs"), (F.col("k") % 5).alias("dependency_wait_jobs"), F.lit(10).alias("reserve_bytes"), F.array(gpu).alias("gpus"), (F.col("k") % 3 == 0).alias("eligible_idle"))
+    s = last.groupBy("at").agg(F.max("t").alias("newest"), F.max("k").alias("top"))
+    return s.select("at", (F.col("newest") + F.when(F.col("top") % 2 == 0, 3550).otherwise(0)).alias("time"), (F.col("top") % 29 == 0).alias("terminal"), (F.col("top") % 13 == 0).alias("coordinator_failed"), (F.col("top") % 3).alias("ready_jobs"), ((F.col("top") % 40) * 100).alias("oldest_ready_wait_s")), workers
 
 
 def queue_issues(spark, sf_dir):
-    return queue_health.observations(_queue(spark, sf_dir)).groupBy("kind", "severity", "hold_s").agg(F.count("*").alias("n"), F.count_distinct("scope").alias("scopes"))
+    return queue_health.observations(*_queue(spark, sf_dir)).groupBy("kind", "severity", "hold_s").agg(F.count("*").alias("n"), F.count_distinct("scope").alias("scopes"))
 
 
 def queue_incidents(spark, sf_dir):
     """Incidents of the hourly snapshots: held, told again after a cooldown, over after an hour without."""
-    q = _queue(spark, sf_dir)
-    return queue_health.incidents(q.select("at"), queue_health.observations(q), recovery=3600).select("kind", "scope", F.col("at").cast("long").alias("at"), "transition", "severity", "episode")
+    q, workers = _queue(spark, sf_dir)
+    return queue_health.incidents(q.select("at"), queue_health.observations(q, workers), recovery=3600).select("kind", "scope", F.col("at").cast("long").alias("at"), "transition", "severity", "episode")
 
 
 def outbox_backoff(spark, sf_dir):

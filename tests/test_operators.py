@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import canon, text, typing
 from tessera.operators import layout, matching, ordered, profile, temporal, validate
 from tessera.plans import jobs
-from tessera.queries import documents
-from tessera.streaming import incidents, ledger
+from tessera.queries import documents, health
+from tessera.streaming import incidents, ledger, queue_health
 
 
 @pytest.mark.parametrize(
@@ -152,6 +152,61 @@ def test_nearest_of_one_key_makes_no_pairs(spark):
     assert x.filter("id = 7").orderBy("rank").select("near").collect() == [(50007,), (6,)]
 
 
+def test_watchdog_looks_only_are_in_one_order(spark):
+    r = random.Random(9)
+    looks = sorted(r.sample(range(400), 60))
+    rows = [(at, kind, scope, "warning", hold) for kind, hold in (("slow", 0), ("low", 20)) for scope in "abc" for at in looks if r.random() < 0.4]
+    found = spark.createDataFrame(rows, "at long, kind string, scope string, severity string, hold_s int")
+    ticks = spark.createDataFrame([(t,) for t in looks], "at long")
+    for recovery in (1, 25):
+        want = []
+        for key in sorted({x[1:3] for x in rows}):
+            state, own = None, {x[0]: x for x in rows if x[1:3] == key}
+            for at in looks:
+                x = own.get(at)
+                state, event = queue_health.step(state, float(at), x and x[3], float(x[4]) if x else 0.0, recovery=recovery)
+                want += [(*key, float(at), *event)] if event else []
+        got = queue_health.incidents(ticks, found, recovery)
+        assert sorted(tuple(x)[:6] for x in got.collect()) == sorted(want) and want
+        plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+        one = [i for i, line in enumerate(plan) if "SinglePartition" in line]
+        assert one and not any("scope" in line for i in one for line in plan[i : i + 4])
+
+
+def test_watchdog_gathers_no_workers(spark):
+    w = "at long, worker_id string, job_id long, phase string, heartbeat_at long, progress_at long, compatible_ready_jobs long, dependency_wait_jobs long, reserve_bytes int, gpus array<struct<utilization_pct:double,total_bytes:int,used_bytes:int>>, eligible_idle boolean"
+    gpu = lambda use, used=0: [(float(use), 100, used)]
+    workers = [
+        # fresh: a's GPU is busy and full, b waits for others and counts for nothing, c is idle, d is lost
+        (1000, "a", 1, "decoding", 990, 990, 0, 0, 10, gpu(90, 95), False),
+        (1000, "b", None, "other", 990, 990, 0, 2, 10, gpu(0), True),
+        (1000, "c", None, "other", 990, 990, 1, 2, 10, gpu(20), True),
+        (1000, "d", 2, "loading", 900, 900, 0, 0, 10, gpu(0), False),
+        # stale: nothing of the queue counts, but of its workers
+        (2000, "a", 1, "decoding", 1990, 1600, 0, 0, 10, gpu(90), False),
+        (2000, "b", None, "other", 1990, 1990, 0, 2, 10, gpu(0), True),
+        # only one that waits is idle; none is far from another without it
+        (3000, "a", 1, "prefill", 2990, 2990, 0, 0, 10, gpu(90), False),
+        (3000, "b", None, "other", 2990, 2990, 0, 2, 10, gpu(0), True),
+        # over
+        (4000, "d", 2, "loading", 900, 900, 0, 0, 10, gpu(0), False),
+    ]
+    snapshots = [(1000, 1000, False, False, 1, 1801), (2000, 1000, False, None, 1, 5000), (3000, 3000, False, True, 1, 0), (4000, 0, True, True, 1, 5000), (5000, 5000, False, False, 1, 1801)]
+    q = queue_health.observations(spark.createDataFrame(snapshots, "at long, time long, terminal boolean, coordinator_failed boolean, ready_jobs int, oldest_ready_wait_s int"), spark.createDataFrame(workers, w))
+    assert sorted((x.at, x.kind, x.scope) for x in q.collect()) == [
+        (1000, "allocation_imbalance", "queue"),
+        (1000, "gpu_headroom_low", "a"),
+        (1000, "ready_queue_overdue", "queue"),
+        (1000, "sustained_utilization_skew", "queue"),
+        (1000, "worker_heartbeat_lost", "d"),
+        (2000, "scheduler_heartbeat_lost", "scheduler"),
+        (2000, "worker_no_progress", "a"),
+        (3000, "coordinator_failed", "scheduler"),
+        (5000, "ready_queue_overdue", "queue"),
+    ]
+    assert "collect_list" not in health.queue_incidents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_captions_rules_gutter():
     for text in ("Table 2. Values", "Table 2a. Features", "Table3 Sensors", "Table 1. In situ sensors", "TABLE 7", "Table 4: of interest"):
         assert layout.is_caption(text), text
